@@ -250,6 +250,12 @@ class Reconciliation:
         listed = F.array_join(F.array(*broken), ",") if broken else F.lit("")
         return F.when(F.col("category") == DIFFERENT, listed)
 
+    def prepared(self, side: str) -> DataFrame:
+        """One side after filters, key work, mapping and transformation, under canonical names."""
+        own = {SOURCE: self.source, TARGET: self.target}[side]
+        names = dict.fromkeys([*self.spec.key_names, *[f.name for f in self.spec.fields]])
+        return own.prepared.select(*[F.col(f"`{n}`") for n in names])
+
     def merged(self) -> DataFrame:
         """Joined rows: keys, ``source_*``, ``target_*`` and the merge indicator."""
         pairs = [f"{side}_{f.name}" for f in self.spec.paired_fields for side in (SOURCE, TARGET)]

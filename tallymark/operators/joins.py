@@ -23,10 +23,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tallymark.functions import values as V
 
 SOURCE_PRESENT = "__source_present"
 TARGET_PRESENT = "__target_present"
@@ -41,26 +43,38 @@ SKETCH_TOP = 128
 
 @dataclass(frozen=True)
 class HotKey:
+    """A key value (as its tag) and the exact row counts of both sides."""
+
     tag: str
     source_rows: int
     target_rows: int
 
+    def meets(self, null_keys: str) -> bool:
+        """Whether rows of this key join at all."""
+        if null_keys == "differ" and "n" in takewhile(str.isalpha, self.tag):
+            return False
+        return self.source_rows > 0 and self.target_rows > 0
+
 
 def key_tag(names: Sequence[str]) -> Column:
-    """One text per key value; nulls have their own."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(f"`{n}`").cast("string")), F.lit("-")) for n in names]
-    return F.to_json(F.array(*parts))
+    """One text per key value: a mark per part saying whether it is null, then the parts with their lengths."""
+    texts = [F.col(f"`{n}`").cast("string") for n in names]
+    marks = [F.when(t.isNull(), "n").otherwise("v") for t in texts]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("")) for t in texts]
+    return F.concat(*marks, *parts)
 
 
 def align_key_types(source: DataFrame, target: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Bring each key to one type on both sides, so equal keys hash and render alike."""
     for name in names:
         s, t = source.schema[name].dataType, target.schema[name].dataType
-        if s == t:
+        common = s if s == t else source.select(name).union(target.select(name)).schema[0].dataType
+        if s == t and not V.is_floating(common):
             continue
-        common = source.select(name).union(target.select(name)).schema[0].dataType
-        source = source.withColumn(name, F.col(f"`{name}`").cast(common))
-        target = target.withColumn(name, F.col(f"`{name}`").cast(common))
+        key = F.col(f"`{name}`").cast(common)
+        if V.is_floating(common):
+            key = key + F.lit(0.0).cast(common)  # one zero only
+        source, target = source.withColumn(name, key), target.withColumn(name, key)
     return source, target
 
 
@@ -120,6 +134,21 @@ def _plain_join(s: DataFrame, t: DataFrame, names: Sequence[str], null_keys: str
     return _merge_keys(joined, names, s_cols, t_cols)
 
 
+def hot_tags(side: DataFrame, hot: Sequence[HotKey]) -> DataFrame:
+    """The tags of hot keys, at most two sketches' worth, ready to be broadcast."""
+    return F.broadcast(side.sparkSession.createDataFrame([(key.tag,) for key in hot], "__tag string"))
+
+
+def without_hot(side: DataFrame, names: Sequence[str], hot: Sequence[HotKey]) -> DataFrame:
+    """Rows whose key is not hot."""
+    return side.withColumn("__tag", key_tag(names)).join(hot_tags(side, hot), "__tag", "left_anti").drop("__tag")
+
+
+def only_hot(side: DataFrame, names: Sequence[str], hot: Sequence[HotKey]) -> DataFrame:
+    """Rows whose key is hot, with its tag as ``__tag``."""
+    return side.withColumn("__tag", key_tag(names)).join(hot_tags(side, hot), "__tag", "left_semi")
+
+
 def _hot_rows(side: DataFrame, names: Sequence[str], table: DataFrame) -> DataFrame:
     """Rows of hot keys, equal rows folded into one with a count, and their cell hash."""
     tagged = side.withColumn("__tag", key_tag(names))
@@ -166,18 +195,12 @@ def outer_join(
     schema = "__tag string, __s_splits int, __t_splits int, __both boolean"
     rows = []
     for key in hot:
-        meets = key.source_rows > 0 and key.target_rows > 0
-        if null_keys == "differ" and '"-"' in key.tag:
-            meets = False
         splits = [max(1, math.ceil(n / rows_per_cell)) for n in (key.source_rows, key.target_rows)]
-        rows.append((key.tag, *splits, meets))
+        rows.append((key.tag, *splits, key.meets(null_keys)))
     table = spark.createDataFrame(rows, schema)  # one row per hot key: bounded by the sketch size
-    tags = F.broadcast(table.select("__tag"))
-
-    def cold(side: DataFrame) -> DataFrame:
-        return side.withColumn("__tag", key_tag(names)).join(tags, "__tag", "left_anti").drop("__tag")
 
-    cold_pairs = _plain_join(cold(s), cold(t), names, null_keys).withColumn(WEIGHT, F.lit(1).cast("bigint"))
+    cold = [without_hot(side, names, hot) for side in (s, t)]
+    cold_pairs = _plain_join(*cold, names, null_keys).withColumn(WEIGHT, F.lit(1).cast("bigint"))
 
     s_hot, t_hot = _hot_rows(s, names, table), _hot_rows(t, names, table)
     grid_s = s_hot.filter("__both").withColumn("__i", _cell("__s_splits")).withColumn("__j", _every("__t_splits"))

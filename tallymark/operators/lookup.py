@@ -69,7 +69,7 @@ def lookup_table(
     order_by: str | Column | Sequence[str | Column] | None,
     native: Sequence[bool],
 ) -> DataFrame:
-    """Right side reduced to one row per key: the last one by ``order_by``, with the row count.
+    """Right side reduced to one row per key, the last one by ``order_by``, values as text.
 
     It is an aggregate, so rows are combined map-side and no key's rows are sorted in one task.
     """
@@ -77,15 +77,14 @@ def lookup_table(
     named = [p.alias(f"__k{i}") for i, p in enumerate(parts)]
     kept = right.filter(~_blank(parts, native))
     if order_by is None:
-        texts = [V.as_text(F.col(f"`{v}`"), right.schema[v].dataType).alias(f"__v{i}") for i, v in enumerate(values)]
-        return kept.select(*named, *texts, F.lit(1).alias("__rows"))
-    picked = F.struct(
-        *[V.as_text(F.col(f"`{v}`"), right.schema[v].dataType).alias(f"__v{i}") for i, v in enumerate(values)]
-    )
-    table = kept.groupBy(*named).agg(
-        F.max_by(picked, _order(order_by)).alias("__picked"), F.count(F.lit(1)).alias("__rows")
-    )
-    return table.select(*[f"__k{i}" for i in range(len(keys))], "__picked.*", "__rows")
+        raw = [F.col(f"`{v}`").alias(f"__v{i}") for i, v in enumerate(values)]
+        table = kept.select(*named, *raw)
+    else:
+        picked = F.struct(*[F.col(f"`{v}`").alias(f"__v{i}") for i, v in enumerate(values)])
+        picked = F.max_by(picked, _order(order_by)).alias("__picked")
+        table = kept.groupBy(*named).agg(picked).select(*[f"__k{i}" for i in range(len(keys))], "__picked.*")
+    texts = [V.as_text(F.col(f"__v{i}"), right.schema[v].dataType).alias(f"__v{i}") for i, v in enumerate(values)]
+    return table.select(*[f"__k{i}" for i in range(len(keys))], *texts)
 
 
 def _resolved(left: DataFrame, right: DataFrame, keys: str | Sequence[KeyPair]):
@@ -130,7 +129,7 @@ def append_columns(
     if clash:
         raise ValueError(f"left side already has columns {clash}")
 
-    table = lookup_table(right, right_keys, columns, order_by, native).drop("__rows")
+    table = lookup_table(right, right_keys, columns, order_by, native)
     parts = [_key_part(left, k, n) for k, n in zip(left_keys, native)]
     blank = _blank(parts, native)
     # blank keys match nothing: a salt no right row has keeps them apart and out of one task

@@ -9,7 +9,7 @@ inputs large enough for skew to matter.
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from typing import Any
@@ -21,6 +21,7 @@ from tallymark.functions import compare as C
 from tallymark.functions import values as V
 from tallymark.operators import joins, mapping
 from tallymark.operators.filters import apply_filters
+from tallymark.operators.hotstats import Compared, HotStatistics
 from tallymark.operators.keys import (
     calculate_keys,
     check_key_families,
@@ -186,13 +187,12 @@ class Reconciliation:
         options = {k: v for k, v in self._hot_options.items() if k in ("share", "min_rows")}
         return joins.find_hot_keys(*keys_only, names, **options)
 
-    def _joined(self, raw: bool) -> DataFrame:
-        """The outer join with ``source_*`` and ``target_*`` columns; raw values only on demand."""
-        names = self.spec.key_names
+    def _side_columns(self, fields: Sequence[Field], raw: bool = False) -> list[DataFrame]:
+        """Both sides as they go into the join: keys, ``source_*`` / ``target_*``, raw values on demand."""
         sides = []
         for side in (self.source, self.target):
-            columns = [F.col(f"`{n}`") for n in names]
-            for field in self.spec.paired_fields:
+            columns = [F.col(f"`{n}`") for n in self.spec.key_names]
+            for field in fields:
                 columns.append(F.col(f"`{field.name}`").alias(f"{side.name}_{field.name}"))
             if raw:
                 for name, column in side.raw_columns.items():
@@ -201,11 +201,14 @@ class Reconciliation:
                     columns.append(F.col(f"`{step.before}`").alias(f"__{side.name}_from_{index}"))
                     columns.append(F.col(f"`{step.after}`").alias(f"__{side.name}_to_{index}"))
             sides.append(side.prepared.select(*columns))
+        return sides
+
+    def _joined(self, raw: bool) -> DataFrame:
         options = {k: v for k, v in self._hot_options.items() if k == "rows_per_cell"}
-        return joins.outer_join(*sides, names, null_keys=self._null_keys, hot=self.hot_keys, **options)
+        sides = self._side_columns(self.spec.paired_fields, raw)
+        return joins.outer_join(*sides, self.spec.key_names, null_keys=self._null_keys, hot=self.hot_keys, **options)
 
-    def _compared(self, raw: bool) -> tuple[DataFrame, list[Adjustment]]:
-        joined = self._joined(raw)
+    def _compared(self, joined: DataFrame) -> tuple[DataFrame, list[Adjustment]]:
         s, t = F.col(joins.SOURCE_PRESENT).isNotNull(), F.col(joins.TARGET_PRESENT).isNotNull()
         indicator = F.when(s & t, "both").when(s, "left_only").otherwise("right_only")
         df, steps = apply_post_join(joined.withColumn("merge_indicator", indicator), self.spec)
@@ -234,14 +237,33 @@ class Reconciliation:
 
     @cached_property
     def _lean(self) -> DataFrame:
-        """Compared rows without raw values: all that statistics need."""
-        return self._compared(raw=False)[0]
+        """Compared rows without raw values."""
+        return self._compared(self._joined(raw=False))[0]
 
     @cached_property
     def _full(self) -> tuple[DataFrame, list[Adjustment]]:
-        df, steps = self._compared(raw=True)
+        df, steps = self._compared(self._joined(raw=True))
         return joins.unfold(df), steps
 
+    @cached_property
+    def _counted(self) -> tuple[DataFrame, HotStatistics | None]:
+        """Compared rows to count, and the hot keys' share, whose pairs are never formed.
+
+        A post-join calculation may read any column of both sides, so with one
+        the hot pairs have to be formed, folded as they are in the join.
+        """
+        if not self.hot_keys or any(f.adjusted_after_join() for f in self.spec.paired_fields):
+            return self._lean, None
+        names, fields = self.spec.key_names, self.spec.compared_fields
+        s, t = joins.align_key_types(*self._side_columns(fields), names)
+        cold = [joins.without_hot(side, names, self.hot_keys) for side in (s, t)]
+        compared, _ = self._compared(joins.outer_join(*cold, names, null_keys=self._null_keys))
+        typed = [
+            Compared(f.name, s.schema[f"source_{f.name}"].dataType, t.schema[f"target_{f.name}"].dataType, f.tolerance)
+            for f in fields
+        ]
+        return compared, HotStatistics(s, t, names, typed, self.hot_keys, self._null_keys)
+
     # -- row results -------------------------------------------------------
 
     def _broken_fields(self) -> Column:
@@ -313,14 +335,15 @@ class Reconciliation:
 
     def summary(self) -> DataFrame:
         """One row: record counts and rates. Totals count rows after filters and key expansion."""
-        counts = self._lean.agg(
-            *[joins.weighted_count(self._lean, F.col("category") == c).alias(c) for c in CATEGORIES]
-        )
+        rows, hot = self._counted
+        counts = [rows.agg(*[joins.weighted_count(rows, F.col("category") == c).alias(c) for c in CATEGORIES])]
+        if hot is not None:
+            counts.append(hot.counts())
         totals = [
             side.rows.agg(F.count(F.lit(1)).alias(f"total_{side.name}")) for side in (self.source, self.target)
         ]
-        # three one-row tables, put side by side by summing
-        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [counts, *totals])
+        # one-row tables, put together by summing
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*counts, *totals])
         names = ["total_source", "total_target", MATCHED, DIFFERENT, MISSING_IN_SOURCE, MISSING_IN_TARGET]
         row = stacked.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
         compared = F.col(MATCHED) + F.col(DIFFERENT)
@@ -332,7 +355,8 @@ class Reconciliation:
 
     def field_stats(self) -> DataFrame:
         """One row per compared field, over rows found on both sides with a value on at least one."""
-        df = self._lean.filter(F.col("merge_indicator") == "both")
+        rows, hot = self._counted
+        df = rows.filter(F.col("merge_indicator") == "both")
         fields = self.spec.compared_fields
         tests = {f.name: self._field_tests(df, f) for f in fields}
         if not fields:
@@ -342,6 +366,9 @@ class Reconciliation:
                 "non_numeric bigint"
             )
         long = self._wide_stats(df, tests) if len(fields) > WIDE_FIELDS else self._narrow_stats(df, tests)
+        if hot is not None:
+            sums = [F.sum(c).alias(c) for c in ("matches", "comparable", "non_numeric")]
+            long = long.unionByName(hot.field_counts()).groupBy("field").agg(*sums)
         rate = F.coalesce(F.try_divide(F.col("matches"), F.col("comparable")), F.lit(0.0))
         return long.select(
             "field",

@@ -48,19 +48,18 @@ def read_text_csv(
     encoding: str = "UTF-8",
     multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with every column as text, exactly as written."""
+    """CSV with every column as text, exactly as written; missing and empty fields are empty text."""
     delimiter = sep or detect_delimiter(spark, path, encoding)
-    return (
+    rows = (
         spark.read.option("header", True)
         .option("sep", delimiter)
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("nullValue", "\u0000")
-        .option("emptyValue", "")
         .csv(path)
     )
+    return rows.na.fill("")
 
 
 def null_out_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:

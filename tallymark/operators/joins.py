@@ -27,6 +27,7 @@ from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions import values as V
 
@@ -224,6 +225,39 @@ def outer_join(
     return result.unionByName(alone(t_hot, t_cols), allowMissingColumns=True)
 
 
+def _filled(col: Column, dtype: T.DataType) -> Column:
+    """The key with a stand-in for NULL; used together with the null test."""
+    kind = V.family(dtype)
+    if kind == V.DATETIME:
+        stand_in = F.lit("1970-01-01").cast(dtype)
+    else:
+        stand_in = F.lit("" if kind == V.TEXT else 0).cast(dtype)
+    return F.coalesce(col, stand_in)
+
+
+def anti_join(own: DataFrame, other: DataFrame, names: Sequence[str], *, null_keys: str = "match") -> DataFrame:
+    """Rows of ``own`` whose key ``other`` lacks.
+
+    The other side's keys are reduced to distinct ones first, which combines
+    map-side, under the very expressions the join hashes on; so repeated keys do
+    not travel, and the reduced keys are not shuffled a second time.
+    """
+    own, other = align_key_types(own, other.select(*[F.col(f"`{n}`") for n in names]), names)
+    types = [own.schema[n].dataType for n in names]
+
+    def parts(df: DataFrame) -> list[Column]:
+        columns = [F.col(f"`{n}`") for n in names]
+        if null_keys == "differ":
+            return columns
+        return [p for c, dtype in zip(columns, types) for p in (_filled(c, dtype), c.isNull())]
+
+    probe = own.withColumns({f"__p{i}": p for i, p in enumerate(parts(own))})
+    taken = other.groupBy(*[p.alias(f"__t{i}") for i, p in enumerate(parts(other))]).agg(F.lit(1).alias("__one"))
+    same = [F.col(f"__p{i}") == F.col(f"__t{i}") for i in range(len(parts(own)))]
+    lonely = probe.join(taken, reduce(lambda a, b: a & b, same), "left_anti")
+    return lonely.select(*[F.col(f"`{c}`") for c in own.columns])
+
+
 def unfold(df: DataFrame) -> DataFrame:
     """One row per counted pair."""
     if WEIGHT not in df.columns:

@@ -132,13 +132,15 @@ def append_columns(
     table = lookup_table(right, right_keys, columns, order_by, native)
     parts = [_key_part(left, k, n) for k, n in zip(left_keys, native)]
     blank = _blank(parts, native)
-    # blank keys match nothing: a salt no right row has keeps them apart and out of one task
-    salt = F.when(blank, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(BLANK_SPREAD)) + 1)
-    probe = left.withColumn("__salt", F.coalesce(salt, F.lit(0).cast("bigint")))
-    condition = F.col("__salt") == F.col("__no_salt")
-    for i, part in enumerate(parts):
-        condition = condition & (part == F.col(f"__k{i}"))
-    joined = probe.join(table.withColumn("__no_salt", F.lit(0).cast("bigint")), condition, "left")
+    # blank keys match nothing; a stand-in per row keeps them from meeting in one task. A text
+    # stand-in starts with a space, which no trimmed key does; the condition bars both kinds.
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(BLANK_SPREAD))
+    stand_in = spread if native[0] else F.concat(F.lit(" "), spread.cast("string"))
+    probes = {f"__p{i}": part for i, part in enumerate(parts)}
+    probes["__p0"] = F.when(blank, stand_in).otherwise(parts[0])
+    probe = left.withColumns({**probes, "__blank": blank})
+    same = [F.col(f"__p{i}") == F.col(f"__k{i}") for i in range(len(parts))]
+    joined = probe.join(table, reduce(lambda a, b: a & b, same, ~F.col("__blank")), "left")
     appended = [F.coalesce(F.col(f"__v{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
     return joined.select(*[F.col(f"`{c}`") for c in left.columns], *appended)
 

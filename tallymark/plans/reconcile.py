@@ -165,13 +165,23 @@ def _prepare(raw: DataFrame, other: DataFrame, spec: Spec, side: str, ordinals:
 class Reconciliation:
     """Lazy results of one reconciliation; every method returns a DataFrame."""
 
-    def __init__(self, spec: Spec, source: Side, target: Side, null_keys: str, skew: str, hot_options: dict[str, Any]):
+    def __init__(
+        self,
+        spec: Spec,
+        source: Side,
+        target: Side,
+        null_keys: str,
+        skew: str,
+        hot_options: dict[str, Any],
+        written: bool = False,
+    ):
         self.spec = spec
         self.source = source
         self.target = target
         self._null_keys = null_keys
         self._skew = skew
         self._hot_options = hot_options
+        self._written = written
 
     # -- the joined row ----------------------------------------------------
 
@@ -235,16 +245,39 @@ class Reconciliation:
             )
         return C.field_match(F.col(f"`{s}`"), s_type, F.col(f"`{t}`"), t_type, field.tolerance)
 
+    @cached_property
+    def _folded(self) -> tuple[DataFrame, list[Adjustment]]:
+        """Compared rows with everything the audits need; hot pairs still folded."""
+        return self._compared(self._joined(raw=True))
+
     @cached_property
     def _lean(self) -> DataFrame:
         """Compared rows without raw values."""
+        if self._written:
+            return self._folded[0]
         return self._compared(self._joined(raw=False))[0]
 
     @cached_property
     def _full(self) -> tuple[DataFrame, list[Adjustment]]:
-        df, steps = self._compared(self._joined(raw=True))
+        df, steps = self._folded
         return joins.unfold(df), steps
 
+    def materialize(self, path: str) -> Reconciliation:
+        """Write the compared rows once, a folder per category, and answer from there.
+
+        Worth it before asking for several results: the join then runs once, a
+        report reads its own category only, and a lost executor costs a re-read.
+        ``path`` must be a folder all executors share.
+        """
+        df, steps = self._folded
+        df.write.mode("overwrite").partitionBy("category").parquet(path)
+        written = Reconciliation(
+            self.spec, self.source, self.target, self._null_keys, self._skew, self._hot_options, written=True
+        )
+        stored = df.sparkSession.read.schema(df.schema).parquet(path)
+        written.__dict__["_folded"] = (stored.select(*[F.col(f"`{c}`") for c in df.columns]), steps)
+        return written
+
     @cached_property
     def _counted(self) -> tuple[DataFrame, HotStatistics | None]:
         """Compared rows to count, and the hot keys' share, whose pairs are never formed.
@@ -252,7 +285,7 @@ class Reconciliation:
         A post-join calculation may read any column of both sides, so with one
         the hot pairs have to be formed, folded as they are in the join.
         """
-        if not self.hot_keys or any(f.adjusted_after_join() for f in self.spec.paired_fields):
+        if self._written or not self.hot_keys or any(f.adjusted_after_join() for f in self.spec.paired_fields):
             return self._lean, None
         names, fields = self.spec.key_names, self.spec.compared_fields
         s, t = joins.align_key_types(*self._side_columns(fields), names)
@@ -305,12 +338,9 @@ class Reconciliation:
 
     def _alone(self, own: Side, other: Side) -> DataFrame:
         names = self.spec.key_names
-        mine, theirs = joins.align_key_types(own.prepared, other.prepared.select(*names), names)
-        theirs = theirs.distinct()  # combined map-side, so repeated keys do not travel
-        condition = joins._on_keys(names, "s", "t", self._null_keys)
-        fields = [F.col(f"s.`{f.name}`").alias(f"{own.name}_{f.name}") for f in self.spec.paired_fields]
-        left = mine.alias("s").join(theirs.alias("t"), condition, "left_anti")
-        return left.select(*[F.col(f"s.`{n}`") for n in names], *fields)
+        lonely = joins.anti_join(own.prepared, other.prepared, names, null_keys=self._null_keys)
+        fields = [F.col(f"`{f.name}`").alias(f"{own.name}_{f.name}") for f in self.spec.paired_fields]
+        return lonely.select(*[F.col(f"`{n}`") for n in names], *fields)
 
     def breaks(self) -> DataFrame:
         """One row per broken field of a different record: keys, field, both values as text."""

@@ -31,7 +31,12 @@ def write_classified(result: Reconciliation, path: str, *, format: str = "parque
 def write_reports(
     result: Reconciliation, path: str, *, metadata: Mapping[str, str] | None = None, format: str = "parquet"
 ) -> dict[str, str]:
-    """The five reports and the field statistics, each as a table under ``path``."""
+    """The five reports and the field statistics, each as a table under ``path``.
+
+    The compared rows are written to ``path/compared`` first, so the join runs once.
+    """
+    base = path.rstrip("/")
+    result = result.materialize(f"{base}/compared")
     tables = {
         "summary": reports.summary_report(result, metadata),
         "field_statistics": reports.field_statistics_report(result),
@@ -40,7 +45,6 @@ def write_reports(
         "missing_in_target": reports.missing_in_target_report(result),
         "missing_in_source": reports.missing_in_source_report(result),
     }
-    base = path.rstrip("/")
     return {name: write_table(df, f"{base}/{name}", format=format) for name, df in tables.items()}
 
 

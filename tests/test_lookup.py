@@ -51,8 +51,10 @@ def test_append_checks(spark):
 
 
 def test_integer_keys_join_natively(spark):
-    left, right = frame(spark, "k long", (1,), (2,), (None,)), frame(spark, "k int, v string", (1, "x"), (None, "y"))
-    assert sorted(column(append_columns(left, right, "k", ["v"], unique=True), "v")) == ["", "", "x"]
+    right = frame(spark, "k int, v string", (1, "x"), (None, "y"), *[(i, "z") for i in range(2, 5000)])
+    for dtype in ("long", "tinyint"):
+        left = frame(spark, f"k {dtype}", (1,), (-2,), (None,), (None,))
+        assert sorted(column(append_columns(left, right, "k", ["v"], unique=True), "v")) == ["", "", "", "x"]
 
 
 VALUES = [("a", 2.0, 1), ("a", None, 2), ("a", 5.0, 3), ("b", None, 1), (None, 7.0, 1)]

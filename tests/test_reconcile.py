@@ -1,5 +1,7 @@
 """Scenarios of small tables with known outcomes."""
 
+import datetime
+
 import pytest
 from helpers import column, counts, frame, spec
 from pyspark.sql import functions as F
@@ -401,3 +403,17 @@ def test_options_are_checked(spark):
             reconcile(df, df, spec({"name": "v"}), **options)
     with pytest.raises(SpecError):
         reconcile(df, df, {})
+
+
+def test_rows_without_a_partner_by_anti_join(spark):
+    schema = "a long, b string, c date, v double"
+    day = datetime.date(2024, 1, 1)
+    source = frame(spark, schema, (0, "", None, 1.0), (None, "", None, 2.0), (None, None, day, 3.0), (1, "x", day, 4.0))
+    target = frame(spark, schema, (None, "", None, 5.0), (1, "x", day, 6.0), (1, "x", day, 7.0), (0, None, None, 8.0))
+    for null_keys in ("match", "differ"):
+        result = reconcile(source, target, spec({"name": "v"}, keys=["a", "b", "c"]), null_keys=null_keys)
+        for rows, category, side in (
+            (result.missing_in_target(), "missing_in_target", "source_v"),
+            (result.missing_in_source(), "missing_in_source", "target_v"),
+        ):
+            assert sorted(column(rows, side)) == sorted(column(result.records(category), side))

@@ -92,21 +92,29 @@ def _lookup_frame(df: DataFrame, lookup: _Lookup, dtype: T.DataType, names: tupl
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def mapped(col: Column, dtype: T.DataType, mapping: Mapping[Any, Any]) -> tuple[Column, T.DataType] | None:
+    """Plain mapping as an expression with its type; None when it is too long to write inline."""
+    lookup = _restrict(mapping, dtype)
+    if not lookup.entries:
+        return col, dtype
+    if len(lookup.entries) > INLINE_ENTRIES:
+        return None
+    kept = _convert(col, dtype, lookup.result)
+    return F.coalesce(F.try_element_at(_map_literal(lookup, dtype), col), kept), lookup.result
+
+
 def map_values(df: DataFrame, field: str, mapping: Mapping[Any, Any]) -> DataFrame:
     """Replace exact typed matches; other values, nulls and null replacements stay as they are."""
     dtype = df.schema[field].dataType
-    lookup = _restrict(mapping, dtype)
     col = F.col(f"`{field}`")
-    if not lookup.entries:
-        return df
-    kept = _convert(col, dtype, lookup.result)
-    if len(lookup.entries) <= INLINE_ENTRIES:
-        mapped = F.try_element_at(_map_literal(lookup, dtype), col)
-        return df.withColumn(field, F.coalesce(mapped, kept))
+    inline = mapped(col, dtype, mapping)
+    if inline is not None:
+        return df.withColumn(field, inline[0])
+    lookup = _restrict(mapping, dtype)
     old, new = f"__old_{field}", f"__new_{field}"
     table = F.broadcast(_lookup_frame(df, lookup, dtype, (old, new)))  # as large as the spec, not the data
     joined = df.join(table, col == table[old], "left")
-    return joined.withColumn(field, F.coalesce(F.col(f"`{new}`"), kept)).drop(old, new)
+    return joined.withColumn(field, F.coalesce(F.col(f"`{new}`"), _convert(col, dtype, lookup.result))).drop(old, new)
 
 
 def condition_mask(mapping: ConditionalMapping, col: Column, dtype: T.DataType) -> Column | None:
@@ -126,19 +134,13 @@ def condition_mask(mapping: ConditionalMapping, col: Column, dtype: T.DataType)
     return predicate(col, dtype, kind, mapping.condition_value, numeric_equality=False)
 
 
-def map_values_where(
-    df: DataFrame, field: str, mapping: ConditionalMapping, condition_column: str | None = None
-) -> DataFrame:
-    """Map a field where a condition on another column holds.
+def mapped_where(
+    col: Column, dtype: T.DataType, mapping: ConditionalMapping, cond: Column, cond_type: T.DataType
+) -> tuple[Column, T.DataType]:
+    """Conditional mapping as an expression with its type.
 
     A replacement of None clears the value here, unlike in the plain mapping.
     """
-    condition_column = condition_column or mapping.condition_field
-    if condition_column not in df.columns:
-        log.warning("condition field %r not found; %r is left as it is", mapping.condition_field, field)
-        return df
-    dtype = df.schema[field].dataType
-    cond, cond_type = F.col(f"`{condition_column}`"), df.schema[condition_column].dataType
     mask = condition_mask(mapping, cond, cond_type)
     if mask is not None:
         cases = [(mask, mapping.mappings.get("default", {}))]
@@ -151,38 +153,98 @@ def map_values_where(
     cases = [(test, _restrict(m, dtype).entries) for test, m in cases]
     cases = [(test, entries) for test, entries in cases if entries]
     if not cases:
-        return df
+        return col, dtype
     result = _result_type(dtype, [new for _, entries in cases for new in entries.values()])
-    col = F.col(f"`{field}`")
-    kept = _convert(col, dtype, result)
-    replaced = kept
+    replaced = _convert(col, dtype, result)
     for test, entries in cases:  # a later case wins, as it would when applied in order
-        lookup = _Lookup(entries, result)
         hit = test & col.isNotNull() & col.isin([V.literal_like(old, dtype) for old in entries])
-        replaced = F.when(hit, F.try_element_at(_map_literal(lookup, dtype), col)).otherwise(replaced)
-    return df.withColumn(field, replaced)
+        new = F.try_element_at(_map_literal(_Lookup(entries, result), dtype), col)
+        replaced = F.when(hit, new).otherwise(replaced)
+    return replaced, result
 
 
-def transform_values(df: DataFrame, field: str, expression: ValueExpression) -> DataFrame:
-    """Apply an expression to the values that are present; nulls stay null."""
-    col = F.col(f"`{field}`")
+def transformed(col: Column, dtype: T.DataType, expression: ValueExpression) -> Column:
+    """An expression applied to the values that are present; nulls stay null.
+
+    SQL text names the field, so the field must already hold the value to transform.
+    """
     new = F.expr(expression) if isinstance(expression, str) else expression(col)
-    return df.withColumn(field, F.when(~V.null_test(col, df.schema[field].dataType), new))
+    return F.when(~V.null_test(col, dtype), new)
 
 
-def cast_values(df: DataFrame, field: str, type_name: str) -> DataFrame:
-    """Bring a field to its declared type; what cannot be read as it becomes null."""
-    dtype = df.schema[field].dataType
+def cast_to(col: Column, dtype: T.DataType, type_name: str) -> Column:
+    """A value in its field's declared type; what cannot be read as it becomes null."""
     if dtype.simpleString() == type_name:
-        return df
-    col = F.col(f"`{field}`")
+        return col
     if V.family(dtype) == V.TEXT and type_name in ("double", "bigint", "int"):
-        new = V.as_number(col, dtype).try_cast(type_name)
-    elif type_name == "string":
-        new = V.as_text(col, dtype)
-    else:
-        new = col.try_cast(type_name)
-    return df.withColumn(field, new)
+        return V.as_number(col, dtype).try_cast(type_name)
+    return V.as_text(col, dtype) if type_name == "string" else col.try_cast(type_name)
+
+
+class ColumnUpdates:
+    """Updates of a table's columns, gathered so that independent ones share a projection.
+
+    A wide spec thereby stays a few projections instead of one per field.
+    """
+
+    def __init__(self, df: DataFrame):
+        self._df = df
+        self._pending: dict[str, Column] = {}
+        self._types: dict[str, T.DataType | None] = {f.name: f.dataType for f in df.schema.fields}
+
+    def column(self, name: str) -> Column:
+        return self._pending.get(name, F.col(f"`{name}`"))
+
+    def dtype(self, name: str) -> T.DataType:
+        if self._types[name] is None:
+            self.settle()
+        return self._types[name]
+
+    def set(self, name: str, col: Column, dtype: T.DataType | None = None) -> None:
+        """Update a column; its type may be left for Spark to find out."""
+        self._pending[name] = col
+        self._types[name] = dtype
+
+    def settle(self) -> DataFrame:
+        """The table with all updates made so far."""
+        if self._pending:
+            self._df = self._df.withColumns(self._pending)
+            self._pending = {}
+            self._types = {f.name: f.dataType for f in self._df.schema.fields}
+        return self._df
+
+    def replace(self, df: DataFrame) -> None:
+        self.__init__(df)
+
+    def has(self, name: str) -> bool:
+        return name in self._types
+
+    # -- field steps -----------------------------------------------------------
+
+    def map(self, name: str, mapping: Mapping[Any, Any]) -> None:
+        inline = mapped(self.column(name), self.dtype(name), mapping)
+        if inline is None:
+            self.replace(map_values(self.settle(), name, mapping))
+        else:
+            self.set(name, *inline)
+
+    def map_where(self, name: str, mapping: ConditionalMapping, condition_column: str) -> None:
+        if not self.has(condition_column):
+            log.warning("condition field %r not found; %r is left as it is", mapping.condition_field, name)
+            return
+        dtypes = self.dtype(name), self.dtype(condition_column)
+        cond = self.column(condition_column)  # as it stands now, so an earlier mapping is seen
+        self.set(name, *mapped_where(self.column(name), dtypes[0], mapping, cond, dtypes[1]))
+
+    def transform(self, name: str, expression: ValueExpression) -> None:
+        if isinstance(expression, str) and any(updated in expression for updated in self._pending):
+            self.settle()  # the text may name an updated column
+        dtype = self.dtype(name)
+        self.set(name, transformed(self.column(name), dtype, expression))
+
+    def cast(self, name: str, type_name: str) -> None:
+        dtype = self.dtype(name)
+        self.set(name, cast_to(self.column(name), dtype, type_name))
 
 
 def python_transformation(function: Callable[[Any], Any], return_type: str) -> Callable[[Column], Column]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import compare as C
 from tallymark.functions import values as V
-from tallymark.operators import joins, mapping
+from tallymark.operators import joins
 from tallymark.operators.filters import apply_filters
 from tallymark.operators.hotstats import Compared, HotStatistics
 from tallymark.operators.keys import (
@@ -28,6 +28,7 @@ from tallymark.operators.keys import (
     duplicate_keys,
     expand_alternative_keys,
 )
+from tallymark.operators.mapping import ColumnUpdates
 from tallymark.operators.postjoin import Adjustment, adjustments, apply_post_join
 from tallymark.plans.spec import SOURCE, TARGET, Field, Spec, describe_expression, frame_expression, parse_spec
 
@@ -117,43 +118,44 @@ def _map_and_transform(df: DataFrame, spec: Spec, side: str) -> tuple[DataFrame,
     """Mapping, then transformation, then the declared type: field by field in spec order.
 
     A condition field that comes earlier is therefore seen as already mapped.
-    Catalyst folds the chain of projections back into one.
     """
     raw_columns: dict[str, str] = {}
     steps: list[Step] = []
+    columns = ColumnUpdates(df)
     for field in spec.fields:
         name = field.name
         if not (field.has_steps(side) or field.adjusted_after_join()):
             continue
-        raw = f"__raw_{name}"
-        df = df.withColumn(raw, F.col(f"`{name}`"))
-        raw_columns[name] = raw
-        before = raw
-
-        def audit(frame: DataFrame, kind: str, rule: str, *, last: bool) -> DataFrame:
-            nonlocal before
-            after = name if last else f"__{kind}_{name}"
-            steps.append(Step(name, kind, before, after, rule))
-            before = after
-            return frame if last else frame.withColumn(after, F.col(f"`{name}`"))
+        raw_columns[name] = before = f"__raw_{name}"
+        columns.set(before, columns.column(name), columns.dtype(name))
+        taken: list[tuple[str, str]] = []  # kind and rule of the steps on this field
 
-        transformed = field.transformation is not None and field.applies(side)
-        only = not transformed and field.type is None
         if field.mapping is not None and field.applies(side):
-            df = mapping.map_values(df, name, field.mapping)
-            df = audit(df, "mapping", "", last=only)
+            columns.map(name, field.mapping)
+            taken.append(("mapping", ""))
         elif field.conditional_applies(side):
-            conditional = field.conditional_mapping
-            column = conditional.condition_field
-            column = column if column in df.columns else f"__condition_{column}"
-            df = mapping.map_values_where(df, name, conditional, column)
-            df = audit(df, "conditional", conditional.describe(), last=only)
-        if transformed:
-            df = mapping.transform_values(df, name, field.transformation)
-            df = audit(df, "transformation", describe_expression(field.transformation), last=field.type is None)
+            condition = field.conditional_mapping
+            configured = columns.has(condition.condition_field)
+            column = condition.condition_field if configured else f"__condition_{condition.condition_field}"
+            columns.map_where(name, condition, column)
+            taken.append(("conditional", condition.describe()))
+        transforms = field.transformation is not None and field.applies(side)
+        if taken and (transforms or field.type is not None):
+            columns.set(f"__mapped_{name}", columns.column(name), columns.dtype(name))
+        if transforms:
+            columns.transform(name, field.transformation)
+            taken.append(("transformation", describe_expression(field.transformation)))
+            if field.type is not None:
+                columns.set(f"__transformed_{name}", columns.column(name))
         if field.type is not None:
-            df = mapping.cast_values(df, name, field.type)
-    return df, raw_columns, steps
+            columns.cast(name, field.type)
+
+        for kind, rule in taken:
+            kept = f"__transformed_{name}" if kind == "transformation" else f"__mapped_{name}"
+            after = kept if columns.has(kept) else name
+            steps.append(Step(name, kind, before, after, rule))
+            before = after
+    return columns.settle(), raw_columns, steps
 
 
 def _prepare(raw: DataFrame, other: DataFrame, spec: Spec, side: str, ordinals: dict[str, int]) -> Side:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions import recipes
 from tallymark.functions.compare import field_match, text_differs
-from tallymark.operators.mapping import map_values, python_transformation, transform_values
+from tallymark.operators.mapping import ColumnUpdates, map_values, python_transformation
 from tallymark.plans import reports
 from tallymark.plans.reconcile import reconcile
 from tallymark.plans.spec import SpecError
@@ -17,6 +17,12 @@ from tallymark.plans.spec import SpecError
 STATUS = {"Active": "A", "Inactive": "I"}
 
 
+def transform_values(df, name, expression):
+    columns = ColumnUpdates(df)
+    columns.transform(name, expression)
+    return columns.settle()
+
+
 def outcome(result: dict) -> tuple:
     return tuple(result[k] for k in ("matched", "different", "missing_in_target", "missing_in_source"))
 
@@ -417,3 +423,37 @@ def test_rows_without_a_partner_by_anti_join(spark):
             (result.missing_in_source(), "missing_in_source", "target_v"),
         ):
             assert sorted(column(rows, side)) == sorted(column(result.records(category), side))
+
+
+def test_wide_specs_stay_few_projections(spark):
+    """Every field is mapped and transformed; plans stay shallow and quick to build."""
+    names = [f"f{i:03d}" for i in range(200)]
+    df = spark.range(3).select(F.col("id"), *[F.concat(F.lit("v"), F.col("id")).alias(n) for n in names])
+    fields = [{"name": n, "mapping": {"v1": "one"}, "transformation": recipes.upper_trimmed} for n in names]
+    result = reconcile(df, df, spec(*fields))
+    plan = result.prepared("source")._jdf.queryExecution().logical().toString()
+    assert plan.count("Project") <= 8
+    assert column(result.prepared("source").orderBy("id"), "f199") == ["V0", "ONE", "V2"]
+
+
+def test_sql_text_sees_the_mapped_value(spark):
+    df = frame(spark, "id long, a string, ab string", (1, "x", "y"))
+    fields = [
+        {"name": "a", "mapping": {"x": "mapped"}, "transformation": "concat(a, '!')"},
+        {"name": "ab", "transformation": "concat(ab, a)"},
+    ]
+    row = reconcile(df, df, spec(*fields)).prepared("source").first()
+    assert (row["a"], row["ab"]) == ("mapped!", "ymapped!")
+
+
+def test_declared_type_after_mapping_and_transformation(spark):
+    source = frame(spark, "id long, flag string, amount string", (1, "Yes", "$1,000"), (2, "perhaps", "x"))
+    target = frame(spark, "id long, flag boolean, amount double", (1, True, 1000.0), (2, None, None))
+    fields = [
+        {"name": "flag", "mapping": recipes.FLAG_TEXTS, "type": "boolean"},
+        {"name": "amount", "transformation": recipes.currency_amount, "type": "double"},
+    ]
+    result = reconcile(source, target, spec(*fields))
+    assert outcome(result.summary().first().asDict()) == (2, 0, 0, 0)
+    changes = {(r["field"], r["kind"], r["original"], r["new"]) for r in result.changes().collect()}
+    assert changes == {("flag", "mapping", "Yes", "True"), ("amount", "transformation", "$1,000", "1000.0")}

@@ -19,6 +19,7 @@ from tallymark.catalog.all import QUERIES
 HEADLINE = [
     "rec_summary",
     "rec_field_stats",
+    "rec_statistics",
     "rec_summary_lineitem",
     "rec_field_stats_lineitem",
     "rec_classified",

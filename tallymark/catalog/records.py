@@ -14,6 +14,7 @@ from tallymark.catalog.base import (
     PRICE,
     PRIORITY,
     STATUS,
+    SUMMARY_COLUMNS_SQL,
     absolute_sql,
     category_sql,
     lineitem_pair,
@@ -287,6 +288,21 @@ def rec_field_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _orders(spark, sf).field_stats()
 
 
+@register(
+    "rec_statistics",
+    _orders_stats_sql()
+    + f""", n AS (SELECT {SUMMARY_COLUMNS_SQL} FROM c)
+SELECT ({COUNT_ORDERS}) AS total_source, ({COUNT_ORDERS}) AS total_target, n.*,
+       matched / (matched + different) AS record_match_rate, stats.*, CAST(0 AS BIGINT) AS non_numeric
+FROM n, stats""",
+)
+def rec_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Record and field statistics from one pass over the joined rows."""
+    row = _orders(spark, sf).statistics().withColumnRenamed("match_rate", "record_match_rate").drop("difference_rate")
+    counts = [c for c in row.columns if c != "field_statistics"]
+    return row.select(*counts, F.inline("field_statistics"))
+
+
 STATUS_SQL = "CASE WHEN match_rate >= 1 THEN 'perfect' ELSE 'imperfect' END AS status"
 
 

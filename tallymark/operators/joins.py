@@ -35,11 +35,17 @@ SOURCE_PRESENT = "__source_present"
 TARGET_PRESENT = "__target_present"
 WEIGHT = "__weight"
 
-# A key is worth treating on its own from this share of a side's rows on. The
-# sketch below finds every key above 1/256 of the rows, so 1/100 is safe.
-HOT_SHARE = 0.01
-SKETCH_ITEMS = 1024
-SKETCH_TOP = 128
+# A key is hot when one task would get too many rows of it: from this many rows
+# on, provided they are at least this share of the side. So there are at most
+# 1 / HOT_SHARE hot keys per side, whatever the size of the data.
+HOT_ROWS = 5_000_000
+HOT_SHARE = 1e-5
+# Keys are dealt to this many sketches, each merged by its own task. A sketch of
+# that many items finds every key above about 1 / (0.75 * items) of the rows it
+# sees; together that is 1 / 196608 of a side, well below HOT_SHARE.
+SKETCHES = 64
+SKETCH_ITEMS = 4096
+SKETCH_TOP = 2048
 
 
 @dataclass(frozen=True)
@@ -80,28 +86,32 @@ def align_key_types(source: DataFrame, target: DataFrame, names: Sequence[str])
 
 
 def find_hot_keys(
-    source: DataFrame, target: DataFrame, names: Sequence[str], *, share: float = HOT_SHARE, min_rows: int = 1_000_000
+    source: DataFrame,
+    target: DataFrame,
+    names: Sequence[str],
+    *,
+    share: float = HOT_SHARE,
+    min_rows: int = HOT_ROWS,
 ) -> list[HotKey]:
-    """Keys holding at least ``share`` of a side's rows, and at least ``min_rows``.
+    """Keys holding at least ``min_rows`` rows and at least ``share`` of the rows of a side.
 
     Two light passes over the key columns only. The first returns at most
-    ``SKETCH_TOP`` candidates per side, the second counts just these exactly, so
-    neither what is shuffled nor what reaches the driver grows with the data.
+    ``SKETCHES * SKETCH_TOP`` candidates per side, the second counts just these
+    exactly, so what reaches the driver has a fixed bound.
     """
+    if not HOT_SHARE <= share <= 1:
+        raise ValueError(f"share must lie between {HOT_SHARE} and 1, got {share}")
     source, target = align_key_types(source, target, names)
     tagged = [side.select(key_tag(names).alias("tag")) for side in (source, target)]
-    sketches = [
-        side.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.expr(f"approx_top_k(tag, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top"),
+    candidates: set[str] = set()
+    for side in tagged:
+        sketches = side.groupBy(F.pmod(F.xxhash64("tag"), F.lit(SKETCHES)).alias("sketch")).agg(
+            F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(tag, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top")
         )
-        for side in tagged
-    ]
-    rows, candidates = [], set()
-    for row in sketches[0].unionByName(sketches[1]).collect():  # two rows of at most SKETCH_TOP items
-        rows.append(row["rows"])
-        floor = max(min_rows, share * row["rows"])
-        candidates |= {item["item"] for item in row["top"] or [] if item["count"] >= floor}
+        found = sketches.collect()  # SKETCHES rows of at most SKETCH_TOP items
+        floor = max(min_rows, share * sum(row["rows"] for row in found))
+        # an estimate is never below the true count, so no hot key is missed
+        candidates |= {item["item"] for row in found for item in row["top"] if item["count"] >= floor}
     if not candidates:
         return []
     wanted = source.sparkSession.createDataFrame([(c,) for c in sorted(candidates)], "tag string")
@@ -110,7 +120,7 @@ def find_hot_keys(
         for side in tagged
     ]
     both = counts[0].withColumnRenamed("rows", "s").join(counts[1].withColumnRenamed("rows", "t"), "tag", "full_outer")
-    return [HotKey(r["tag"], r["s"] or 0, r["t"] or 0) for r in both.collect()]  # at most 2 * SKETCH_TOP rows
+    return [HotKey(r["tag"], r["s"] or 0, r["t"] or 0) for r in both.collect()]  # no more rows than candidates
 
 
 def _on_keys(names: Sequence[str], left: str, right: str, null_keys: str) -> Column:
@@ -136,7 +146,7 @@ def _plain_join(s: DataFrame, t: DataFrame, names: Sequence[str], null_keys: str
 
 
 def hot_tags(side: DataFrame, hot: Sequence[HotKey]) -> DataFrame:
-    """The tags of hot keys, at most two sketches' worth, ready to be broadcast."""
+    """The tags of hot keys; their number has a fixed bound, so they can be broadcast."""
     return F.broadcast(side.sparkSession.createDataFrame([(key.tag,) for key in hot], "__tag string"))
 
 
@@ -198,7 +208,7 @@ def outer_join(
     for key in hot:
         splits = [max(1, math.ceil(n / rows_per_cell)) for n in (key.source_rows, key.target_rows)]
         rows.append((key.tag, *splits, key.meets(null_keys)))
-    table = spark.createDataFrame(rows, schema)  # one row per hot key: bounded by the sketch size
+    table = spark.createDataFrame(rows, schema)  # one row per hot key, so bounded
 
     cold = [without_hot(side, names, hot) for side in (s, t)]
     cold_pairs = _plain_join(*cold, names, null_keys).withColumn(WEIGHT, F.lit(1).cast("bigint"))

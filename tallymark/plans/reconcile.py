@@ -38,6 +38,12 @@ MATCHED, DIFFERENT = "matched", "different"
 MISSING_IN_TARGET, MISSING_IN_SOURCE = "missing_in_target", "missing_in_source"
 CATEGORIES = (MATCHED, DIFFERENT, MISSING_IN_TARGET, MISSING_IN_SOURCE)
 
+SUMMARY_COLUMNS = (
+    "total_source", "total_target", MATCHED, DIFFERENT, MISSING_IN_SOURCE, MISSING_IN_TARGET, "match_rate",
+    "difference_rate",
+)
+FIELD_COUNTS = ("matches", "comparable", "non_numeric")
+
 # Inputs whose estimated size is below this cannot hold a troublesome hot key.
 SKEW_CHECK_BYTES = 4 << 30
 # Beyond this many compared fields the statistics go through long form, to keep generated code small.
@@ -175,7 +181,7 @@ class Reconciliation:
         null_keys: str,
         skew: str,
         hot_options: dict[str, Any],
-        written: bool = False,
+        stored: tuple[DataFrame, list[Adjustment]] | None = None,
     ):
         self.spec = spec
         self.source = source
@@ -183,7 +189,7 @@ class Reconciliation:
         self._null_keys = null_keys
         self._skew = skew
         self._hot_options = hot_options
-        self._written = written
+        self._stored = stored
 
     # -- the joined row ----------------------------------------------------
 
@@ -250,13 +256,13 @@ class Reconciliation:
     @cached_property
     def _folded(self) -> tuple[DataFrame, list[Adjustment]]:
         """Compared rows with everything the audits need; hot pairs still folded."""
-        return self._compared(self._joined(raw=True))
+        return self._stored or self._compared(self._joined(raw=True))
 
     @cached_property
     def _lean(self) -> DataFrame:
         """Compared rows without raw values."""
-        if self._written:
-            return self._folded[0]
+        if self._stored:
+            return self._stored[0]
         return self._compared(self._joined(raw=False))[0]
 
     @cached_property
@@ -273,12 +279,10 @@ class Reconciliation:
         """
         df, steps = self._folded
         df.write.mode("overwrite").partitionBy("category").parquet(path)
-        written = Reconciliation(
-            self.spec, self.source, self.target, self._null_keys, self._skew, self._hot_options, written=True
+        stored = df.sparkSession.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
+        return Reconciliation(
+            self.spec, self.source, self.target, self._null_keys, self._skew, self._hot_options, (stored, steps)
         )
-        stored = df.sparkSession.read.schema(df.schema).parquet(path)
-        written.__dict__["_folded"] = (stored.select(*[F.col(f"`{c}`") for c in df.columns]), steps)
-        return written
 
     @cached_property
     def _counted(self) -> tuple[DataFrame, HotStatistics | None]:
@@ -287,7 +291,7 @@ class Reconciliation:
         A post-join calculation may read any column of both sides, so with one
         the hot pairs have to be formed, folded as they are in the join.
         """
-        if self._written or not self.hot_keys or any(f.adjusted_after_join() for f in self.spec.paired_fields):
+        if self._stored or not self.hot_keys or any(f.adjusted_after_join() for f in self.spec.paired_fields):
             return self._lean, None
         names, fields = self.spec.key_names, self.spec.compared_fields
         s, t = joins.align_key_types(*self._side_columns(fields), names)
@@ -365,41 +369,82 @@ class Reconciliation:
 
     # -- statistics --------------------------------------------------------
 
-    def summary(self) -> DataFrame:
-        """One row: record counts and rates. Totals count rows after filters and key expansion."""
+    def _statistics_row(self, with_fields: bool) -> DataFrame:
+        """One row: record counts and, numbered, the counts of every compared field."""
         rows, hot = self._counted
-        counts = [rows.agg(*[joins.weighted_count(rows, F.col("category") == c).alias(c) for c in CATEGORIES])]
+        counts = [joins.weighted_count(rows, F.col("category") == c).alias(c) for c in CATEGORIES]
+        labels: list[str] = []
+        if with_fields:
+            both = F.col("merge_indicator") == "both"
+            for i, field in enumerate(self.spec.compared_fields):
+                for label, test in zip(FIELD_COUNTS, self._field_tests(rows, field)):
+                    labels.append(f"{label}_{i}")
+                    counts.append(joins.weighted_count(rows, both & test).alias(labels[-1]))
+        parts = [rows.agg(*counts)]
         if hot is not None:
-            counts.append(hot.counts())
-        totals = [
-            side.rows.agg(F.count(F.lit(1)).alias(f"total_{side.name}")) for side in (self.source, self.target)
-        ]
+            parts.append(hot.counts())
+            if labels:
+                per_field = hot.field_counts()
+                at = {f.name: i for i, f in enumerate(self.spec.compared_fields)}
+                parts.append(
+                    per_field.agg(
+                        *[
+                            F.sum(F.when(F.col("field") == name, F.col(label))).alias(f"{label}_{i}")
+                            for name, i in at.items()
+                            for label in FIELD_COUNTS
+                        ]
+                    )
+                )
+        for side in (self.source, self.target):
+            parts.append(side.rows.agg(F.count(F.lit(1)).alias(f"total_{side.name}")))
         # one-row tables, put together by summing
-        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*counts, *totals])
-        names = ["total_source", "total_target", MATCHED, DIFFERENT, MISSING_IN_SOURCE, MISSING_IN_TARGET]
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        names = ["total_source", "total_target", MATCHED, DIFFERENT, MISSING_IN_SOURCE, MISSING_IN_TARGET, *labels]
         row = stacked.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
         compared = F.col(MATCHED) + F.col(DIFFERENT)
-        return row.select(
-            *names,
-            F.coalesce(F.try_divide(F.col(MATCHED), compared), F.lit(0.0)).alias("match_rate"),
-            F.coalesce(F.try_divide(F.col(DIFFERENT), compared), F.lit(0.0)).alias("difference_rate"),
+        return row.withColumns(
+            {
+                "match_rate": F.coalesce(F.try_divide(F.col(MATCHED), compared), F.lit(0.0)),
+                "difference_rate": F.coalesce(F.try_divide(F.col(DIFFERENT), compared), F.lit(0.0)),
+            }
         )
 
+    def summary(self) -> DataFrame:
+        """One row: record counts and rates. Totals count rows after filters and key expansion."""
+        return self._statistics_row(with_fields=False).select(*SUMMARY_COLUMNS)
+
+    def statistics(self) -> DataFrame:
+        """The summary row with the field statistics as an array, from one pass over the joined rows."""
+        entries = []
+        for i, field in enumerate(self.spec.compared_fields):
+            matches, comparable, odd = [F.col(f"{label}_{i}") for label in FIELD_COUNTS]
+            entries.append(
+                F.struct(
+                    F.lit(field.name).alias("field"),
+                    matches.alias("matches"),
+                    (comparable - matches).alias("differences"),
+                    comparable.alias("comparable"),
+                    F.coalesce(F.try_divide(matches, comparable), F.lit(0.0)).alias("match_rate"),
+                    odd.alias("non_numeric"),
+                )
+            )
+        fields = F.array(*entries)
+        if not entries:
+            fields = F.array().cast(
+                "array<struct<field:string,matches:bigint,differences:bigint,comparable:bigint,match_rate:double,"
+                "non_numeric:bigint>>"
+            )
+        return self._statistics_row(with_fields=True).select(*SUMMARY_COLUMNS, fields.alias("field_statistics"))
+
     def field_stats(self) -> DataFrame:
         """One row per compared field, over rows found on both sides with a value on at least one."""
+        if len(self.spec.compared_fields) <= WIDE_FIELDS:
+            return self.statistics().select(F.inline("field_statistics"))
         rows, hot = self._counted
         df = rows.filter(F.col("merge_indicator") == "both")
-        fields = self.spec.compared_fields
-        tests = {f.name: self._field_tests(df, f) for f in fields}
-        if not fields:
-            spark = df.sparkSession
-            return spark.createDataFrame(
-                [], "field string, matches bigint, differences bigint, comparable bigint, match_rate double, "
-                "non_numeric bigint"
-            )
-        long = self._wide_stats(df, tests) if len(fields) > WIDE_FIELDS else self._narrow_stats(df, tests)
+        long = self._wide_stats(df, {f.name: self._field_tests(df, f) for f in self.spec.compared_fields})
         if hot is not None:
-            sums = [F.sum(c).alias(c) for c in ("matches", "comparable", "non_numeric")]
+            sums = [F.sum(c).alias(c) for c in FIELD_COUNTS]
             long = long.unionByName(hot.field_counts()).groupBy("field").agg(*sums)
         rate = F.coalesce(F.try_divide(F.col("matches"), F.col("comparable")), F.lit(0.0))
         return long.select(
@@ -423,22 +468,6 @@ class Reconciliation:
                 odd = odd | (col.isNotNull() & number.isNull())
         return comparable & match, comparable, odd
 
-    @staticmethod
-    def _narrow_stats(df: DataFrame, tests: dict[str, tuple[Column, ...]]) -> DataFrame:
-        labels = ("matches", "comparable", "non_numeric")
-        wide = df.agg(
-            *[
-                joins.weighted_count(df, test).alias(f"__{i}_{label}")
-                for i, name in enumerate(tests)
-                for label, test in zip(labels, tests[name])
-            ]
-        )
-        rows = [
-            F.struct(F.lit(name).alias("field"), *[F.col(f"__{i}_{label}").alias(label) for label in labels])
-            for i, name in enumerate(tests)
-        ]
-        return wide.select(F.inline(F.array(*rows)))
-
     @staticmethod
     def _wide_stats(df: DataFrame, tests: dict[str, tuple[Column, ...]]) -> DataFrame:
         rows = [

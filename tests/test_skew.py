@@ -48,6 +48,17 @@ def test_hot_keys_are_found_and_counted(spark):
     found = find_hot_keys(source, target, ["k", "j"], share=0.1, min_rows=20)
     assert [(key.source_rows, key.target_rows) for key in found] == [(50, 40)]
     assert find_hot_keys(source, target, ["k", "j"], share=0.5, min_rows=20) == []
+    assert find_hot_keys(source, target, ["k", "j"]) == []
+    with pytest.raises(ValueError, match="share"):
+        find_hot_keys(source, target, ["k", "j"], share=0.0)
+
+
+def test_many_hot_keys(spark):
+    """Far more hot keys than one sketch would list, among many cold ones."""
+    df = spark.range(60_000).selectExpr("if(id % 2 = 0, id % 5000, id) as k", "id as a")
+    found = find_hot_keys(df, df.limit(0), ["k"], share=5e-5, min_rows=2)
+    assert {(key.source_rows, key.target_rows) for key in found} == {(12, 0)}
+    assert len(found) == 2500
 
 
 def test_key_types_may_differ(spark):

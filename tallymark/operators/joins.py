@@ -63,9 +63,13 @@ class HotKey:
         return self.source_rows > 0 and self.target_rows > 0
 
 
+def _col(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def key_tag(names: Sequence[str]) -> Column:
     """One text per key value: a mark per part saying whether it is null, then the parts with their lengths."""
-    texts = [F.col(f"`{n}`").cast("string") for n in names]
+    texts = [_col(n).cast("string") for n in names]
     marks = [F.when(t.isNull(), "n").otherwise("v") for t in texts]
     parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("")) for t in texts]
     return F.concat(*marks, *parts)
@@ -75,10 +79,10 @@ def align_key_types(source: DataFrame, target: DataFrame, names: Sequence[str])
     """Bring each key to one type on both sides, so equal keys hash and render alike."""
     for name in names:
         s, t = source.schema[name].dataType, target.schema[name].dataType
-        common = s if s == t else source.select(name).union(target.select(name)).schema[0].dataType
+        common = s if s == t else source.select(_col(name)).union(target.select(_col(name))).schema[0].dataType
         if s == t and not V.is_floating(common):
             continue
-        key = F.col(f"`{name}`").cast(common)
+        key = _col(name).cast(common)
         if V.is_floating(common):
             key = key + F.lit(0.0).cast(common)  # one zero only
         source, target = source.withColumn(name, key), target.withColumn(name, key)
@@ -163,10 +167,9 @@ def only_hot(side: DataFrame, names: Sequence[str], hot: Sequence[HotKey]) -> Da
 def _hot_rows(side: DataFrame, names: Sequence[str], table: DataFrame) -> DataFrame:
     """Rows of hot keys, equal rows folded into one with a count, and their cell hash."""
     tagged = side.withColumn("__tag", key_tag(names))
-    folded = tagged.join(F.broadcast(table), "__tag").groupBy(*tagged.columns, *table.columns[1:]).agg(
-        F.count(F.lit(1)).alias(WEIGHT)
-    )
-    return folded.withColumn("__hash", F.xxhash64(*[F.col(f"`{c}`") for c in side.columns]))
+    every = [_col(c) for c in (*tagged.columns, *table.columns[1:])]
+    folded = tagged.join(F.broadcast(table), "__tag").groupBy(*every).agg(F.count(F.lit(1)).alias(WEIGHT))
+    return folded.withColumn("__hash", F.xxhash64(*[_col(c) for c in side.columns]))
 
 
 def _cell(splits: str) -> Column:
@@ -228,7 +231,7 @@ def outer_join(
     )
 
     def alone(side: DataFrame, own: Sequence[str]) -> DataFrame:
-        return side.filter("not __both").select(*[F.col(f"`{c}`") for c in (*names, *own, WEIGHT)])
+        return side.filter("not __both").select(*[_col(c) for c in (*names, *own, WEIGHT)])
 
     result = cold_pairs.unionByName(hot_pairs)
     result = result.unionByName(alone(s_hot, s_cols), allowMissingColumns=True)
@@ -252,11 +255,11 @@ def anti_join(own: DataFrame, other: DataFrame, names: Sequence[str], *, null_ke
     map-side, under the very expressions the join hashes on; so repeated keys do
     not travel, and the reduced keys are not shuffled a second time.
     """
-    own, other = align_key_types(own, other.select(*[F.col(f"`{n}`") for n in names]), names)
+    own, other = align_key_types(own, other.select(*[_col(n) for n in names]), names)
     types = [own.schema[n].dataType for n in names]
 
     def parts(df: DataFrame) -> list[Column]:
-        columns = [F.col(f"`{n}`") for n in names]
+        columns = [_col(n) for n in names]
         if null_keys == "differ":
             return columns
         return [p for c, dtype in zip(columns, types) for p in (_filled(c, dtype), c.isNull())]
@@ -265,7 +268,7 @@ def anti_join(own: DataFrame, other: DataFrame, names: Sequence[str], *, null_ke
     taken = other.groupBy(*[p.alias(f"__t{i}") for i, p in enumerate(parts(other))]).agg(F.lit(1).alias("__one"))
     same = [F.col(f"__p{i}") == F.col(f"__t{i}") for i in range(len(parts(own)))]
     lonely = probe.join(taken, reduce(lambda a, b: a & b, same), "left_anti")
-    return lonely.select(*[F.col(f"`{c}`") for c in own.columns])
+    return lonely.select(*[_col(c) for c in own.columns])
 
 
 def unfold(df: DataFrame) -> DataFrame:

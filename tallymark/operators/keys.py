@@ -43,7 +43,7 @@ def expand_alternative_keys(df: DataFrame, keys: Sequence[Key], *, drop_null_alt
         for alternative in present:
             alt = F.col(f"`{alternative}`")
             filled = df.filter(alt.isNotNull())
-            fresh = filled.join(taken, filled[f"`{alternative}`"] == taken["__taken"], "left_anti")
+            fresh = filled.join(taken, alt == F.col("__taken"), "left_anti")
             if not drop_null_alternatives:
                 fresh = fresh.unionByName(df.filter(alt.isNull()))
             expanded = expanded.unionByName(fresh.withColumn(primary, alt))
@@ -65,4 +65,4 @@ def check_key_families(source: DataFrame, target: DataFrame, names: Sequence[str
 
 def duplicate_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Keys held by more than one row, with their row counts (counted map-side first)."""
-    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
+    return df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")

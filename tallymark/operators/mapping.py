@@ -113,7 +113,7 @@ def map_values(df: DataFrame, field: str, mapping: Mapping[Any, Any]) -> DataFra
     lookup = _restrict(mapping, dtype)
     old, new = f"__old_{field}", f"__new_{field}"
     table = F.broadcast(_lookup_frame(df, lookup, dtype, (old, new)))  # as large as the spec, not the data
-    joined = df.join(table, col == table[old], "left")
+    joined = df.join(table, col == F.col(f"`{old}`"), "left")
     return joined.withColumn(field, F.coalesce(F.col(f"`{new}`"), _convert(col, dtype, lookup.result))).drop(old, new)
 
 

@@ -199,7 +199,7 @@ class Reconciliation:
             return []
         s, t = self.source.prepared, self.target.prepared
         names = self.spec.key_names
-        keys_only = [side.select(*names) for side in (s, t)]
+        keys_only = [side.select(*[F.col(f"`{n}`") for n in names]) for side in (s, t)]
         if self._skew == "auto" and max(estimated_bytes(k) for k in keys_only) < SKEW_CHECK_BYTES:
             return []
         options = {k: v for k, v in self._hot_options.items() if k in ("share", "min_rows")}
@@ -213,14 +213,24 @@ class Reconciliation:
             for field in fields:
                 columns.append(F.col(f"`{field.name}`").alias(f"{side.name}_{field.name}"))
             if raw:
-                for name, column in side.raw_columns.items():
-                    columns.append(F.col(f"`{column}`").alias(f"__{side.name}_raw_{name}"))
-                for index, step in enumerate(side.steps):
-                    columns.append(F.col(f"`{step.before}`").alias(f"__{side.name}_from_{index}"))
-                    columns.append(F.col(f"`{step.after}`").alias(f"__{side.name}_to_{index}"))
+                present = set(self.spec.key_names) | {f"{side.name}_{f.name}" for f in fields}
+                extra = {alias: column for column, alias in self._audit_columns(side).items() if alias not in present}
+                columns += [F.col(f"`{column}`").alias(alias) for alias, column in extra.items()]
             sides.append(side.prepared.select(*columns))
         return sides
 
+    def _audit_columns(self, side: Side) -> dict[str, str]:
+        """Where each side column of the audits and raw values is found in the join, each shipped once.
+
+        The value a field ends up with is the compared value itself, unless a post-join step may change that.
+        """
+        found = {n: n for n in self.spec.key_names}
+        found |= {f.name: f"{side.name}_{f.name}" for f in self.spec.paired_fields if not f.adjusted_after_join()}
+        wanted = [*side.raw_columns.values(), *[c for step in side.steps for c in (step.before, step.after)]]
+        for column in wanted:
+            found.setdefault(column, f"__{side.name}{column if column.startswith('__') else '__final_' + column}")
+        return found
+
     def _joined(self, raw: bool) -> DataFrame:
         options = {k: v for k, v in self._hot_options.items() if k == "rows_per_cell"}
         sides = self._side_columns(self.spec.paired_fields, raw)
@@ -500,10 +510,10 @@ class Reconciliation:
     # -- audits ------------------------------------------------------------
 
     @staticmethod
-    def _change_entries(df: DataFrame, side: Side, column_of: Any) -> list[Column]:
+    def _change_entries(df: DataFrame, side: Side, at: Mapping[str, str]) -> list[Column]:
         entries = []
-        for index, step in enumerate(side.steps):
-            before, after = column_of(index, step)
+        for step in side.steps:
+            before, after = at[step.before], at[step.after]
             old = V.as_text(F.col(f"`{before}`"), df.schema[before].dataType)
             new = V.as_text(F.col(f"`{after}`"), df.schema[after].dataType)
             rule = F.concat(old, F.lit(" -> "), new) if step.kind == "mapping" else F.lit(step.rule)
@@ -531,7 +541,7 @@ class Reconciliation:
         found = []
         for side in (self.source, self.target):
             df = side.prepared
-            entries = self._change_entries(df, side, lambda _, step: (step.before, step.after))
+            entries = self._change_entries(df, side, {c: c for c in df.columns})
             found.append(self._inline_changes(df, [F.col(f"`{n}`") for n in self.spec.key_names], entries))
         return found[0].unionByName(found[1])
 
@@ -577,9 +587,7 @@ class Reconciliation:
         df, _ = self._full
         entries = []
         for side in (self.source, self.target):
-            entries += self._change_entries(
-                df, side, lambda i, _, name=side.name: (f"__{name}_from_{i}", f"__{name}_to_{i}")
-            )
+            entries += self._change_entries(df, side, self._audit_columns(side))
         keep = [F.col(f"`{n}`") for n in self.spec.key_names] + [F.col("category")]
         paired = df.filter(F.col("category").isin(MATCHED, DIFFERENT))
         return self._inline_changes(paired, keep, entries)
@@ -589,9 +597,13 @@ class Reconciliation:
         df, steps = self._full
         return adjustments(df, steps, [*self.spec.key_names, "category"])
 
-    def raw_rows(self) -> DataFrame:
-        """Joined rows with the values before mapping, for the missing-record reports."""
-        return self._full[0]
+    def raw_rows(self, category: str, side: Side) -> tuple[DataFrame, dict[str, str]]:
+        """Rows of a category, and where a side's values before mapping are: field or key to column."""
+        found = self._audit_columns(side)
+        at = {n: n for n in self.spec.key_names}
+        at |= {f.name: f"{side.name}_{f.name}" for f in self.spec.paired_fields}
+        at |= {name: found[column] for name, column in side.raw_columns.items()}
+        return self._full[0].filter(F.col("category") == category), at
 
 
 def reconcile(

@@ -84,17 +84,9 @@ def different_report(result: Reconciliation) -> DataFrame:
 
 
 def _missing(result: Reconciliation, side: Side, category: str) -> DataFrame:
-    df = result.raw_rows().filter(F.col("category") == category)
-
-    def raw(name: str, plain: str) -> Column:
-        column = f"__{side.name}_raw_{name}" if name in side.raw_columns else plain
-        return F.col(f"`{column}`").alias(name)
-
-    keys = [raw(n, n) for n in result.spec.key_names]
-    fields = [
-        raw(f.name, f"{side.name}_{f.name}") for f in result.spec.visible_fields if f.name in side.present_fields
-    ]
-    return df.select(*keys, *fields)
+    df, at = result.raw_rows(category, side)
+    shown = [f.name for f in result.spec.visible_fields if f.name in side.present_fields]
+    return df.select(*[F.col(f"`{at[n]}`").alias(n) for n in (*result.spec.key_names, *shown)])
 
 
 def missing_in_target_report(result: Reconciliation) -> DataFrame:

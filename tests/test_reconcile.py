@@ -457,3 +457,22 @@ def test_declared_type_after_mapping_and_transformation(spark):
     assert outcome(result.summary().first().asDict()) == (2, 0, 0, 0)
     changes = {(r["field"], r["kind"], r["original"], r["new"]) for r in result.changes().collect()}
     assert changes == {("flag", "mapping", "Yes", "True"), ("amount", "transformation", "$1,000", "1000.0")}
+
+
+@pytest.mark.parametrize("options", [{}, {"skew": "always", "share": 0.2, "min_rows": 1}])
+def test_awkward_column_names(spark, options):
+    source = frame(spark, "`Deal Num` long, `a.b` string, `%` double", (1, "x", 1.0), (1, "x", 1.0), (2, "y", None))
+    target = frame(spark, "`Deal.Num` int, `a.b` string, `%` double", (1, "X", 1.0), (3, "z", 2.0))
+    fields = [
+        {"name": "a.b", "mapping": {**{f"n{i}": "n" for i in range(80)}, "x": "X"}, "apply_to": "source"},
+        {"name": "%", "tolerance": "1%", "diff_percent": True},
+    ]
+    keys = [{"name": "id.key", "source": "Deal Num", "target": "Deal.Num"}]
+    result = reconcile(source, target, spec(*fields, keys=keys), **options)
+    assert outcome(result.summary().first().asDict()) == (2, 0, 1, 1)
+    assert result.duplicate_keys().count() == 1
+    assert result.missing_in_target().count() == 1
+    assert sorted(r["field"] for r in result.field_stats().collect()) == ["%", "a.b"]
+    assert result.changes().count() == 2 and result.joined_changes().count() == 2
+    assert reports.matched_report(result).columns[:3] == ["id.key", "Source: a.b", "Target: a.b"]
+    assert reports.missing_in_target_report(result).first()["a.b"] == "y"

@@ -81,8 +81,9 @@ def lookup_table(
         table = kept.select(*named, *raw)
     else:
         picked = F.struct(*[F.col(f"`{v}`").alias(f"__v{i}") for i, v in enumerate(values)])
-        picked = F.max_by(picked, _order(order_by)).alias("__picked")
-        table = kept.groupBy(*named).agg(picked).select(*[f"__k{i}" for i in range(len(keys))], "__picked.*")
+        # the greatest (order, values) pair: rows that tie on the order are settled by their values
+        last = F.max(F.struct(_order(order_by).alias("order"), picked.alias("values"))).alias("__last")
+        table = kept.groupBy(*named).agg(last).select(*[f"__k{i}" for i in range(len(keys))], "__last.values.*")
     texts = [V.as_text(F.col(f"__v{i}"), right.schema[v].dataType).alias(f"__v{i}") for i, v in enumerate(values)]
     return table.select(*[f"__k{i}" for i in range(len(keys))], *texts)
 
@@ -189,8 +190,9 @@ def aggregate_by(
             return F.avg(col)
         if function in ("min", "max"):
             return F.min(col) if function == "min" else F.max(col)
-        ordering = F.when(col.isNotNull(), _order(order_by))  # rows without an order are skipped
-        return F.min_by(col, ordering) if function == "first" else F.max_by(col, ordering)
+        ordered = F.when(col.isNotNull(), F.struct(_order(order_by).alias("order"), col.alias("value")))
+        end = F.min(ordered) if function == "first" else F.max(ordered)  # rows without a value are skipped
+        return end["value"]
 
     keyed = df.filter(reduce(lambda a, b: a & b, [~V.null_test(F.col(f"`{k}`"), df.schema[k].dataType) for k in index]))
     return keyed.groupBy(*[F.col(f"`{k}`") for k in index]).agg(*[reduced(v).alias(v) for v in values])

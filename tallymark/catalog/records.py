@@ -32,7 +32,7 @@ from tallymark.catalog.base import (
 )
 from tallymark.operators.joins import find_hot_keys
 from tallymark.plans import reports
-from tallymark.plans.reconcile import reconcile
+from tallymark.plans.reconcile import Skew, reconcile
 
 COUNT_ORDERS = "SELECT count(*) FROM orders"
 
@@ -234,8 +234,8 @@ c AS (SELECT *, """ + category_sql(same_sql("se", "te")) + """ AS category FROM
 
 def _hot(spark: SparkSession, sf: str):
     """A third of the source rows share one (missing) key, which is also found on the target."""
-    options = {"skew": "always", "share": 0.05, "min_rows": 50, "rows_per_cell": 500}
-    return reconcile(*_customer_days(spark, sf), HOT_SPEC, **options)
+    skew = Skew("always", share=0.05, min_rows=50, rows_per_cell=500)
+    return reconcile(*_customer_days(spark, sf), HOT_SPEC, skew=skew)
 
 
 @register(

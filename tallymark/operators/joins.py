@@ -35,10 +35,10 @@ SOURCE_PRESENT = "__source_present"
 TARGET_PRESENT = "__target_present"
 WEIGHT = "__weight"
 
-# A key is hot when one task would get too many rows of it: from this many rows
-# on, provided they are at least this share of the side. So there are at most
-# 1 / HOT_SHARE hot keys per side, whatever the size of the data.
-HOT_ROWS = 5_000_000
+# A key is hot when one task would get too many rows or pairs of it: from this
+# many rows on, provided they are at least this share of the side. So there are
+# at most 1 / HOT_SHARE hot keys per side, whatever the size of the data.
+HOT_ROWS = 20_000
 HOT_SHARE = 1e-5
 # Keys are dealt to this many sketches, each merged by its own task. A sketch of
 # that many items finds every key above about 1 / (0.75 * items) of the rows it
@@ -48,6 +48,13 @@ SKETCH_ITEMS = 4096
 SKETCH_TOP = 2048
 
 
+# The sketches look at a share of the rows in which the smallest hot key still has
+# this many rows on average, and take any key with half as many. Missing a key by
+# chance is out of the question, and would cost time only: the join is exact
+# whichever keys are treated as hot.
+SAMPLED_ROWS = 200
+
+
 @dataclass(frozen=True)
 class HotKey:
     """A key value (as its tag) and the exact row counts of both sides."""
@@ -99,32 +106,39 @@ def find_hot_keys(
 ) -> list[HotKey]:
     """Keys holding at least ``min_rows`` rows and at least ``share`` of the rows of a side.
 
-    Two light passes over the key columns only. The first returns at most
+    Two light passes over the key columns only. The first sketches a sample and returns at most
     ``SKETCHES * SKETCH_TOP`` candidates per side, the second counts just these
-    exactly, so what reaches the driver has a fixed bound.
+    exactly, so what reaches the driver has a fixed bound. Without candidates
+    there is no second pass.
     """
     if not HOT_SHARE <= share <= 1:
         raise ValueError(f"share must lie between {HOT_SHARE} and 1, got {share}")
     source, target = align_key_types(source, target, names)
     tagged = [side.select(key_tag(names).alias("tag")) for side in (source, target)]
+    both = tagged[0].withColumn("side", F.lit(0)).unionByName(tagged[1].withColumn("side", F.lit(1)))
+    fraction = min(1.0, SAMPLED_ROWS / min_rows)
+    least = min_rows if fraction == 1 else SAMPLED_ROWS // 2
+    found = (
+        (both if fraction == 1 else both.sample(fraction, seed=0))
+        .groupBy("side", F.pmod(F.xxhash64("tag"), F.lit(SKETCHES)).alias("sketch"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(tag, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top"))
+        .withColumn("top", F.filter("top", lambda item: item["count"] >= F.lit(least)))
+        .collect()  # SKETCHES rows per side, of at most SKETCH_TOP items
+    )
     candidates: set[str] = set()
-    for side in tagged:
-        sketches = side.groupBy(F.pmod(F.xxhash64("tag"), F.lit(SKETCHES)).alias("sketch")).agg(
-            F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(tag, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top")
-        )
-        found = sketches.collect()  # SKETCHES rows of at most SKETCH_TOP items
-        floor = max(min_rows, share * sum(row["rows"] for row in found))
-        # an estimate is never below the true count, so no hot key is missed
-        candidates |= {item["item"] for row in found for item in row["top"] if item["count"] >= floor}
+    for side in (0, 1):
+        own = [row for row in found if row["side"] == side]
+        seen = share * sum(row["rows"] for row in own)
+        floor = max(least, seen if fraction == 1 else seen / 2)
+        # a sketch's estimate is never below the count it has seen
+        candidates |= {item["item"] for row in own for item in row["top"] if item["count"] >= floor}
     if not candidates:
         return []
     wanted = source.sparkSession.createDataFrame([(c,) for c in sorted(candidates)], "tag string")
-    counts = [
-        side.join(F.broadcast(wanted), "tag", "left_semi").groupBy("tag").agg(F.count(F.lit(1)).alias("rows"))
-        for side in tagged
-    ]
-    both = counts[0].withColumnRenamed("rows", "s").join(counts[1].withColumnRenamed("rows", "t"), "tag", "full_outer")
-    return [HotKey(r["tag"], r["s"] or 0, r["t"] or 0) for r in both.collect()]  # no more rows than candidates
+    counted = both.join(F.broadcast(wanted), "tag", "left_semi").groupBy("tag")
+    counted = counted.agg(F.count_if(F.col("side") == 0).alias("s"), F.count_if(F.col("side") == 1).alias("t"))
+    keys = [HotKey(row["tag"], row["s"], row["t"]) for row in counted.collect()]  # no more rows than candidates
+    return [key for key in keys if max(key.source_rows, key.target_rows) >= min_rows]
 
 
 def _on_keys(names: Sequence[str], left: str, right: str, null_keys: str) -> Column:

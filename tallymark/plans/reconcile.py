@@ -2,8 +2,8 @@
 
 Everything is one lazy plan: filter, re-key, normalize and map each side, one
 full outer join, post-join calculations, comparison, classification. Nothing
-runs before the caller acts on a result, except the light hot-key check on
-inputs large enough for skew to matter.
+runs before the caller acts on a result, except the light hot-key check, which
+is left out for small inputs.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ SUMMARY_COLUMNS = (
 )
 FIELD_COUNTS = ("matches", "comparable", "non_numeric")
 
-# Inputs whose estimated size is below this cannot hold a troublesome hot key.
-SKEW_CHECK_BYTES = 4 << 30
+# Inputs whose keys are estimated smaller than this are not worth the hot-key check.
+SKEW_CHECK_BYTES = 1 << 20
 # Beyond this many compared fields the statistics go through long form, to keep generated code small.
 WIDE_FIELDS = 150
 
@@ -55,6 +55,20 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+@dataclass(frozen=True)
+class Skew:
+    """When to look for hot keys, what counts as one, and how many of its rows a task may get."""
+
+    mode: str = "auto"
+    share: float = joins.HOT_SHARE
+    min_rows: int = joins.HOT_ROWS
+    rows_per_cell: int = 500_000
+
+    def __post_init__(self) -> None:
+        if self.mode not in ("auto", "always", "ignore"):
+            raise ValueError(f"skew must be auto, always or ignore, got {self.mode!r}")
+
+
 @dataclass(frozen=True)
 class Step:
     """One audited value change of a side: columns before and after, kind and rule."""
@@ -179,8 +193,7 @@ class Reconciliation:
         source: Side,
         target: Side,
         null_keys: str,
-        skew: str,
-        hot_options: dict[str, Any],
+        skew: Skew,
         stored: tuple[DataFrame, list[Adjustment]] | None = None,
     ):
         self.spec = spec
@@ -188,22 +201,20 @@ class Reconciliation:
         self.target = target
         self._null_keys = null_keys
         self._skew = skew
-        self._hot_options = hot_options
         self._stored = stored
 
     # -- the joined row ----------------------------------------------------
 
     @cached_property
     def hot_keys(self) -> list[joins.HotKey]:
-        if self._skew == "ignore":
+        if self._skew.mode == "ignore":
             return []
         s, t = self.source.prepared, self.target.prepared
         names = self.spec.key_names
         keys_only = [side.select(*[F.col(f"`{n}`") for n in names]) for side in (s, t)]
-        if self._skew == "auto" and max(estimated_bytes(k) for k in keys_only) < SKEW_CHECK_BYTES:
+        if self._skew.mode == "auto" and max(estimated_bytes(k) for k in keys_only) < SKEW_CHECK_BYTES:
             return []
-        options = {k: v for k, v in self._hot_options.items() if k in ("share", "min_rows")}
-        return joins.find_hot_keys(*keys_only, names, **options)
+        return joins.find_hot_keys(*keys_only, names, share=self._skew.share, min_rows=self._skew.min_rows)
 
     def _side_columns(self, fields: Sequence[Field], raw: bool = False) -> list[DataFrame]:
         """Both sides as they go into the join: keys, ``source_*`` / ``target_*``, raw values on demand."""
@@ -232,9 +243,14 @@ class Reconciliation:
         return found
 
     def _joined(self, raw: bool) -> DataFrame:
-        options = {k: v for k, v in self._hot_options.items() if k == "rows_per_cell"}
         sides = self._side_columns(self.spec.paired_fields, raw)
-        return joins.outer_join(*sides, self.spec.key_names, null_keys=self._null_keys, hot=self.hot_keys, **options)
+        return joins.outer_join(
+            *sides,
+            self.spec.key_names,
+            null_keys=self._null_keys,
+            hot=self.hot_keys,
+            rows_per_cell=self._skew.rows_per_cell,
+        )
 
     def _compared(self, joined: DataFrame) -> tuple[DataFrame, list[Adjustment]]:
         s, t = F.col(joins.SOURCE_PRESENT).isNotNull(), F.col(joins.TARGET_PRESENT).isNotNull()
@@ -290,9 +306,7 @@ class Reconciliation:
         df, steps = self._folded
         df.write.mode("overwrite").partitionBy("category").parquet(path)
         stored = df.sparkSession.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])
-        return Reconciliation(
-            self.spec, self.source, self.target, self._null_keys, self._skew, self._hot_options, (stored, steps)
-        )
+        return Reconciliation(self.spec, self.source, self.target, self._null_keys, self._skew, (stored, steps))
 
     @cached_property
     def _counted(self) -> tuple[DataFrame, HotStatistics | None]:
@@ -612,19 +626,18 @@ def reconcile(
     spec: Mapping[str, Any] | Spec,
     *,
     null_keys: str = "match",
-    skew: str = "auto",
+    skew: str | Skew = "auto",
     on_duplicate: str = "multiply",
     drop_null_alternatives: bool = False,
-    **hot_options: Any,
 ) -> Reconciliation:
     """Set up a reconciliation.
 
-    ``skew``: ``"auto"`` looks for hot keys when the inputs are large,
-    ``"always"`` does regardless, ``"ignore"`` never does.
-    ``on_duplicate="error"`` counts duplicate keys first and refuses them.
+    ``skew``: ``"auto"`` looks for hot keys unless the inputs are small,
+    ``"always"`` does regardless, ``"ignore"`` never does; a ``Skew`` sets the
+    thresholds too. ``on_duplicate="error"`` counts duplicate keys first and
+    refuses them.
     """
-    if skew not in ("auto", "always", "ignore"):
-        raise ValueError(f"skew must be auto, always or ignore, got {skew!r}")
+    skew = skew if isinstance(skew, Skew) else Skew(skew)
     if on_duplicate not in ("multiply", "error"):
         raise ValueError(f"on_duplicate must be multiply or error, got {on_duplicate!r}")
     parsed = parse_spec(spec)
@@ -643,7 +656,7 @@ def reconcile(
         _prepare(raw[TARGET], raw[SOURCE], parsed, TARGET, ordinals[TARGET]),
     ]
     check_key_families(sides[0].prepared, sides[1].prepared, parsed.key_names)
-    result = Reconciliation(parsed, *sides, null_keys, skew, hot_options)
+    result = Reconciliation(parsed, *sides, null_keys, skew)
     if on_duplicate == "error" and not result.duplicate_keys().isEmpty():
         raise ValueError("duplicate keys found; see duplicate_keys()")
     return result

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.compare import field_match
-from tallymark.plans.reconcile import reconcile
+from tallymark.plans.reconcile import Skew, reconcile
 
 SPECIAL = [None, 0.0, -0.0, 1.0, 1.01, 0.99, 100.0, 101.0, -100.0, float("inf"), float("-inf"), float("nan"), 1e-12]
 TOLERANCES = [None, 0, 0.01, 1.0, "0%", "1%", "50%", "200%"]
@@ -82,7 +82,7 @@ def brute_force(source, target):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("options", [{}, {"skew": "always", "share": 0.04, "min_rows": 2, "rows_per_cell": 2}])
+@pytest.mark.parametrize("options", [{}, {"skew": Skew("always", share=0.04, min_rows=2, rows_per_cell=2)}])
 def test_whole_reconciliation(spark, seed, options):
     source, target = random_rows(seed, 150), random_rows(seed + 100, 130)
     schema = "k long, j string, v double, w string"

@@ -11,7 +11,7 @@ from tallymark.functions import recipes
 from tallymark.functions.compare import field_match, text_differs
 from tallymark.operators.mapping import ColumnUpdates, map_values, python_transformation
 from tallymark.plans import reports
-from tallymark.plans.reconcile import reconcile
+from tallymark.plans.reconcile import Skew, reconcile
 from tallymark.plans.spec import SpecError
 
 STATUS = {"Active": "A", "Inactive": "I"}
@@ -459,7 +459,7 @@ def test_declared_type_after_mapping_and_transformation(spark):
     assert changes == {("flag", "mapping", "Yes", "True"), ("amount", "transformation", "$1,000", "1000.0")}
 
 
-@pytest.mark.parametrize("options", [{}, {"skew": "always", "share": 0.2, "min_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"skew": Skew("always", share=0.2, min_rows=1)}])
 def test_awkward_column_names(spark, options):
     source = frame(spark, "`Deal Num` long, `a.b` string, `%` double", (1, "x", 1.0), (1, "x", 1.0), (2, "y", None))
     target = frame(spark, "`Deal.Num` int, `a.b` string, `%` double", (1, "X", 1.0), (3, "z", 2.0))

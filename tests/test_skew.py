@@ -4,11 +4,11 @@ import pytest
 from helpers import frame, spec
 
 from tallymark.operators.joins import find_hot_keys
-from tallymark.plans.reconcile import reconcile
+from tallymark.plans.reconcile import Skew, reconcile
 
 SCHEMA = "k long, j string, a double, b string"
 FIELDS = [{"name": "a", "tolerance": 0.5}, {"name": "b"}]
-HOT = {"skew": "always", "share": 0.1, "min_rows": 20, "rows_per_cell": 7}
+HOT = {"skew": Skew("always", share=0.1, min_rows=20, rows_per_cell=7)}
 
 
 def rows(count, hot, step):

@@ -177,7 +177,8 @@ class HotStatistics:
     def counts(self) -> DataFrame:
         """One row: pairs matched and different, rows missing on either side."""
         alone_source, alone_target = self.alone
-        return self.matched().select(
+        matched = self.matched() if self.meeting else self.spark.range(1).select(F.lit(0).cast("bigint").alias("matched"))
+        return matched.select(
             "matched",
             (F.lit(self.pairs).cast("bigint") - F.col("matched")).alias("different"),
             F.lit(alone_source).cast("bigint").alias("missing_in_target"),

@@ -11,7 +11,7 @@ then takes their rows out:
 * the folded rows of both sides meet in a grid of cells, each source row in one
   grid row and each target row in one grid column, so the work of one key is
   spread and every pair is met exactly once;
-* hot keys that one side lacks need no join at all.
+* rows of hot keys that one side lacks need no join, nor any shuffle.
 
 Cells are chosen by a hash of the row itself, so a task that is run again after
 an executor was lost puts its rows in the same cells.
@@ -209,7 +209,7 @@ def outer_join(
     does; use it for keys known to be filled, because a plain equality lets
     bucketed tables join without an exchange.
 
-    With hot keys the result carries ``__weight``: how often the row counts.
+    With hot keys that both sides have, the result carries ``__weight``: how often the row counts.
     """
     if null_keys not in ("match", "differ"):
         raise ValueError(f"null_keys must be 'match' or 'differ', got {null_keys!r}")
@@ -219,38 +219,41 @@ def outer_join(
     if not hot:
         return _plain_join(s, t, names, null_keys)
 
-    spark = source.sparkSession
-    schema = "__tag string, __s_splits int, __t_splits int, __both boolean"
-    rows = []
-    for key in hot:
-        splits = [max(1, math.ceil(n / rows_per_cell)) for n in (key.source_rows, key.target_rows)]
-        rows.append((key.tag, *splits, key.meets(null_keys)))
-    table = spark.createDataFrame(rows, schema)  # one row per hot key, so bounded
-
-    cold = [without_hot(side, names, hot) for side in (s, t)]
-    cold_pairs = _plain_join(*cold, names, null_keys).withColumn(WEIGHT, F.lit(1).cast("bigint"))
-
+    meeting = [key for key in hot if key.meets(null_keys)]
+    apart = [key for key in hot if not key.meets(null_keys)]
+    parts = [_plain_join(*[without_hot(side, names, hot) for side in (s, t)], names, null_keys)]
+    # rows of a hot key the other side lacks go straight to the result
+    if any(key.source_rows for key in apart):
+        parts.append(only_hot(s, names, apart).drop("__tag"))
+    if any(key.target_rows for key in apart):
+        parts.append(only_hot(t, names, apart).drop("__tag"))
+    if meeting:
+        parts = [part.withColumn(WEIGHT, F.lit(1).cast("bigint")) for part in parts]
+        parts.append(_grid_join(s, t, names, meeting, rows_per_cell))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _grid_join(
+    s: DataFrame, t: DataFrame, names: Sequence[str], meeting: Sequence[HotKey], rows_per_cell: int
+) -> DataFrame:
+    """Pairs of the hot keys both sides have: folded rows, met cell by cell, each pair with its weight."""
+    rows = [
+        (key.tag, *[max(1, math.ceil(n / rows_per_cell)) for n in (key.source_rows, key.target_rows)])
+        for key in meeting
+    ]
+    # one row per hot key, so bounded
+    table = s.sparkSession.createDataFrame(rows, "__tag string, __s_splits int, __t_splits int")
     s_hot, t_hot = _hot_rows(s, names, table), _hot_rows(t, names, table)
-    grid_s = s_hot.filter("__both").withColumn("__i", _cell("__s_splits")).withColumn("__j", _every("__t_splits"))
-    grid_t = t_hot.filter("__both").withColumn("__j", _cell("__t_splits")).withColumn("__i", _every("__s_splits"))
+    grid_s = s_hot.withColumn("__i", _cell("__s_splits")).withColumn("__j", _every("__t_splits"))
+    grid_t = t_hot.withColumn("__j", _cell("__t_splits")).withColumn("__i", _every("__s_splits"))
     same_cell = reduce(lambda a, b: a & b, [F.col(f"s.{c}") == F.col(f"t.{c}") for c in ("__tag", "__i", "__j")])
     met = grid_s.alias("s").join(grid_t.alias("t"), same_cell, "inner")
-    s_cols = [c for c in s.columns if c not in names]
-    t_cols = [c for c in t.columns if c not in names]
-    hot_pairs = met.select(
-        *[F.col(f"s.`{n}`").alias(n) for n in names],
-        *[F.col(f"s.`{c}`").alias(c) for c in s_cols],
-        *[F.col(f"t.`{c}`").alias(c) for c in t_cols],
+    return met.select(
+        *[F.col(f"s.`{c}`").alias(c) for c in s.columns],
+        *[F.col(f"t.`{c}`").alias(c) for c in t.columns if c not in names],
         (F.col(f"s.{WEIGHT}") * F.col(f"t.{WEIGHT}")).alias(WEIGHT),
     )
 
-    def alone(side: DataFrame, own: Sequence[str]) -> DataFrame:
-        return side.filter("not __both").select(*[_col(c) for c in (*names, *own, WEIGHT)])
-
-    result = cold_pairs.unionByName(hot_pairs)
-    result = result.unionByName(alone(s_hot, s_cols), allowMissingColumns=True)
-    return result.unionByName(alone(t_hot, t_cols), allowMissingColumns=True)
-
 
 def _filled(col: Column, dtype: T.DataType) -> Column:
     """The key with a stand-in for NULL; used together with the null test."""

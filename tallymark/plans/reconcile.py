@@ -407,7 +407,7 @@ class Reconciliation:
         parts = [rows.agg(*counts)]
         if hot is not None:
             parts.append(hot.counts())
-            if labels:
+            if labels and hot.meeting:
                 per_field = hot.field_counts()
                 at = {f.name: i for i, f in enumerate(self.spec.compared_fields)}
                 parts.append(
@@ -467,7 +467,7 @@ class Reconciliation:
         rows, hot = self._counted
         df = rows.filter(F.col("merge_indicator") == "both")
         long = self._wide_stats(df, {f.name: self._field_tests(df, f) for f in self.spec.compared_fields})
-        if hot is not None:
+        if hot is not None and hot.meeting:
             sums = [F.sum(c).alias(c) for c in FIELD_COUNTS]
             long = long.unionByName(hot.field_counts()).groupBy("field").agg(*sums)
         rate = F.coalesce(F.try_divide(F.col("matches"), F.col("comparable")), F.lit(0.0))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.llm import language, quality, toxicity
+from tallymark.llm.fitting import fold
+from tallymark.llm.mixing import mix
 from tallymark.llm.packing import pack
 from tallymark.llm.record_files import read_records, write_records
 from tallymark.llm.shared import new_path
@@ -26,6 +29,78 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def labelled(spark: SparkSession, folder: str, label: str) -> DataFrame:
+    """Texts with one label, without the documents of the held-out fold, 0 of 5."""
+    labels = table(spark, folder, "labels").select("doc_id", label)
+    return table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id").filter(fold("doc_id", 5) != 0)
+
+
+def quality_model(spark: SparkSession, folder: str) -> quality.QualityModel:
+    return quality.train(labelled(spark, folder, "quality"))
+
+
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    return language.train(docs.filter(fold("doc_id", 3) != 1))
+
+
+@query
+def op1_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents; the labels know two grades."""
+    docs = table(spark, folder, "documents")
+    graded = toxicity.train(labelled(spark, folder, "toxic"), label="toxic").grade(docs)
+    return graded.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
+
+
+@query
+def op3_hash_threshold_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Mix all documents by source."""
+    mixed = mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op3_hash_threshold_mix"] = """
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS hash
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+running AS (
+  SELECT *, source_size * 2.0 / weight AS full_at, sum(source_size) OVER () AS whole,
+         coalesce(sum(source_size) OVER w, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open_weight
+  FROM sources
+  WINDOW w AS (ORDER BY source_size * 2.0 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT (1.5::DOUBLE * whole - 2.0::DOUBLE * capped) / open_weight AS level
+  FROM running WHERE full_at >= (1.5::DOUBLE * whole - 2.0::DOUBLE * capped) / open_weight
+  ORDER BY full_at, source NULLS LAST LIMIT 1),
+aims AS (
+  SELECT source, source_size,
+         CASE WHEN source_size * 2.0::DOUBLE < weight * level THEN source_size * 2.0::DOUBLE ELSE weight * level END AS target
+  FROM sources, level),
+placed AS (
+  SELECT s.*, a.source_size, a.target, CASE WHEN a.target >= a.source_size THEN 1 ELSE 0 END AS base,
+         CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash) AS DOUBLE) AS upto,
+         sum(s.size) OVER (PARTITION BY s.source, s.hash) AS together
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, target,
+       size * (base + CASE WHEN upto - (target - base * source_size) <= 0
+                             OR (target - base * source_size > upto - together
+                                 AND upto - (target - base * source_size) < target - base * source_size - (upto - together))
+                           THEN 1 ELSE 0 END) AS taken
+FROM placed"""
+
+
+@query
+def op4_subword_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents, learned from folds 0 and 2 of 3."""
+    docs = table(spark, folder, "documents")
+    predicted = language_model(docs).predict(docs)
+    return predicted.withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
+
+
 @query
 def op5_length_delimited_records(spark: SparkSession, folder: str) -> DataFrame:
     """Write the ids of all documents to record files, and read the files back."""
@@ -34,6 +109,16 @@ def op5_length_delimited_records(spark: SparkSession, folder: str) -> DataFrame:
     return read_records(index, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op7_bradley_terry_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learned from folds 1 to 4 of 5."""
+    scored = quality_model(spark, folder).score(table(spark, folder, "documents"))
+    return scored.select(
+        "doc_id", "score", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op9_digest_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents, starting from an empty cache."""

@@ -86,7 +86,7 @@ class Encoder:
         self._start_anew()
 
     def _start_anew(self) -> None:
-        self.places = _Places()
+        self.places = Places()
         self.starts, self.flat = array("q", [0]), array("I")  # ids of place p: flat[starts[p] : starts[p + 1]]
 
     def _learn(self) -> None:
@@ -174,7 +174,7 @@ def _batches(texts: Sequence[str | None], most: int = 4_000_000):
 _SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~|"
 
 
-class _Places(dict):
+class Places(dict):
     """Numbers chunks in the order in which they are first asked for, and lists the new ones."""
 
     def __init__(self):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymark.llm import language, quality, toxicity
 from tallymark.llm.fitting import fold
 from tallymark.llm.mixing import mix
+from tallymark.llm.ngram_join import link_components
 from tallymark.llm.packing import pack
 from tallymark.llm.record_files import read_records, write_records
 from tallymark.llm.shared import new_path
@@ -51,6 +52,12 @@ def op1_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return graded.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
 
 
+@query
+def op2_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents by similarity of their 5-word shingles."""
+    return link_components(table(spark, folder, "documents"))
+
+
 @query
 def op3_hash_threshold_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Mix all documents by source."""

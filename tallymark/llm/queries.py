@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import language, quality, toxicity
+from tallymark.llm.embedding_dedup import link_vectors
 from tallymark.llm.fitting import fold
 from tallymark.llm.mixing import mix
 from tallymark.llm.ngram_join import link_components
@@ -116,6 +117,12 @@ def op5_length_delimited_records(spark: SparkSession, folder: str) -> DataFrame:
     return read_records(index, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op6_epsilon_grid_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all vectors, within labels."""
+    return link_vectors(table(spark, folder, "embeddings"))
+
+
 @query
 def op7_bradley_terry_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of all documents, learned from folds 1 to 4 of 5."""

@@ -11,6 +11,7 @@ from tallymark.llm import language, quality, toxicity
 from tallymark.llm.embedding_dedup import link_vectors
 from tallymark.llm.fitting import fold
 from tallymark.llm.mixing import mix
+from tallymark.llm.neighbours import nearest
 from tallymark.llm.ngram_join import link_components
 from tallymark.llm.packing import pack
 from tallymark.llm.record_files import read_records, write_records
@@ -133,6 +134,12 @@ def op7_bradley_terry_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_nn_descent_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
 @query
 def op9_digest_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents, starting from an empty cache."""

@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 
 #: Chunks kept per Python worker; beyond that the cache starts anew, so memory is bounded.
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 1_500_000
 
 _LOADED: dict[str, "Encoder"] = {}
 _LOCK = threading.Lock()

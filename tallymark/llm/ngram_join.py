@@ -1,8 +1,8 @@
 """Similarity join of documents on their word shingles, by a grouped prefix join.
 
 Two sets of n and m shingles can only reach the similarity if their prefixes, the first quarter
-of each in any order common to all, share a shingle. The order here is rare first, by a count
-sketch of fixed size, so shared passages come last and hardly ever take part. Documents with the
+of each in any order common to all, share a shingle. The order here is rare first, by the counts
+of a sketch of fixed size, so shared passages come last and hardly ever take part. Documents with the
 same prefix and size are collapsed into one group and only groups are joined; pairs of groups
 pass filters on size and position before they are expanded to members, and members are verified
 on their whole sets.
@@ -32,7 +32,7 @@ from tallymark.llm.shared import settle
 WORDS = 5
 #: The similarity, 75 of 100.
 SHARE, OF = 75, 100
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 SLICES = 64
 #: Sketches merged in one group.
 FAN_IN = 64
@@ -100,10 +100,9 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:
-    """How far each bucket stands out of the mean, in quarter octaves; 0 for what chance explains."""
-    mean = counts.mean()
-    over = np.maximum(counts - mean, 1)
-    return np.where(counts > mean + 6 * np.sqrt(mean) + 8, 1 + 4 * np.log2(over), 0).astype(np.uint8)
+    """The rank of each bucket's count, in steps far below the spread that chance gives to counts."""
+    step = max(1.0, float(np.sqrt(counts.mean())) / 8)
+    return np.minimum(counts / step, (1 << 16) - 1).astype(np.uint16)
 
 
 def prefix(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -115,7 +114,7 @@ def prefix(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 def set_rows(bare: DataFrame, levels: np.ndarray) -> DataFrame:
     """Per document: set size, digest of the set, digest of size and prefix, and the prefix."""
-    shared = bare.sparkSession.sparkContext.broadcast(levels)  # 2 MB at any size of the input
+    shared = bare.sparkSession.sparkContext.broadcast(levels)  # 8 MB at any size of the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +166,11 @@ def hashes_of(bare: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(bare: DataFrame, members: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of set_ids whose whole sets are similar."""
+    pairs = settle(pairs, f"{name}-open")
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    sets = settle(hashes_of(bare, members.join(ends, "set_id")), f"{name}-sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("right"))
 
@@ -181,7 +183,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(OF * common >= SHARE * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return settle(whole.mapInArrow(run, "a binary, b binary"), name)
 
 
 def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,12 +212,9 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     shared = settle(shared.filter("ahead is not null or next is not null").drop("next"), "ngram-postings")
 
     # a group of several sets takes part even if it shares its prefix with no other
-    several = sets.groupBy("gid").agg(F.count("*").alias("members"), F.min("set_id").alias("head"))
-    joined = shared.select("gid").distinct()
-    members = settle(
-        sets.join(joined.union(several.filter("members > 1").select("gid")).distinct(), "gid", "left_semi"), "ngram-members"
-    )
-    hashes = settle(hashes_of(bare, members), "ngram-hashes")
+    several = sets.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1")
+    joined = shared.select("gid").union(several.select("gid")).distinct()
+    members = settle(sets.join(joined, "gid", "left_semi"), "ngram-members")
 
     heads = members.groupBy("gid").agg(F.min("set_id").alias("head"))
     near = shared.filter("ahead is not null").filter(
@@ -226,7 +226,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     inside = members.select(
         F.col("set_id").alias("a"), F.lag("set_id").over(Window.partitionBy("gid").orderBy("set_id")).alias("b")
     ).filter("b is not null")
-    links = settle(verified(near.union(inside), hashes), "ngram-links")
+    links = verified(bare, members, near.union(inside), "ngram-links")
 
     roots = components(links, "ngram-stars")
     placed = settle(
@@ -244,7 +244,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     same = placed.alias("x").join(
         placed.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.root") < F.col("y.root"))
     ).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
-    more = settle(verified(far.union(same).distinct(), hashes), "ngram-more-links")
+    more = verified(bare, members, far.union(same).distinct(), "ngram-more-links")
 
     stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     final = components(stars.union(more), "ngram-components")

@@ -23,13 +23,22 @@ def fold(id_column: str, folds: int) -> Column:
 
 
 def sample_per_label(labelled: DataFrame, label: str, most: int, id_column: str = "doc_id") -> DataFrame:
-    """At most ``most`` rows of each label, those with the smallest hashes of the id.
+    """About ``most`` rows of each label, those with the smallest hashes of the id; rows with equal ids go together.
 
-    Each task keeps only its own smallest before the shuffle, so a frequent label gathers no
-    more than ``most`` rows per task.
+    Labels' row counts tell which hashes can be among the smallest, so few rows are ranked, even
+    of a label that most rows have; the rows themselves are filtered where they are read. What
+    is broadcast has one row per label, of which a model holds weights too.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(id_column), id_column)
-    return labelled.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_column)), 1)
+    keys = labelled.select(F.col(label).alias("__label"), place.alias("__place"))
+    counts = keys.groupBy("__label").agg(F.count("*").alias("__rows"))
+    low = F.col("__place") / float(1 << 63) * F.col("__rows") <= 2.0 * most + 100
+    ranked = keys.join(F.broadcast(counts), "__label").filter(low).withColumn(
+        "__rank", F.row_number().over(Window.partitionBy("__label").orderBy("__place"))
+    )
+    ends = ranked.filter(F.col("__rank") <= most).groupBy("__label").agg(F.max("__place").alias("__end"))
+    found = labelled.join(F.broadcast(ends), F.col(label) == F.col("__label")).filter(place <= F.col("__end"))
+    return found.drop("__label", "__end")
 
 
 class WordTable:

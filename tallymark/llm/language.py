@@ -105,8 +105,7 @@ def train(
     """
     known = labelled.select(id_column, F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     known = known.filter("label is not null and text is not null")
-    chosen = sample_per_label(known.select(id_column, "label"), "label", per_language, id_column)
-    sample = known.join(chosen.select(id_column, "label").distinct(), [id_column, "label"], "left_semi")
+    sample = sample_per_label(known, "label", per_language, id_column)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -32,14 +32,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def labelled(spark: SparkSession, folder: str, label: str) -> DataFrame:
-    """Texts with one label, without the documents of the held-out fold, 0 of 5."""
-    labels = table(spark, folder, "labels").select("doc_id", label)
-    return table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id").filter(fold("doc_id", 5) != 0)
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels without those of the held-out fold, 0 of 5."""
+    return table(spark, folder, "labels").filter(fold("doc_id", 5) != 0)
 
 
-def quality_model(spark: SparkSession, folder: str) -> quality.QualityModel:
-    return quality.train(labelled(spark, folder, "quality"))
+def quality_model(docs: DataFrame, known: DataFrame) -> quality.QualityModel:
+    return quality.train(docs, known)
 
 
 def language_model(docs: DataFrame) -> language.LanguageModel:
@@ -50,7 +49,7 @@ def language_model(docs: DataFrame) -> language.LanguageModel:
 def op1_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents; the labels know two grades."""
     docs = table(spark, folder, "documents")
-    graded = toxicity.train(labelled(spark, folder, "toxic"), label="toxic").grade(docs)
+    graded = toxicity.train(docs, labels(spark, folder), label="toxic").grade(docs)
     return graded.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
 
 
@@ -127,7 +126,8 @@ def op6_epsilon_grid_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_bradley_terry_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of all documents, learned from folds 1 to 4 of 5."""
-    scored = quality_model(spark, folder).score(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    scored = quality_model(docs, labels(spark, folder)).score(docs)
     return scored.select(
         "doc_id", "score", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
         (F.col("score") >= 0.3).cast("int").alias("predicted"),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.fitting import WordTable, sample_per_label, trimmed
+from tallymark.llm.shared import settle
 
 BEGINNINGS = (3, 4, 5, 6, 7)
 FEATURE_BITS = 31
@@ -118,14 +119,14 @@ def telling(sample: DataFrame, most: int, least_rows: int) -> list[int]:
 
 
 def train(
-    labelled: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "grade", per_grade: int = 3000,
+    docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "grade", per_grade: int = 3000,
     most_features: int = 4000, least_rows: int = 5, sparsity: float = 2e-4, rounds: int = 600,
 ) -> ToxicityModel:
-    """Learn from at most ``per_grade`` documents of each grade 0, 1, 2 ..., whole texts; null grades are left out."""
-    known = labelled.select(id_column, F.col(label).cast("int").alias("label"), F.coalesce(text, F.lit("")).alias("text"))
-    known = known.filter("label >= 0")
-    chosen = sample_per_label(known.select(id_column, "label"), "label", per_grade, id_column).distinct()
-    sample = known.join(chosen, [id_column, "label"], "left_semi").select("label", "text")
+    """Learn from about ``per_grade`` documents of each grade 0, 1, 2 ..., whole texts; null grades are left out."""
+    known = labels.select(id_column, F.col(label).cast("int").alias("label")).filter("label >= 0")
+    chosen = F.broadcast(sample_per_label(known, "label", per_grade, id_column))  # bounded: per_grade rows a grade
+    texts = docs.select(id_column, F.coalesce(text, F.lit("")).alias("text"))
+    sample = settle(texts.join(chosen, id_column).select("label", "text"), "toxicity-sample")
     features = np.array(telling(sample, most_features, least_rows), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,27 +1,69 @@
-"""From raw documents to packed windows: the stages of a training-data pipeline."""
+"""From raw documents to packed windows: the stages of a training-data pipeline.
+
+Every stage works on all rows that its predecessor kept, and its decisions take effect: what it
+rejects is gone for the stages after it. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tallymark.llm.mixing import mixed
+from tallymark.llm.ngram_join import link_components
 from tallymark.llm.packing import pack
+from tallymark.llm.queries import labels, language_model, quality_model
 from tallymark.llm.shared import settle
 from tallymark.llm.vocab import tokenizer_path
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold; labelled documents are learned from."""
+    return quality_model(docs, labels(spark, sf_dir)).filter(docs)
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough certainty."""
+    return language_model(docs).filter(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Documents without shingles are near no other and stay. Of rows with equal ids one stays, the
+    one whose text has the smallest hash; rows without an id stay.
+    """
+    classes = link_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    left = docs.filter("doc_id is not null").join(classes, "doc_id", "left_anti").select(docs.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    left = left.withColumn("__first", first).filter("__first = 1").drop("__first")
+    return left.union(docs.filter("doc_id is null"))  # these all share no key, and meet in no task
+
+
+def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 4096 tokens, a row per piece."""
     return pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", good),
+    ("language ID", identified),
+    ("n-gram Jaccard join", distinct),
+    ("mixing sources", weighted),
+    ("packing", packed),
+]
 
-#: Packing has no SQL form; tests hold the stages against brute force.
+#: The classifiers and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}".replace(" ", "-"))
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

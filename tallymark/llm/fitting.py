@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +102,15 @@ def trimmed(word: bytes) -> str:
         return text
     letters = [i for i, c in enumerate(text) if c.isalpha()]
     return text[letters[0] : letters[-1] + 1] if letters else ""
+
+
+def keep_rows(docs: DataFrame, keeps: Callable[[list[str | None]], Sequence[bool]], text: str = "text") -> DataFrame:
+    """The rows whose texts ``keeps`` accepts, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.fitting import WordTable, sample_per_label, trimmed
+from tallymark.llm.fitting import WordTable, keep_rows, sample_per_label, trimmed
 
 UNKNOWN = "und"
 _TABLES: dict[str, WordTable] = {}
@@ -76,8 +76,9 @@ class LanguageModel:
             for batch in batches:
                 sums = model.table().sums(batch.column("text").to_pylist())
                 best, score = model.choose(sums)
-                lang = [model.languages[i] if n else UNKNOWN for i, n in zip(best, sums[:, -1], strict=True)]
-                accepted = (sums[:, -1] > 0) & (score >= model.reject_below)
+                known = [*model.languages, UNKNOWN]
+                lang = [known[i] if n else UNKNOWN for i, n in zip(best, sums[:, -1], strict=True)]
+                accepted = model._accepts(sums)
                 yield pa.record_batch(
                     [batch.column(id_column), pa.array(lang), pa.array(score), pa.array(accepted)],
                     names=[id_column, "lang_pred", "score", "accepted"],
@@ -86,8 +87,18 @@ class LanguageModel:
         kind = dict(bare.dtypes)[id_column]
         return bare.mapInArrow(run, f"{id_column} {kind}, lang_pred string, score double, accepted boolean")
 
+    def filter(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The rows whose text's language is accepted, with all their columns."""
+        return keep_rows(docs, lambda texts: self._accepts(self.table().sums(texts)), text)
+
+    def _accepts(self, sums: np.ndarray) -> np.ndarray:
+        _, score = self.choose(sums)
+        return (sums[:, -1] > 0) & (score >= self.reject_below) & bool(self.languages)
+
     def choose(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and probability of the likeliest language, from score sums and n-gram numbers."""
+        if not self.languages:
+            return np.zeros(len(sums), int), np.zeros(len(sums))
         logits = (sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias) / self.temperature
         chance = np.exp(logits - logits.max(1, keepdims=True))
         chance /= chance.sum(1, keepdims=True)
@@ -101,7 +112,7 @@ def train(
     """Learn from at most ``per_language`` documents of each language, whole texts; null labels are left out.
 
     A fifth of them is the calibration fold. ``reject_below`` is the score that the share
-    ``rejected`` of its rightly predicted documents fails to reach, ``reject_cap`` at most.
+    ``rejected`` of its rightly predicted documents fails to reach, ``reject_cap`` at most. Without labelled texts every text is ``und``.
     """
     known = labelled.select(id_column, F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     known = known.filter("label is not null and text is not null")
@@ -127,8 +138,8 @@ def train(
     )
     rows.sort(key=lambda r: (r["label"], zlib.crc32(r["own"]), zlib.crc32(r["times"])))
     languages = sorted({r["label"] for r in rows})
-    if not languages:
-        raise ValueError("no labelled text to learn from")
+    if not languages:  # nothing to learn from: every text is unknown
+        return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     target = np.array([languages.index(r["label"]) for r in rows])
     own = [np.frombuffer(r["own"], "<u4") for r in rows]
     times = [np.frombuffer(r["times"], "<f4") for r in rows]

@@ -100,8 +100,6 @@ def telling(sample: DataFrame, most: int, least_rows: int) -> list[int]:
 
     totals = sample.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("up")).first()
     n, up = float(totals["n"]), float(totals["up"])
-    if not 0 < up < n:
-        raise ValueError("the sample needs documents of grade 0 and above")
     seen = sample.mapInArrow(run, "feature long, up long").groupBy("feature").agg(
         F.count("*").alias("rows"), F.sum("up").alias("up")
     ).filter(F.col("rows") >= least_rows)
@@ -122,11 +120,16 @@ def train(
     docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "grade", per_grade: int = 3000,
     most_features: int = 4000, least_rows: int = 5, sparsity: float = 2e-4, rounds: int = 600,
 ) -> ToxicityModel:
-    """Learn from about ``per_grade`` documents of each grade 0, 1, 2 ..., whole texts; null grades are left out."""
+    """Learn from about ``per_grade`` documents of each grade 0, 1, 2 ..., whole texts; null grades are left out.
+
+    Unless documents of grade 0 and above are known, every document gets grade 0.
+    """
     known = labels.select(id_column, F.col(label).cast("int").alias("label")).filter("label >= 0")
     chosen = F.broadcast(sample_per_label(known, "label", per_grade, id_column))  # bounded: per_grade rows a grade
     texts = docs.select(id_column, F.coalesce(text, F.lit("")).alias("text"))
     sample = settle(texts.join(chosen, id_column).select("label", "text"), "toxicity-sample")
+    if sample.select(F.col("label") > 0).distinct().count() < 2:  # nothing to tell apart: all documents get grade 0
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]))
     features = np.array(telling(sample, most_features, least_rows), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ import hashlib
 import json
 import os
 import threading
+import unicodedata
 from array import array
 from collections.abc import Sequence
 from itertools import chain
@@ -205,10 +206,12 @@ def _chunks(text: str | None) -> list[bytes]:
 
 
 def _parts(chunk: bytes) -> tuple[bytes, ...]:
-    """A word with closing signs falls in two."""
+    """A word with closing signs falls in two, if it ends in a letter as the tokenizer sees it."""
     word = chunk.rstrip(_SIGNS)
-    if 0 < len(word) < len(chunk) and b"<" not in chunk and word.decode()[-1].isalpha():
-        return (word, chunk[len(word) :])
+    if 0 < len(word) < len(chunk) and b"<" not in chunk:
+        last = word.decode() if word.isascii() else unicodedata.normalize("NFC", word.decode()).lower()
+        if last[-1].isalpha():
+            return (word, chunk[len(word) :])
     return (chunk,)
 
 

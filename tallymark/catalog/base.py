@@ -7,7 +7,6 @@ category of a reconciliation occurs.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -36,9 +35,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder every executor can reach: under the cluster's shared folder when it names one."""
+    """A fresh folder every executor can reach: in the cluster's shared folder, else in the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='run-')}/{uuid.uuid4().hex}"
+    folder = shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 # -- orders pair ------------------------------------------------------------

@@ -162,10 +162,13 @@ def rec_classified(spark: SparkSession, sf: str) -> DataFrame:
           FROM c WHERE category = 'different' AND NOT m_status
           UNION ALL
           SELECT o_orderkey, 'priority', source_priority, target_priority
-          FROM c WHERE category = 'different' AND NOT m_priority""",
+          FROM c WHERE category = 'different' AND NOT m_priority
+          UNION ALL
+          SELECT o_orderkey, 'price', CAST(source_price AS VARCHAR), CAST(target_price AS VARCHAR)
+          FROM c WHERE category = 'different' AND NOT m_price""",
 )
 def rec_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf).breaks().filter("field <> 'price'")
+    return _orders(spark, sf).breaks()
 
 
 # -- statistics ------------------------------------------------------------------------
@@ -293,12 +296,14 @@ def rec_field_stats(spark: SparkSession, sf: str) -> DataFrame:
     _orders_stats_sql()
     + f""", n AS (SELECT {SUMMARY_COLUMNS_SQL} FROM c)
 SELECT ({COUNT_ORDERS}) AS total_source, ({COUNT_ORDERS}) AS total_target, n.*,
-       matched / (matched + different) AS record_match_rate, stats.*, CAST(0 AS BIGINT) AS non_numeric
+       matched / (matched + different) AS record_match_rate,
+       different / (matched + different) AS record_difference_rate, stats.*, CAST(0 AS BIGINT) AS non_numeric
 FROM n, stats""",
 )
 def rec_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Record and field statistics from one pass over the joined rows."""
-    row = _orders(spark, sf).statistics().withColumnRenamed("match_rate", "record_match_rate").drop("difference_rate")
+    rates = {"match_rate": "record_match_rate", "difference_rate": "record_difference_rate"}
+    row = _orders(spark, sf).statistics().withColumnsRenamed(rates)
     counts = [c for c in row.columns if c != "field_statistics"]
     return row.select(*counts, F.inline("field_statistics"))
 
@@ -442,11 +447,12 @@ def rec_post_target(spark: SparkSession, sf: str) -> DataFrame:
     + f""", p AS (SELECT *, {POST_SOURCE} AS changed FROM j)
 SELECT o_orderkey, {category_sql(absolute_sql('changed', 'target_price', 0.01),
                                  same_sql('source_priority', 'target_priority'))} AS category,
-       'source' AS side, 'price' AS field, 'low priority takes the target price' AS reason
+       'source' AS side, 'price' AS field, CAST(source_price AS VARCHAR) AS original,
+       CAST(changed AS VARCHAR) AS adjusted, 'low priority takes the target price' AS reason
 FROM p WHERE changed IS DISTINCT FROM source_price""",
 )
 def rec_adjusted_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return _post_result(spark, sf).adjustments().drop("original", "adjusted")
+    return _post_result(spark, sf).adjustments()
 
 
 # -- reports -------------------------------------------------------------------------

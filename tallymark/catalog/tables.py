@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from tallymark.catalog.base import (
     table,
 )
 from tallymark.operators.lookup import aggregate_by, append_aggregate, append_columns, repeated_keys
+from tallymark.operators.mapping import map_values
 from tallymark.operators.quality import check_dataset, clean_names, dataset_check, profile, profile_columns, standardize
 from tallymark.plans.batch import Job, append_summary, reconcile_batch, summarize_values
 from tallymark.plans.reconcile import reconcile
@@ -187,6 +190,79 @@ def pivot_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return append_aggregate(left, lines, "o_orderkey=l_orderkey", ["l_quantity"], ["quantity"])
 
 
+@register(
+    "pivot_lookup_padded_keys",
+    """SELECT o.o_orderkey, coalesce(CAST(q AS VARCHAR), '') AS quantity
+       FROM (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders) o
+       LEFT JOIN (SELECT trim(k) AS k, arg_max(q, k) AS q
+                  FROM (SELECT CAST(l_orderkey AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE '' END AS k,
+                               sum(l_quantity) AS q FROM lineitem GROUP BY 1)
+                  GROUP BY 1) l ON o.o_orderkey = l.k""",
+)
+def pivot_lookup_padded_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that differ by blanks are two groups of the aggregate, one key of the lookup; the last group wins."""
+    left = table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) as o_orderkey")
+    padded = "concat(l_orderkey, if(l_linenumber % 2 = 0, ' ', '')) as k"
+    lines = table(spark, sf, "lineitem").selectExpr(padded, "l_quantity")
+    return append_aggregate(left, lines, "o_orderkey=k", ["l_quantity"], ["quantity"])
+
+
+@register(
+    "lookup_repeated_right",
+    """SELECT c.c_custkey, coalesce(o.status, '') AS status FROM customer c
+       LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS status FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey""",
+)
+def lookup_repeated_right(spark: SparkSession, sf: str) -> DataFrame:
+    """A right side that is said to be unique and is not: still every left row once."""
+    left, right = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders")
+    return append_columns(left, right, "c_custkey=o_custkey", ["o_orderstatus"], ["status"], unique=True)
+
+
+# -- mappings of typed columns, in both forms ------------------------------------------
+
+
+def _typed_mapping(entries: int) -> None:
+    """Old values that the column holds in another form are converted; those it cannot hold map nothing."""
+    first = datetime.date(1992, 1, 1)
+
+    @register(
+        f"map_bigint_{entries}",
+        f"""SELECT o_orderkey, CASE WHEN o_custkey BETWEEN 0 AND {entries - 1} AND o_custkey % 3 <> 0 THEN -o_custkey
+            ELSE o_custkey END AS o_custkey FROM orders""",
+    )
+    def whole(spark: SparkSession, sf: str) -> DataFrame:
+        mapping = {i + 0.5 if i % 3 == 0 else float(i) if i % 3 == 1 else i: -i for i in range(entries)}
+        return map_values(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", mapping)
+
+    @register(
+        f"map_double_{entries}",
+        f"""SELECT l_orderkey, l_linenumber, CASE WHEN q BETWEEN 0 AND {entries // 4} THEN q * 10 ELSE q END AS q
+            FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 4 AS q FROM lineitem)""",
+    )
+    def fractional(spark: SparkSession, sf: str) -> DataFrame:
+        quarters = "cast(l_quantity as double) / 4 as q"
+        mapping = {i // 4 if i % 4 == 0 else i / 4: i * 2.5 for i in range(entries // 4 * 4 + 1)}
+        return map_values(table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", quarters), "q", mapping)
+
+    @register(
+        f"map_date_{entries}",
+        f"""SELECT o_orderkey, CASE WHEN d BETWEEN DATE '1992-01-01' AND DATE '1992-01-01' + {entries - 1}
+                AND (d - DATE '1992-01-01') % 3 <> 0 THEN DATE '2000-01-01' ELSE d END AS d
+            FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
+    )
+    def days(spark: SparkSession, sf: str) -> DataFrame:
+        new = datetime.date(2000, 1, 1)
+        shift = datetime.timedelta(days=1)
+        midnight = datetime.datetime(1992, 1, 1)
+        forms = (lambda i: midnight + i * shift + shift / 2, lambda i: first + i * shift, lambda i: midnight + i * shift)
+        mapping = {forms[i % 3](i): new for i in range(entries)}
+        return map_values(table(spark, sf, "orders").selectExpr("o_orderkey", "cast(o_orderdate as date) as d"), "d", mapping)
+
+
+_typed_mapping(60)
+_typed_mapping(100)
+
+
 # -- quality --------------------------------------------------------------------------
 
 

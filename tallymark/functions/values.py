@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from datetime import date, datetime
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -158,6 +159,35 @@ def fits_family(value: Any, dtype: T.DataType) -> bool:
     return False
 
 
+_WHOLE_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def held_as(value: Any, dtype: T.DataType) -> list[Any]:
+    """The value as a column of this type holds it, in a list; an empty list if it cannot hold it exactly."""
+    if not fits_family(value, dtype) or isinstance(value, float) and math.isnan(value):
+        return []
+    if family(dtype) == TEXT:
+        return [value]
+    if family(dtype) == DATETIME:
+        if not isinstance(dtype, T.DateType):
+            return [value if isinstance(value, datetime) else datetime(value.year, value.month, value.day)]
+        if isinstance(value, datetime):
+            return [value.date()] if value == datetime(value.year, value.month, value.day) else []
+        return [value]
+    if isinstance(dtype, T.BooleanType):
+        return [bool(value)] if value in (0, 1) else []
+    if is_floating(dtype):
+        return [float(value)] if abs(value) < 1e308 and (isinstance(value, float) or float(value) == value) else []
+    if math.isinf(value):
+        return []
+    if isinstance(dtype, T.DecimalType):
+        exact = Decimal(str(value)) if isinstance(value, float) else Decimal(int(value))
+        fits = exact == round(exact, dtype.scale) and abs(exact) < Decimal(10) ** (dtype.precision - dtype.scale)
+        return [round(exact, dtype.scale)] if fits else []
+    bits = _WHOLE_BITS[type(dtype)]
+    return [int(value)] if value == int(value) and -(1 << bits - 1) <= value < 1 << bits - 1 else []
+
+
 def literal_like(value: Any, dtype: T.DataType) -> Column:
     if value is None:
         return F.lit(None).cast(dtype)

@@ -86,6 +86,11 @@ def align_key_types(source: DataFrame, target: DataFrame, names: Sequence[str])
     """Bring each key to one type on both sides, so equal keys hash and render alike."""
     for name in names:
         s, t = source.schema[name].dataType, target.schema[name].dataType
+        if isinstance(s, T.BooleanType) != isinstance(t, T.BooleanType):  # flags are the numbers 1 and 0
+            if isinstance(s, T.BooleanType):
+                source, s = source.withColumn(name, _col(name).cast("int")), T.IntegerType()
+            else:
+                target, t = target.withColumn(name, _col(name).cast("int")), T.IntegerType()
         common = s if s == t else source.select(_col(name)).union(target.select(_col(name))).schema[0].dataType
         if s == t and not V.is_floating(common):
             continue

@@ -29,7 +29,7 @@ def expand_alternative_keys(df: DataFrame, keys: Sequence[Key], *, drop_null_alt
     A row is appended when its alternative value is no primary key value of the
     table. Primary values are taken once per key, so alternatives do not exclude
     each other. Rows without an alternative value become null-key rows unless
-    dropped; they need no lookup, so they never reach the join.
+    dropped. Each key reads the table twice, whatever the number of alternatives.
     """
     for key in keys:
         present = [a for a in key.target_alternatives if a in df.columns]
@@ -39,15 +39,13 @@ def expand_alternative_keys(df: DataFrame, keys: Sequence[Key], *, drop_null_alt
             continue
         primary = key.target
         taken = df.select(F.col(f"`{primary}`").alias("__taken")).filter("__taken is not null").distinct()
-        expanded = df
-        for alternative in present:
-            alt = F.col(f"`{alternative}`")
-            filled = df.filter(alt.isNotNull())
-            fresh = filled.join(taken, alt == F.col("__taken"), "left_anti")
-            if not drop_null_alternatives:
-                fresh = fresh.unionByName(df.filter(alt.isNull()))
-            expanded = expanded.unionByName(fresh.withColumn(primary, alt))
-        df = expanded
+        values = [F.struct(F.col(f"`{c}`").alias("value"), F.lit(c == primary).alias("own")) for c in (primary, *present)]
+        # one pass: each row with its own and its alternative values, then one anti join for the latter
+        rows = df.withColumn("__key", F.explode(F.array(*values)))
+        if drop_null_alternatives:
+            rows = rows.filter("__key.own or __key.value is not null")
+        clash = (F.col("__key.value") == F.col("__taken")) & ~F.col("__key.own")
+        df = rows.join(taken, clash, "left_anti").withColumn(primary, F.col("__key.value")).drop("__key")
     return df
 
 

@@ -71,19 +71,16 @@ def lookup_table(
 ) -> DataFrame:
     """Right side reduced to one row per key, the last one by ``order_by``, values as text.
 
-    It is an aggregate, so rows are combined map-side and no key's rows are sorted in one task.
+    Without an order, the row with the greatest values stands for a repeated key. It is an aggregate, so rows are combined map-side and no key's rows are sorted in one task.
     """
     parts = [_key_part(right, k, n) for k, n in zip(keys, native)]
     named = [p.alias(f"__k{i}") for i, p in enumerate(parts)]
     kept = right.filter(~_blank(parts, native))
-    if order_by is None:
-        raw = [F.col(f"`{v}`").alias(f"__v{i}") for i, v in enumerate(values)]
-        table = kept.select(*named, *raw)
-    else:
-        picked = F.struct(*[F.col(f"`{v}`").alias(f"__v{i}") for i, v in enumerate(values)])
-        # the greatest (order, values) pair: rows that tie on the order are settled by their values
-        last = F.max(F.struct(_order(order_by).alias("order"), picked.alias("values"))).alias("__last")
-        table = kept.groupBy(*named).agg(last).select(*[f"__k{i}" for i in range(len(keys))], "__last.values.*")
+    picked = F.struct(*[F.col(f"`{v}`").alias(f"__v{i}") for i, v in enumerate(values)])
+    # the greatest (order, values) pair: rows that tie on the order are settled by their values
+    order = [] if order_by is None else [_order(order_by).alias("order")]
+    last = F.max(F.struct(*order, picked.alias("values"))).alias("__last")
+    table = kept.groupBy(*named).agg(last).select(*[f"__k{i}" for i in range(len(keys))], "__last.values.*")
     texts = [V.as_text(F.col(f"__v{i}"), right.schema[v].dataType).alias(f"__v{i}") for i, v in enumerate(values)]
     return table.select(*[f"__k{i}" for i in range(len(keys))], *texts)
 
@@ -113,8 +110,10 @@ def append_columns(
     """Append right-hand values to every left row, as text, empty when there is none.
 
     Key parts are compared trimmed; an all-blank key matches nothing. When a key
-    repeats on the right its last row by ``order_by`` wins; pass ``unique=True``
-    instead when keys cannot repeat. Catalyst picks a broadcast or a sort-merge
+    repeats on the right its last row by ``order_by`` wins; ``unique=True`` says
+    that no order is needed because keys do not repeat, and where they do after
+    all (trimmed keys may), the row with the greatest values wins. Either way
+    every left row comes out once. Catalyst picks a broadcast or a sort-merge
     join from the size of the right side; a hot left key is split by adaptive
     skew handling, and blank keys are spread over tasks here.
     """
@@ -208,9 +207,12 @@ def append_aggregate(
     *,
     order_by: str | Column | Sequence[str | Column] | None = None,
 ) -> DataFrame:
-    """Aggregate the right side by its key columns, then append the result."""
+    """Aggregate the right side by its key columns, then append the result.
+
+    Groups whose keys differ by blanks only are one key to the lookup; the last in key order wins.
+    """
     index = [resolve_column(right, pair[1]) for pair in parse_key_pairs(keys)]
     columns = [resolve_column(right, v) for v in values]
     table = aggregate_by(right, index, columns, function, order_by=order_by)
     pairs = [(left_key, index[i]) for i, (left_key, _) in enumerate(parse_key_pairs(keys))]
-    return append_columns(left, table, pairs, columns, out or [v.lower() for v in values], unique=True)
+    return append_columns(left, table, pairs, columns, out or [v.lower() for v in values], order_by=index)

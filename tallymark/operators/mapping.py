@@ -58,7 +58,8 @@ def _result_type(dtype: T.DataType, new_values: list[Any]) -> T.DataType:
 
 
 def _restrict(mapping: Mapping[Any, Any], dtype: T.DataType) -> _Lookup:
-    entries = {k: v for k, v in mapping.items() if V.fits_family(k, dtype)}
+    """Keys converted once for both forms; equal ones after conversion are one key, the last wins."""
+    entries = {held: new for old, new in mapping.items() for held in V.held_as(old, dtype)}
     return _Lookup(entries, _result_type(dtype, list(entries.values())))
 
 
@@ -146,9 +147,9 @@ def mapped_where(
         cases = [(mask, mapping.mappings.get("default", {}))]
     else:
         cases = [
-            (cond.isNotNull() & (cond == V.literal_like(key, cond_type)), old_to_new)
+            (cond.isNotNull() & (cond == V.literal_like(held, cond_type)), old_to_new)
             for key, old_to_new in mapping.mappings.items()
-            if V.fits_family(key, cond_type)
+            for held in V.held_as(key, cond_type)
         ]
     cases = [(test, _restrict(m, dtype).entries) for test, m in cases]
     cases = [(test, entries) for test, entries in cases if entries]
@@ -237,8 +238,8 @@ class ColumnUpdates:
         self.set(name, *mapped_where(self.column(name), dtypes[0], mapping, cond, dtypes[1]))
 
     def transform(self, name: str, expression: ValueExpression) -> None:
-        if isinstance(expression, str) and any(updated in expression for updated in self._pending):
-            self.settle()  # the text may name an updated column
+        if isinstance(expression, str) and any(updated.lower() in expression.lower() for updated in self._pending):
+            self.settle()  # the text may name an updated column, in any case
         dtype = self.dtype(name)
         self.set(name, transformed(self.column(name), dtype, expression))
 

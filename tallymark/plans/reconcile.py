@@ -438,7 +438,17 @@ class Reconciliation:
         return self._statistics_row(with_fields=False).select(*SUMMARY_COLUMNS)
 
     def statistics(self) -> DataFrame:
-        """The summary row with the field statistics as an array, from one pass over the joined rows."""
+        """The summary row with the field statistics as an array.
+
+        One pass over the joined rows gives both, unless there are more than ``WIDE_FIELDS`` fields.
+        """
+        if len(self.spec.compared_fields) > WIDE_FIELDS:
+            stats = self.field_stats()  # a row per field of the spec
+            place = F.array_position(F.array(*[F.lit(f.name) for f in self.spec.compared_fields]), F.col("field"))
+            entry = F.struct(place.alias("place"), F.struct(*stats.columns).alias("entry"))
+            listed = stats.agg(F.sort_array(F.collect_list(entry)).alias("found"))
+            listed = listed.select(F.lit(1).alias("one"), F.col("found.entry").alias("field_statistics"))
+            return self.summary().withColumn("one", F.lit(1)).join(listed, "one").drop("one")
         entries = []
         for i, field in enumerate(self.spec.compared_fields):
             matches, comparable, odd = [F.col(f"{label}_{i}") for label in FIELD_COUNTS]
@@ -470,6 +480,9 @@ class Reconciliation:
         if hot is not None and hot.meeting:
             sums = [F.sum(c).alias(c) for c in FIELD_COUNTS]
             long = long.unionByName(hot.field_counts()).groupBy("field").agg(*sums)
+        # fields of which no rows were paired have counts of 0, as in the other form
+        every = long.sparkSession.createDataFrame([(f.name,) for f in self.spec.compared_fields], "field string")
+        long = every.join(long, "field", "left").fillna(0, list(FIELD_COUNTS))
         rate = F.coalesce(F.try_divide(F.col("matches"), F.col("comparable")), F.lit(0.0))
         return long.select(
             "field",

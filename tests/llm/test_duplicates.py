@@ -99,7 +99,9 @@ def test_shingles_ignore_case_of_ascii_only():
 
 
 @pytest.mark.parametrize("links", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(5, 3), (3, 9), (9, 5), (20, 21)], []])
-def test_components(spark, links):
+@pytest.mark.parametrize("per_task", [400_000, 7])
+def test_components(spark, monkeypatch, links, per_task):
+    monkeypatch.setattr("tallymark.llm.graph.LINKS_PER_TASK", per_task)
     shuffled = links[:]
     random.Random(1).shuffle(shuffled)
     df = spark.createDataFrame(shuffled, "a long, b long")

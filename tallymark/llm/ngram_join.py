@@ -4,8 +4,8 @@ Two sets of n and m shingles can only reach the similarity if their prefixes, th
 of each in any order common to all, share a shingle. The order here is rare first, by the counts
 of a sketch of fixed size, so shared passages come last and hardly ever take part. Documents with the
 same prefix and size are collapsed into one group and only groups are joined; pairs of groups
-pass filters on size and position before they are expanded to members, and members are verified
-on their whole sets.
+pass filters on size and position before they are expanded to members. Members pass a filter on
+parity bits, a thirty-second of their sets, and are then verified on their whole sets.
 
 Only components are wanted, so pairs are formed in two rounds. In the first, each group is
 paired with the one before it in the list of each shared shingle, which is linear in the lists
@@ -112,8 +112,22 @@ def prefix(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return hashes[rare[:length]]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """For each of at least twice as many hash buckets as shingles, whether an odd number of them lies there."""
+    bits = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def most_common(n: int, x: bytes, m: int, y: bytes) -> int:
+    """Shingles that sets of these sizes and parities can have in common at most: each odd bucket of one costs one."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)  # buckets of the smaller are unions of the larger's
+    return (n + m - int(np.bitwise_count(p ^ folded).sum())) // 2
+
+
 def set_rows(bare: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Per document: set size, digest of the set, digest of size and prefix, and the prefix."""
+    """Per document: set size, digest and parity of the set, digest of size and prefix, and the prefix."""
     shared = bare.sparkSession.sparkContext.broadcast(levels)  # 8 MB at any size of the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +146,15 @@ def set_rows(bare: DataFrame, levels: np.ndarray) -> DataFrame:
                         some.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
+                        pa.array([parity(s) for s in sets], pa.binary()),
                         pa.array([int.from_bytes(g[:8], "little", signed=True) for g in groups], pa.int64()),
                         pa.array([int.from_bytes(g[8:], "little", signed=True) for g in groups], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64))),
                     ],
-                    names=["doc_id", "n", "set_id", "gid", "check", "prefix"],
+                    names=["doc_id", "n", "set_id", "parity", "gid", "check", "prefix"],
                 )
 
-    return bare.mapInArrow(run, "doc_id long, n long, set_id binary, gid long, check long, prefix array<long>")
+    return bare.mapInArrow(run, "doc_id long, n long, set_id binary, parity binary, gid long, check long, prefix array<long>")
 
 
 def may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -166,9 +181,23 @@ def hashes_of(bare: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
+def plausible(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set_ids whose sizes and parities leave the similarity possible."""
+    names = ("n", "parity")
+    one, two = (members.select(F.col("set_id").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in names)) for k in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a_n", "a_parity", "b_n", "b_parity")]
+            keep = [(OF + SHARE) * most_common(n, x, m, y) >= SHARE * (n + m) for n, x, m, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "a_parity", "b_n", "b_parity").mapInArrow(run, "a binary, b binary")
+
+
 def verified(bare: DataFrame, members: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of set_ids whose whole sets are similar."""
-    pairs = settle(pairs, f"{name}-open")
+    pairs = settle(plausible(members, pairs), f"{name}-open")
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     sets = settle(hashes_of(bare, members.join(ends, "set_id")), f"{name}-sets")
     left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("left"))
@@ -200,11 +229,13 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     bare = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = settle(set_rows(bare, rarity(sketch(bare))), "ngram-sets")
     sets = settle(
-        rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("gid").alias("gid")),
+        rows.filter("n > 0").groupBy("set_id").agg(
+            F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "gid", "parity"))
+        ),
         "ngram-distinct",
     )
 
-    groups = rows.filter("n > 0").dropDuplicates(["gid", "check"])
+    groups = rows.filter("n > 0").select("gid", "check", "n", "prefix").dropDuplicates(["gid", "check"])
     postings = groups.select(F.posexplode("prefix").alias("place", "shingle"), "gid", F.col("n").cast("int").alias("n"))
     order = Window.partitionBy("shingle").orderBy("n", "gid")
     ahead = F.lag(F.struct("gid", "n", "place")).over(order).alias("ahead")

@@ -12,7 +12,7 @@ from tallymark.llm import queries
 from tallymark.llm.embedding_dedup import link_vectors, span
 from tallymark.llm.graph import components
 from tallymark.llm.neighbours import nearest
-from tallymark.llm.ngram_join import link_components, shingles
+from tallymark.llm.ngram_join import link_components, most_common, parity, shingles
 
 SMALL = os.environ.get("LLM_SMALL_DIR", "/root/testdata/sf0.001")
 
@@ -98,6 +98,17 @@ def test_shingles_ignore_case_of_ascii_only():
     assert shingles("a b")[0] != shingles("b a")[0]
 
 
+def test_parities_never_deny_common_shingles():
+    chance = random.Random(2)
+    for _ in range(300):
+        words = [prose(chance.randrange(99), chance.randrange(1, 400)) for _ in range(3)]
+        x, y = shingles(words[0] + " " + words[1]), shingles(words[0] + " " + chance.choice(words[1:]))
+        common = len(np.intersect1d(x, y))
+        bound = most_common(len(x), parity(x), len(y), parity(y))
+        assert common <= bound
+        assert len(x) < 50 or len(y) < 50 or bound <= common + (len(x) + len(y) - 2 * common) // 2
+
+
 @pytest.mark.parametrize("links", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)], [(5, 3), (3, 9), (9, 5), (20, 21)], []])
 @pytest.mark.parametrize("per_task", [400_000, 7])
 def test_components(spark, monkeypatch, links, per_task):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions.values import NUMBER_PATTERN
 from tallymark.operators.quality import check_dataset
@@ -47,19 +49,43 @@ def read_text_csv(
     sep: str | None = None,
     encoding: str = "UTF-8",
     multi_line: bool = False,
+    extra: str | None = None,
 ) -> DataFrame:
-    """CSV with every column as text, exactly as written; missing and empty fields are empty text."""
+    """CSV with every column as text, exactly as written; missing and empty fields are empty text.
+
+    The delimiter is told from the first lines, as a spreadsheet would; give ``sep`` to be sure.
+    Nothing is lost silently: reading fails on a file whose header differs from the first
+    file's, and on a row with more cells than the header, unless ``extra`` names a column that
+    takes the text of the further cells.
+    """
     delimiter = sep or detect_delimiter(spark, path, encoding)
-    rows = (
-        spark.read.option("header", True)
-        .option("sep", delimiter)
-        .option("encoding", encoding)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    return rows.na.fill("")
+
+    def reader():
+        return (
+            spark.read.option("header", True)
+            .option("sep", delimiter)
+            .option("encoding", encoding)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("multiLine", multi_line)
+        )
+
+    names = reader().csv(path).columns
+    line = "__line"
+    fields = [T.StructField(n, T.StringType()) for n in (*names, line)]
+    strict = reader().option("enforceSchema", False).option("columnNameOfCorruptRecord", line).option("columnPruning", False)
+    rows = strict.schema(T.StructType(fields)).csv(path)
+    # Spark keeps the line of a row that has another number of cells than the header
+    mark = re.escape(delimiter)
+    cell = f'(?:"(?:[^"]|"")*"|[^"{mark}]*)'
+    beyond = F.regexp_extract(line, f"(?s)^{cell}(?:{mark}{cell}){{{len(names) - 1}}}{mark}(.*)$", 1)
+    longer = F.regexp_like(line, F.lit(f"(?s)^{cell}(?:{mark}{cell}){{{len(names) - 1}}}{mark}"))
+    if extra is not None:
+        rows = rows.withColumn(extra, F.when(longer, beyond))
+    else:
+        message = F.concat(F.lit("more cells than the header has: "), F.substring(line, 1, 200))
+        rows = rows.filter(F.when(longer, F.raise_error(message).cast("boolean")).otherwise(True))
+    return rows.drop(line).na.fill("")
 
 
 def null_out_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
@@ -108,16 +134,41 @@ def read_csv(
     encoding: str = "UTF-8",
     multi_line: bool = False,
     schema: str | None = None,
+    unreadable: str = "null",
 ) -> DataFrame:
     """CSV with missing-value texts nulled and column types inferred.
 
-    A ``schema`` in DDL form skips the inference pass; give one for large files.
+    A ``schema`` in DDL form skips the inference pass; give one for large files. A cell that its
+    type cannot read is then missing; ``unreadable="raise"`` fails the read instead, and
+    ``unreadable_cells`` counts them.
     """
+    if unreadable not in ("raise", "null"):
+        raise ValueError(f"unreadable must be 'raise' or 'null', got {unreadable!r}")
     df = null_out_tokens(read_text_csv(spark, path, sep=sep, encoding=encoding, multi_line=multi_line))
     if schema is None:
         return infer_types(df)
     wanted = spark.createDataFrame([], schema).schema
-    return df.select(*[F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
+
+    def typed(field: T.StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        value = F.trim(col).try_cast(field.dataType)
+        if unreadable == "raise":
+            message = F.concat(F.lit(f"{field.name} is no {field.dataType.simpleString()}: "), col)
+            value = F.when(col.isNotNull() & value.isNull(), F.raise_error(message).cast(field.dataType)).otherwise(value)
+        return value.alias(field.name)
+
+    return df.select(*[typed(f) for f in wanted.fields])
+
+
+def unreadable_cells(
+    spark: SparkSession, path: str | Sequence[str], schema: str, *, sep: str | None = None, encoding: str = "UTF-8"
+) -> DataFrame:
+    """One row per column of ``schema``: how many filled cells of a CSV its type cannot read."""
+    df = null_out_tokens(read_text_csv(spark, path, sep=sep, encoding=encoding))
+    fields = spark.createDataFrame([], schema).schema.fields
+    counts = [F.count_if(F.col(f"`{f.name}`").isNotNull() & F.trim(F.col(f"`{f.name}`")).try_cast(f.dataType).isNull()) for f in fields]
+    row = df.agg(F.array(*[F.struct(F.lit(f.name).alias("column"), n.alias("unreadable")) for f, n in zip(fields, counts)]).alias("c"))
+    return row.select(F.inline("c"))
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], *, lines: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from tallymark.functions.values import held_as
 from tallymark.operators.lookup import append_aggregate, append_columns
 from tallymark.operators.mapping import map_values
 from tallymark.plans.reconcile import reconcile
+from tallymark.sources.readers import read_csv, read_text_csv, unreadable_cells
 
 
 def test_padded_keys_keep_each_left_row_once(spark):
@@ -101,3 +102,34 @@ def test_alternative_keys_read_the_table_twice_a_key(spark):
     mine = sorted((r["k"], r["j"], r["source_v"] is not None) for r in merged.filter("target_v is not null and k is not null and j is not null").collect())
     have = {(7, 5), (8, 6), (9, 5)}
     assert mine == sorted((r["k"], r["j"], (r["k"], r["j"]) in have) for r in rows if r["k"] is not None and r["j"] is not None)
+
+
+def written(folder, **files):
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_text(text, encoding="utf-8")
+    return str(folder)
+
+
+def test_long_rows_are_not_cut(spark, tmp_path):
+    path = written(tmp_path, one='a,b\n1,2,3\n"x,y","say ""hi""",z,"u,v"\n7\n8,9\n')
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_text_csv(spark, path, sep=",").collect()
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_text_csv(spark, path, sep=",").select("a").collect()
+    rows = {r["a"]: (r["b"], r["more"]) for r in read_text_csv(spark, path, sep=",", extra="more").collect()}
+    assert rows == {"1": ("2", "3"), "x,y": ('say "hi"', 'z,"u,v"'), "7": ("", ""), "8": ("9", "")}
+
+
+def test_other_headers_are_refused(spark, tmp_path):
+    path = written(tmp_path, one="a,b\n1,2\n", two="b,a\n20,10\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_text_csv(spark, path, sep=",").collect()
+
+
+def test_unreadable_cells_are_refused(spark, tmp_path):
+    path = written(tmp_path, one="a,b\n1,x\n2,NULL\n")
+    assert [tuple(r) for r in read_csv(spark, path, schema="a int, b string").collect()] == [(1, "x"), (2, None)]
+    with pytest.raises(Exception, match="b is no int"):
+        read_csv(spark, path, schema="a int, b int", unreadable="raise").collect()
+    assert column(read_csv(spark, path, schema="a int, b int"), "b") == [None, None]
+    assert [tuple(r) for r in unreadable_cells(spark, path, "a int, b int").collect()] == [("a", 0), ("b", 1)]

@@ -123,18 +123,32 @@ def lists(owner: np.ndarray, other: np.ndarray, near: np.ndarray) -> pa.RecordBa
 
 
 LISTS = "node long, others array<long>, near array<float>"
+GRAPH = f"{LISTS}, code binary, scale double, rest double"
 
 
-def merged(offers: DataFrame, degree: int) -> DataFrame:
-    """The nearest of all lists offered to each node."""
+def merged(nodes: DataFrame, offers: DataFrame, degree: int) -> DataFrame:
+    """The nodes, which have lists or none yet, with the nearest of their own lists and all offered ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_key(batches, "node", 5000):
             others, near = batch.column("others"), batch.column("near")
-            owner = np.repeat(batch.column("node").to_numpy(), others.value_lengths().to_numpy())
-            yield lists(*best(owner, others.flatten().to_numpy(), near.flatten().to_numpy(), degree))
-
-    return offers.repartition("node").sortWithinPartitions("node").mapInArrow(run, LISTS)
+            owner = np.repeat(batch.column("node").to_numpy(), others.value_lengths().fill_null(0).to_numpy())
+            owner, other, value = best(owner, others.flatten().to_numpy(), near.flatten().to_numpy(), degree)
+            whole = batch.filter(batch.column("code").is_valid())
+            ids = whole.column("node").to_numpy()
+            offsets = pa.array(np.append(np.searchsorted(owner, ids), len(owner)), pa.int32())
+            yield pa.record_batch(
+                [
+                    whole.column("node"),
+                    pa.ListArray.from_arrays(offsets, pa.array(other, pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(value, pa.float32())),
+                    *(whole.column(c) for c in ("code", "scale", "rest")),
+                ],
+                names=["node", "others", "near", "code", "scale", "rest"],
+            )
+
+    every = nodes.unionByName(offers, allowMissingColumns=True)
+    return every.repartition("node").sortWithinPartitions("node").mapInArrow(run, GRAPH)
 
 
 def first_graph(nodes: DataFrame, degree: int) -> DataFrame:
@@ -162,10 +176,10 @@ def first_graph(nodes: DataFrame, degree: int) -> DataFrame:
         block = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(blocks))
         dealt = nodes.select("node", "code", "scale", "rest", block.alias("block"))
         parts.append(dealt.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, LISTS))
-    return merged(parts[0].union(parts[1]), degree)
+    return merged(nodes.select("node", "code", "scale", "rest"), parts[0].union(parts[1]), degree)
 
 
-def meetings(nodes: DataFrame, graph: DataFrame, degree: int, seed: int) -> DataFrame:
+def meetings(graph: DataFrame, degree: int, seed: int) -> DataFrame:
     """What nodes offer each other when each one's neighbours, both ways, meet around it.
 
     A node that very many have as a neighbour meets ``degree`` of them, others each round.
@@ -176,8 +190,7 @@ def meetings(nodes: DataFrame, graph: DataFrame, degree: int, seed: int) -> Data
     back = back.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= degree).drop("rank")
     own = graph.select(F.col("node").alias("center"), F.col("node").alias("member"))
     known = F.when(F.size("near") < degree, F.lit(float("-inf"))).otherwise(F.element_at("near", -1)).cast("float")
-    member = nodes.join(graph.select("node", known.alias("worst")), "node")
-    member = member.select(F.col("node").alias("member"), "code", "scale", "rest", "worst")
+    member = graph.select(F.col("node").alias("member"), "code", "scale", "rest", known.alias("worst"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -215,13 +228,10 @@ def neighbour_graph(nodes: DataFrame, degree: int, least_change: float, most_rou
     """Per node its ``degree`` nearest others found, nearest first."""
     graph = settle(first_graph(nodes, degree), "knn-graph")
     for seed in range(most_rounds):
-        offers = meetings(nodes, graph, degree, seed)
-        found = settle(merged(graph.union(offers), degree), "knn-graph")
+        found = settle(merged(graph, meetings(graph, degree, seed), degree), "knn-graph")
         before = graph.select("node", F.col("others").alias("before"))
         new = F.size(F.array_except("others", "before"))
-        change = found.join(before, "node", "left").agg(
-            F.sum(F.coalesce(F.when(F.col("before").isNull(), F.size("others")).otherwise(new), F.lit(0))), F.sum(F.size("others"))
-        ).first()
+        change = found.select("node", "others").join(before, "node").agg(F.sum(new), F.sum(F.size("others"))).first()
         graph = found
         nodes.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this round
         if not change[1] or change[0] <= least_change * change[1]:
@@ -229,9 +239,9 @@ def neighbour_graph(nodes: DataFrame, degree: int, least_change: float, most_rou
     return graph
 
 
-def walk(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int, step: int) -> DataFrame:
+def walk(queries: DataFrame, graph: DataFrame, beam: int, step: int) -> DataFrame:
     """(query, node, near) of the best nodes seen when each query's best are all visited; queries are nodes themselves."""
-    small = nodes.select("node", "code", "scale")
+    small = graph.select("node", "code", "scale")
     asked = small.select(F.col("node").alias("query"), F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
     asked = queries.join(asked, "query")
     order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
@@ -249,27 +259,25 @@ def walk(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int, step
         return pairs.join(small, "node").join(asked, "query").mapInArrow(dot, "query long, node long, near double")
 
     # the walk begins at the query's own node, which is the best for unit vectors
-    seen = settle(compared(queries.withColumn("node", F.col("query"))).withColumn("visited", F.lit(False)), "knn-walk")
+    seen = compared(queries.withColumn("node", F.col("query"))).withColumn("visited", F.lit(False))
     while True:
-        ranked = seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= beam)
         turn = F.sum(F.when(F.col("visited"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        ranked = ranked.withColumn("now", ~F.col("visited") & (turn <= step)).drop("rank")
+        ranked = seen.withColumn("rank", F.row_number().over(order)).withColumn("turn", turn).filter(F.col("rank") <= beam)
+        ranked = ranked.withColumn("now", ~F.col("visited") & (F.col("turn") <= step)).drop("rank", "turn")
         ranked = settle(ranked, "knn-beam")
         if ranked.filter("now").isEmpty():
-            return seen.select("query", "node", "near")
+            return ranked.select("query", "node", "near")
         visits = ranked.filter("now").select("query", "node").join(graph.select("node", "others"), "node")
         fresh = visits.select("query", F.explode("others").alias("node")).distinct()
         fresh = fresh.join(ranked.select("query", "node"), ["query", "node"], "left_anti")
         old = ranked.select("query", "node", "near", (F.col("visited") | F.col("now")).alias("visited"))
-        worst = ranked.groupBy("query").agg(F.min("near").alias("worst"), F.count("*").alias("n"))
-        # a node that fell out of a full beam, or never reached it, need not be kept
-        met = compared(fresh).join(worst, "query").filter((F.col("n") < beam) | (F.col("near") > F.col("worst")))
-        seen = settle(old.union(met.select("query", "node", "near", F.lit(False).alias("visited"))), "knn-walk")
+        met = compared(fresh).select("query", "node", "near", F.lit(False).alias("visited"))
+        seen = old.union(met)
 
 
 def nearest(
     rows: DataFrame, is_query: str, *, k: int = 20, id_column: str = "vec_id", vector: str = "embedding",
-    degree: int = 48, least_change: float = 0.02, most_rounds: int = 12, beam: int = 80, step: int = 8,
+    degree: int = 48, least_change: float = 0.02, most_rounds: int = 12, beam: int = 48, step: int = 16,
 ) -> DataFrame:
     """Per query: query_id, rank from 1, the id found under its own name, and score, the exact inner product in doubles.
 
@@ -286,7 +294,7 @@ def nearest(
         "knn-queries",
     )
     graph = neighbour_graph(nodes, degree, least_change, most_rounds)
-    seen = walk(ids.select("query").distinct(), nodes, graph, beam, step)
+    seen = walk(ids.select("query").distinct(), graph, max(beam, 2 * k + 1), step)
     order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
     # 8-bit copies misplace neighbours by little: twice as many as wanted are compared exactly
     chosen = seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * k + 1).select("query", "node")

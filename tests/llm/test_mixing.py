@@ -37,8 +37,8 @@ def shares(sizes: list[int], weights, share: float, limit: float) -> list[float]
 
 @pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 500, 500, 20, 30], [1000, 1], [3, 0, 7, 40]])
 def test_targets(spark, sizes):
-    rows = [(10 * s + i, prose(i, 1), "en", f"s{s}", 1) for s, n in enumerate(sizes) for i in range(n)]
-    rows += [(10_000 + s, None, "en", f"s{s}", 0) for s in range(len(sizes))]
+    rows = [(10_000 * s + i, prose(i, 1), "en", f"s{s}", 1) for s, n in enumerate(sizes) for i in range(n)]
+    rows += [(1_000_000 + s, None, "en", f"s{s}", 0) for s in range(len(sizes))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     found = mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("copies").alias("most"))
     expected = sorted(shares(sizes, (5, 2, 1), 1.5, 2.0))

@@ -8,8 +8,10 @@ pass filters on size and position before they are expanded to members. Members p
 parity bits, a thirty-second of their sets, and are then verified on their whole sets.
 
 Only components are wanted, so pairs are formed in two rounds. In the first, each group is
-paired with the one before it in the list of each shared shingle, which is linear in the lists
-and links large groups of near copies. In the second, all pairs that remain between different
+paired with the one before it in the list of each shared shingle, and with the list's center:
+the group in whose order the shingle comes first, which has the fewest rarer shingles of its
+own, as an original has among its altered copies. This is linear in the lists and links large
+groups of near copies. In the second, all pairs that remain between different
 components are formed. No link between components is lost, and copies do not meet pair by pair.
 """
 
@@ -240,7 +242,9 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     order = Window.partitionBy("shingle").orderBy("n", "gid")
     ahead = F.lag(F.struct("gid", "n", "place")).over(order).alias("ahead")
     shared = postings.select("*", ahead, F.lead("gid").over(order).alias("next"))
-    shared = settle(shared.filter("ahead is not null or next is not null").drop("next"), "ngram-postings")
+    shared = shared.filter("ahead is not null or next is not null").drop("next")
+    center = F.min(F.struct("place", "n", "gid")).over(Window.partitionBy("shingle")).alias("center")
+    shared = settle(shared.select("*", center), "ngram-postings")
 
     # a group of several sets takes part even if it shares its prefix with no other
     several = sets.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1")
@@ -248,9 +252,10 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     members = settle(sets.join(joined, "gid", "left_semi"), "ngram-members")
 
     heads = members.groupBy("gid").agg(F.min("set_id").alias("head"))
-    near = shared.filter("ahead is not null").filter(
-        may_reach(F.col("n"), F.col("place"), F.col("ahead.n"), F.col("ahead.place"))
-    ).select(F.col("gid"), F.col("ahead.gid").alias("other")).filter("gid <> other").distinct()
+    partner = F.explode(F.array(*(F.struct(*(F.col(f"{c}.{x}").alias(x) for x in ("gid", "n", "place"))) for c in ("ahead", "center"))))
+    near = shared.select("gid", "n", "place", partner.alias("with")).filter("gid <> with.gid").filter(
+        may_reach(F.col("n"), F.col("place"), F.col("with.n"), F.col("with.place"))
+    ).select(F.greatest("gid", "with.gid").alias("gid"), F.least("gid", "with.gid").alias("other")).distinct()
     near = near.join(heads.withColumnRenamed("head", "a"), "gid").join(
         heads.select(F.col("gid").alias("other"), F.col("head").alias("b")), "other"
     ).select("a", "b")

@@ -6,6 +6,10 @@ each other, and whoever finds a nearer one takes it up. Rounds end when few neig
 A query walks the graph greedily: it visits the neighbours of the best vectors it has seen until
 none of its best is unvisited. The best are then compared exactly, on the original vectors.
 
+No graph finds enough on all data: where lengths differ much, for example, the walk ends among
+short vectors. So recall is measured on a sample of the queries, which are compared with all
+vectors, and if it is too low, all queries are.
+
 To make inner products comparable, the graph sees vectors with one more component that gives
 all of them the same length; graph and walk use 8-bit copies of the vectors, a sixteenth of the
 doubles, to keep shuffles small. Equal vectors are one node.
@@ -27,6 +31,8 @@ from tallymark.llm.vectors import matrix, usable
 BLOCK = 1024
 #: Candidates that each vector takes from one meeting; more come up again at later meetings.
 OFFERS = 8
+#: Queries that are compared with all vectors in one pass, and vectors they meet at a time.
+GROUP, SLICE = 4096, 512
 
 
 def short(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,8 +45,9 @@ def short(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.nda
 def nodes_of(rows: DataFrame, id_column: str, vector: str, most: int) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors as nodes (node, vector, code, scale, rest), and the ``most`` smallest ids of each."""
     part = settle(usable(rows, id_column, vector), "knn-vectors")
-    distinct = part.select("vector").distinct().withColumn("node", F.monotonically_increasing_id())
-    distinct = settle(distinct, "knn-distinct")
+    # nodes are numbered by their smallest ids, so ties to the smaller node are ties to the smaller id
+    distinct = part.groupBy("vector").agg(F.min("id").alias("id")).orderBy("id", "vector")
+    distinct = settle(distinct.select("vector", F.monotonically_increasing_id().alias("node")), "knn-distinct")
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,9 +282,80 @@ def walk(queries: DataFrame, graph: DataFrame, beam: int, step: int) -> DataFram
         seen = old.union(met)
 
 
+def scan(queries: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(query, node) of the ``most`` nodes with the largest inner products, of all nodes, in doubles.
+
+    The driver holds ``GROUP`` queries at a time; each task passes once over its nodes and keeps
+    each query's best.
+    """
+    spark = nodes.sparkSession
+    asked = settle(queries.join(nodes.select(F.col("node").alias("query"), "vector"), "query"), "knn-scanned")
+    groups = -(-asked.count() // GROUP)
+    number = F.pmod(F.xxhash64("vector"), F.lit(groups))
+    order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
+    # few parts, so that few lists are merged: a part's list is as long as the result
+    parts = nodes.select("node", "vector").coalesce(spark.sparkContext.defaultParallelism)
+    found = spark.createDataFrame([], "query long, node long")
+    for group in range(groups):
+        some = asked.filter(number == group).orderBy("query").toArrow()
+        if not some.num_rows:
+            continue
+        ids, x = some.column("query").to_numpy(), matrix(some.column("vector"))
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, x: np.ndarray = x) -> Iterator[pa.RecordBatch]:
+            row, node, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            worst = np.full(len(ids), -np.inf)
+            for batch in batches:
+                for start in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(start, SLICE)
+                    own = part.column("node").to_numpy()
+                    value = x @ matrix(part.column("vector")).T
+                    i, j = np.nonzero(value >= worst[:, None])
+                    row, node, near = np.append(row, i), np.append(node, own[j]), np.append(near, value[i, j])
+                    order = np.lexsort((node, -near, row))
+                    row, node, near = row[order], node[order], near[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    keep = rank < most
+                    row, node, near, rank = row[keep], node[keep], near[keep], rank[keep]
+                    worst[row[rank == most - 1]] = near[rank == most - 1]
+            if len(row):
+                yield pa.record_batch([pa.array(ids[row]), pa.array(node), pa.array(near)], names=["query", "node", "near"])
+
+        lists = parts.mapInArrow(run, "query long, node long, near double")
+        lists = lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+        found = found.union(settle(lists.select("query", "node"), "knn-scan"))
+    return found
+
+
+def compared_exactly(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query, node, score), the inner product of the original vectors in doubles."""
+    whole = nodes.select("node", "vector")
+    pairs = pairs.select("query", "node").join(whole, "node")
+    pairs = pairs.join(whole.select(F.col("node").alias("query"), F.col("vector").alias("q_vector")), "query")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = np.einsum("ij,ij->i", matrix(batch.column("vector")), matrix(batch.column("q_vector")))
+                yield pa.record_batch([batch.column("query"), batch.column("node"), pa.array(score)], names=["query", "node", "score"])
+
+    return pairs.mapInArrow(exact, "query long, node long, score double")
+
+
+def least_recall(found: DataFrame, truth: DataFrame, k: int) -> float:
+    """Mean recall of the queries of ``truth``, two standard errors below what they show."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    others = truth.filter("query <> node").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    both = others.join(found.select("query", "node", F.lit(1).alias("hit")), ["query", "node"], "left")
+    shares = both.groupBy("query").agg((F.count("hit") / F.count("*")).alias("share"))
+    mean, spread, n = shares.agg(F.avg("share"), F.stddev_pop("share"), F.count("*")).first()
+    return mean - 2 * spread / n**0.5 if n else 1.0
+
+
 def nearest(
     rows: DataFrame, is_query: str, *, k: int = 20, id_column: str = "vec_id", vector: str = "embedding",
     degree: int = 48, least_change: float = 0.02, most_rounds: int = 12, beam: int = 48, step: int = 16,
+    recall: float = 0.9, sample: int = 256,
 ) -> DataFrame:
     """Per query: query_id, rank from 1, the id found under its own name, and score, the exact inner product in doubles.
 
@@ -286,6 +364,11 @@ def nearest(
     fewer than ``k``. Vectors that are null, empty, zero or hold null or non-finite components,
     and rows with a null id, take no part. A repeated id counts once per distinct vector. Other
     columns are ignored whatever their names. Empty input, or no query, gives no rows.
+
+    ``sample`` distinct query vectors, those with the smallest hashes, are compared with all
+    vectors. The others get what the walk finds if its recall on the sample, less two standard
+    errors, is at least ``recall``; otherwise they are compared with all vectors too, which
+    takes time by the number of queries times the number of vectors.
     """
     nodes, members = nodes_of(rows, id_column, vector, k + 1)
     ids = settle(
@@ -293,21 +376,19 @@ def nearest(
         .join(nodes.select("vector", "node"), "vector").select("query_id", F.col("node").alias("query")),
         "knn-queries",
     )
-    graph = neighbour_graph(nodes, degree, least_change, most_rounds)
-    seen = walk(ids.select("query").distinct(), graph, max(beam, 2 * k + 1), step)
-    order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
-    # 8-bit copies misplace neighbours by little: twice as many as wanted are compared exactly
-    chosen = seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2 * k + 1).select("query", "node")
-    whole = nodes.select("node", "vector")
-    pairs = chosen.join(whole, "node").join(whole.select(F.col("node").alias("query"), F.col("vector").alias("q_vector")), "query")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                score = np.einsum("ij,ij->i", matrix(batch.column("vector")), matrix(batch.column("q_vector")))
-                yield pa.record_batch([batch.column("query"), batch.column("node"), pa.array(score)], names=["query", "node", "score"])
-
-    scored = pairs.mapInArrow(exact, "query long, node long, score double")
+    asked = ids.select("query").distinct()
+    hashed = asked.join(nodes.select(F.col("node").alias("query"), F.xxhash64("vector").alias("hash")), "query")
+    tested = settle(hashed.orderBy("hash", "query").limit(sample).select("query"), "knn-tested")
+    wanted = 2 * k + 1
+    truth = settle(compared_exactly(scan(tested, nodes, wanted), nodes), "knn-truth")
+    scored = truth
+    rest = settle(asked.join(tested, "query", "left_anti"), "knn-untested")
+    if not rest.isEmpty():
+        graph = neighbour_graph(nodes, degree, least_change, most_rounds)
+        found = walk(tested, graph, max(beam, wanted), step)
+        enough = least_recall(found, truth, k) >= recall
+        pairs = walk(rest, graph, max(beam, wanted), step) if enough else scan(rest, nodes, wanted)
+        scored = truth.union(compared_exactly(pairs, nodes))
     found = scored.join(members, "node").join(ids, "query").filter("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out = found.select("query_id", rank.alias("rank"), F.col("id").alias(id_column), "score")

@@ -216,3 +216,25 @@ def test_nearest_recall(spark):
         assert [r for r, _, _ in own] == list(range(1, 21))
         assert np.allclose([s for _, _, s in own], [rows[i] @ rows[q] for _, i, _ in own], rtol=1e-12)
     assert hits >= 0.9 * total
+
+
+def measured_recall(spark, x, every: int, **options) -> float:
+    """Recall@20 of the vectors whose ids are divisible by ``every``."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in nearest(df, f"vec_id % {every} = 0", **options).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), every):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+    return hits / (20 * len(range(0, len(x), every)))
+
+
+def test_nearest_recall_of_differing_lengths(spark):
+    """The long vectors hold the largest inner products, and the walk does not get to them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x *= np.exp(rng.normal(0, 0.5, (6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    assert measured_recall(spark, x, 10, sample=100) >= 0.9

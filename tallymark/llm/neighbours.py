@@ -8,7 +8,9 @@ none of its best is unvisited. The best are then compared exactly, on the origin
 
 No graph finds enough on all data: where lengths differ much, for example, the walk ends among
 short vectors. So recall is measured on a sample of the queries, which are compared with all
-vectors, and if it is too low, all queries are.
+vectors, and if it is too low, all queries are. Among many near copies 8 bits do not tell which
+are nearest; a query whose best are so close that rounding may have hidden a better one is
+compared with all vectors too.
 
 To make inner products comparable, the graph sees vectors with one more component that gives
 all of them the same length; graph and walk use 8-bit copies of the vectors, a sixteenth of the
@@ -31,6 +33,8 @@ from tallymark.llm.vectors import matrix, usable
 BLOCK = 1024
 #: Candidates that each vector takes from one meeting; more come up again at later meetings.
 OFFERS = 8
+#: Standard errors of an 8-bit inner product within which it may stand for a better one.
+ERRORS = 6
 #: Queries that are compared with all vectors in one pass, and vectors they meet at a time.
 GROUP, SLICE = 4096, 512
 
@@ -43,7 +47,7 @@ def short(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def nodes_of(rows: DataFrame, id_column: str, vector: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors as nodes (node, vector, code, scale, rest), and the ``most`` smallest ids of each."""
+    """Distinct vectors as nodes (node, vector, code, scale, rest, length), and the ``most`` smallest ids of each."""
     part = settle(usable(rows, id_column, vector), "knn-vectors")
     # nodes are numbered by their smallest ids, so ties to the smaller node are ties to the smaller id
     distinct = part.groupBy("vector").agg(F.min("id").alias("id")).orderBy("id", "vector")
@@ -59,14 +63,18 @@ def nodes_of(rows: DataFrame, id_column: str, vector: str, most: int) -> tuple[D
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, scale, rest = short(matrix(batch.column("vector")), longest)
+                whole = matrix(batch.column("vector"))
+                x, scale, rest = short(whole, longest)
+                length = np.linalg.norm(whole, axis=1)
                 codes = pa.array([c.tobytes() for c in x], pa.binary())
                 yield pa.record_batch(
-                    [batch.column("node"), batch.column("vector"), codes, pa.array(scale), pa.array(rest)],
-                    names=["node", "vector", "code", "scale", "rest"],
+                    [batch.column("node"), batch.column("vector"), codes, pa.array(scale), pa.array(rest), pa.array(length)],
+                    names=["node", "vector", "code", "scale", "rest", "length"],
                 )
 
-    coded = distinct.select("node", "vector").mapInArrow(code, "node long, vector binary, code binary, scale double, rest double")
+    coded = distinct.select("node", "vector").mapInArrow(
+        code, "node long, vector binary, code binary, scale double, rest double, length double"
+    )
     order = Window.partitionBy("vector").orderBy("id")
     firsts = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     members = settle(firsts.join(distinct, "vector").select("node", "id"), "knn-members")
@@ -342,10 +350,30 @@ def compared_exactly(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(exact, "query long, node long, score double")
 
 
+def doubtful(seen: DataFrame, scored: DataFrame, nodes: DataFrame, k: int, beam: int) -> DataFrame:
+    """Queries whose beam may have cut off one of their ``k`` best, because 8-bit values did not tell, or was not filled.
+
+    Rounding moves each component by a uniform error of up to half a scale. What was cut off had
+    an 8-bit value of at most the beam's last, and must be clearly below the exact k-th.
+    """
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    others = scored.filter("query <> node").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k)
+    kth = others.select("query", F.col("score").alias("kth"))
+    sizes = nodes.select("node", "scale", "length")
+    asked = sizes.select(F.col("node").alias("query"), F.col("scale").alias("q_scale"), F.col("length").alias("q_length"))
+    error = F.sqrt((F.pow(F.col("q_length") * F.col("scale"), 2) + F.pow(F.col("length") * F.col("q_scale"), 2)) / 12)
+    lasts = seen.join(sizes, "node").join(asked, "query").groupBy("query").agg(
+        F.count("*").alias("n"), F.min("near").alias("last"), F.max(error).alias("error")
+    )
+    clear = (F.col("n") >= beam) & (F.col("kth") > F.col("last") + ERRORS * F.col("error"))
+    return lasts.join(kth, "query", "left").filter(~F.coalesce(clear, F.lit(False))).select("query")
+
+
 def least_recall(found: DataFrame, truth: DataFrame, k: int) -> float:
-    """Mean recall of the queries of ``truth``, two standard errors below what they show."""
+    """Mean recall of the queries of ``found``, two standard errors below what they show; 1 if there are none."""
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     others = truth.filter("query <> node").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    others = others.join(found.select("query").distinct(), "query")
     both = others.join(found.select("query", "node", F.lit(1).alias("hit")), ["query", "node"], "left")
     shares = both.groupBy("query").agg((F.count("hit") / F.count("*")).alias("share"))
     mean, spread, n = shares.agg(F.avg("share"), F.stddev_pop("share"), F.count("*")).first()
@@ -367,8 +395,9 @@ def nearest(
 
     ``sample`` distinct query vectors, those with the smallest hashes, are compared with all
     vectors. The others get what the walk finds if its recall on the sample, less two standard
-    errors, is at least ``recall``; otherwise they are compared with all vectors too, which
-    takes time by the number of queries times the number of vectors.
+    errors, is at least ``recall``; otherwise, and where 8 bits leave a query's best in doubt, they
+    are compared with all vectors too, which takes time by the number of these queries times the
+    number of vectors.
     """
     nodes, members = nodes_of(rows, id_column, vector, k + 1)
     ids = settle(
@@ -385,10 +414,20 @@ def nearest(
     rest = settle(asked.join(tested, "query", "left_anti"), "knn-untested")
     if not rest.isEmpty():
         graph = neighbour_graph(nodes, degree, least_change, most_rounds)
-        found = walk(tested, graph, max(beam, wanted), step)
-        enough = least_recall(found, truth, k) >= recall
-        pairs = walk(rest, graph, max(beam, wanted), step) if enough else scan(rest, nodes, wanted)
-        scored = truth.union(compared_exactly(pairs, nodes))
+        width = max(beam, wanted)
+
+        def walked(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """What the walk finds, compared exactly, and the queries that it leaves in doubt."""
+            seen = walk(some, graph, width, step)
+            scored = settle(compared_exactly(seen, nodes), "knn-scored")
+            doubts = settle(doubtful(seen, scored, nodes, k, width), "knn-doubtful")
+            return scored.join(doubts, "query", "left_anti"), doubts
+
+        enough = least_recall(walked(tested)[0], truth, k) >= recall
+        if enough:
+            found, rest = walked(rest)
+            scored = scored.union(found)
+        scored = scored.union(compared_exactly(scan(rest, nodes, wanted), nodes))
     found = scored.join(members, "node").join(ids, "query").filter("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out = found.select("query_id", rank.alias("rank"), F.col("id").alias(id_column), "score")

@@ -8,9 +8,10 @@ none of its best is unvisited. The best are then compared exactly, on the origin
 
 No graph finds enough on all data: where lengths differ much, for example, the walk ends among
 short vectors. So recall is measured on a sample of the queries, which are compared with all
-vectors, and if it is too low, all queries are. Among many near copies 8 bits do not tell which
-are nearest; a query whose best are so close that rounding may have hidden a better one is
-compared with all vectors too.
+vectors. If it is too low, as it gets with more vectors, the walk is tried with a wider beam, and
+if that finds too little too, all queries are compared with all vectors. Among many near copies 8
+bits do not tell which are nearest; a query whose best are so close that rounding may have hidden a
+better one is compared with all vectors too.
 
 To make inner products comparable, the graph sees vectors with one more component that gives
 all of them the same length; graph and walk use 8-bit copies of the vectors, a sixteenth of the
@@ -33,6 +34,8 @@ from tallymark.llm.vectors import matrix, usable
 BLOCK = 1024
 #: Candidates that each vector takes from one meeting; more come up again at later meetings.
 OFFERS = 8
+#: Beams tried on the sample, as multiples of the given one; the first that finds enough serves all queries.
+WIDER = (1, 4)
 #: Standard errors of an 8-bit inner product within which it may stand for a better one.
 ERRORS = 6
 #: Queries that are compared with all vectors in one pass, and vectors they meet at a time.
@@ -394,8 +397,8 @@ def nearest(
     columns are ignored whatever their names. Empty input, or no query, gives no rows.
 
     ``sample`` distinct query vectors, those with the smallest hashes, are compared with all
-    vectors. The others get what the walk finds if its recall on the sample, less two standard
-    errors, is at least ``recall``; otherwise, and where 8 bits leave a query's best in doubt, they
+    vectors. The others get what the walk finds with the first beam of those in ``WIDER`` whose
+    recall on the sample, less two standard errors, is at least ``recall``; if none is, and where 8 bits leave a query's best in doubt, they
     are compared with all vectors too, which takes time by the number of these queries times the
     number of vectors.
     """
@@ -414,19 +417,19 @@ def nearest(
     rest = settle(asked.join(tested, "query", "left_anti"), "knn-untested")
     if not rest.isEmpty():
         graph = neighbour_graph(nodes, degree, least_change, most_rounds)
-        width = max(beam, wanted)
 
-        def walked(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-            """What the walk finds, compared exactly, and the queries that it leaves in doubt."""
+        def walked(some: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+            """What a walk with a beam of ``width`` finds, compared exactly, and the queries that it leaves in doubt."""
             seen = walk(some, graph, width, step)
             scored = settle(compared_exactly(seen, nodes), "knn-scored")
             doubts = settle(doubtful(seen, scored, nodes, k, width), "knn-doubtful")
             return scored.join(doubts, "query", "left_anti"), doubts
 
-        enough = least_recall(walked(tested)[0], truth, k) >= recall
-        if enough:
-            found, rest = walked(rest)
-            scored = scored.union(found)
+        for width in (max(beam, wanted) * wider for wider in WIDER):
+            if least_recall(walked(tested, width)[0], truth, k) >= recall:
+                found, rest = walked(rest, width)
+                scored = scored.union(found)
+                break
         scored = scored.union(compared_exactly(scan(rest, nodes, wanted), nodes))
     found = scored.join(members, "node").join(ids, "query").filter("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -218,19 +218,19 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * total
 
 
-def measured_recall(spark, x, every: int, until: int | None = None, **options) -> float:
-    """Recall@20 of the vectors whose ids are divisible by ``every``, or those of them below ``until``."""
+def measured_recall(spark, x, every: int, until: int | None = None, k: int = 20, **options) -> float:
+    """Recall@k of the vectors whose ids are divisible by ``every``, or those of them below ``until``."""
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found: dict = {}
-    for r in nearest(df, f"vec_id % {every} = 0", **options).collect():
+    for r in nearest(df, f"vec_id % {every} = 0", k=k, **options).collect():
         found.setdefault(r.query_id, set()).add(r.vec_id)
     hits = 0
     own = range(0, until or len(x), every)
     for q in own:
         score = x @ x[q]
         score[q] = -np.inf
-        hits += len(found[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
-    return hits / (20 * len(own))
+        hits += len(found[q] & set(np.argsort(-score, kind="stable")[:k].tolist()))
+    return hits / (k * len(own))
 
 
 def test_nearest_recall_of_differing_lengths(spark):
@@ -248,3 +248,10 @@ def test_nearest_recall_of_near_copies(spark):
     x[:300] = x[0] + 0.03 * rng.normal(size=(300, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert measured_recall(spark, x, 10, until=300, sample=100) >= 0.9
+
+
+def test_nearest_recall_of_a_coarse_graph(spark):
+    """A beam and a graph that find too little, as fixed ones do in large tables, are noticed and made up for."""
+    x = np.random.default_rng(7).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert measured_recall(spark, x, 20, k=2, degree=8, beam=5, most_rounds=0, sample=60) >= 0.9

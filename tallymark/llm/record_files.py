@@ -107,24 +107,29 @@ def unframe(records: list[bytes], where: str = "") -> list[bytes]:
 
 
 def _payload(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    if int(ids.max()) >> 8 * width:
+        raise ValueError(f"token id {ids.max()} does not fit {width} bytes")
     return struct.pack(HEAD, doc_id or 0, doc_id is not None, width) + ids.astype(f"<u{width}").tobytes()
 
 
 def write_records(
     docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2, id_column: str = "doc_id", text: str = "text",
-    vocabulary: int = 1 << 16,
+    vocabulary: int | None = None,
 ) -> DataFrame:
     """Write the ids of all documents in ascending order of their ids; returns the index, written to ``folder``/index.
 
     Documents are dealt out by ranges of their ids, one file each; nulls come first, and rows
     with the same id are ordered by text. A null text is empty and holds ``end_id`` alone; empty
     input writes an empty index. Other columns are ignored whatever their names. Ids take 2
-    bytes if the vocabulary is at most 65,536. A task run again writes a file with a new name
+    bytes if the vocabulary, by default the tokenizer's with ``end_id``, is at most 65,536, or
+    else 4; an id that does not fit raises. A task run again writes a file with a new name
     and the index lists only files of tasks that ended, so a half-written file is never read.
     """
     spark = docs.sparkSession
     bare = docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text).alias("text"))
     ordered = bare.repartitionByRange(id_column, F.xxhash64("text")).sortWithinPartitions(id_column, F.xxhash64("text"))
+    if vocabulary is None:
+        vocabulary = max(encoder(tokenizer).largest_id(), end_id) + 1
     width = 2 if vocabulary <= 1 << 16 else 4
     names = [part.split()[0] for part in INDEX.split(", ")]
 

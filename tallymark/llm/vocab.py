@@ -86,6 +86,11 @@ class Encoder:
             self.encode = lambda texts: [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         self._start_anew()
 
+    def largest_id(self) -> int:
+        if hasattr(self.model, "get_vocab"):
+            return max(self.model.get_vocab(with_added_tokens=True).values(), default=0)
+        return self.model.vocab_size() - 1
+
     def _start_anew(self) -> None:
         self.places = Places()
         self.starts, self.flat = array("q", [0]), array("I")  # ids of place p: flat[starts[p] : starts[p + 1]]

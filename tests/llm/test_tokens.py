@@ -1,5 +1,6 @@
 """Token counts, packing and record files against the tokenizer itself."""
 
+import json
 import random
 import zlib
 
@@ -189,6 +190,20 @@ def test_shuffled_reads_find_the_same_records(spark):
     assert set(some) <= every and len(some) == index.filter("size % 2 = 0").count()
 
 
+def test_records_of_a_large_vocabulary(spark, tmp_path):
+    """Ids above 65,535 take 4 bytes; where they are told to take 2, they raise."""
+    spec = {"version": "1.0", "added_tokens": [], "pre_tokenizer": {"type": "Whitespace"}}
+    spec["model"] = {"type": "WordLevel", "vocab": {"?": 0, "far": 70_000}, "unk_token": "?"}
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(spec))
+    docs = spark.createDataFrame([(1, "far off far")], "doc_id long, text string")
+    folder = new_path(spark, "t")
+    found = read_records(write_records(docs, str(path), folder), folder).collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == [[70_000, 0, 70_000, 2]]
+    with pytest.raises(Exception, match="does not fit"):
+        write_records(docs, str(path), new_path(spark, "t"), vocabulary=1 << 16)
+
+
 def test_empty_tables(spark):
     folder = new_path(spark, "t")
     index = write_records(empty(spark), PATH, folder)

@@ -16,6 +16,7 @@ from tallymark.llm.ngram_join import link_components
 from tallymark.llm.packing import pack
 from tallymark.llm.record_files import read_records, write_records
 from tallymark.llm.shared import new_path
+from tallymark.llm.spelling import letter_runs, variants
 from tallymark.llm.token_counts import count_tokens
 from tallymark.llm.vocab import tokenizer_path
 
@@ -154,3 +155,21 @@ def op10_minimum_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to"
     )
+
+
+def planted_words(docs: DataFrame, least: int = 6, rows: int = 5) -> DataFrame:
+    """(word, n) of the words of all documents, with a letter missing where a hash of document and run says so."""
+    runs = letter_runs(docs, least)
+    hash_ = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run").cast("binary"))
+    placed = runs.select("run", hash_.alias("hash")).withColumn("at", (F.col("hash") % F.length("run")).cast("int"))
+    missing = F.expr("substr(run, 1, at) || substr(run, at + 2)")
+    words = placed.select(F.when(F.col("hash") % 199 == 0, missing).otherwise(F.col("run")).alias("word"))
+    words = words.filter(F.length("word") >= least).groupBy("word").agg(F.count("*").alias("n"))
+    return words.filter(F.col("n") >= rows)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among the frequent words of all documents, with planted errors."""
+    found = variants(planted_words(table(spark, folder, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")

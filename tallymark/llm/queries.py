@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import language, quality, toxicity
+from tallymark.llm import byte_bpe, language, quality, toxicity
 from tallymark.llm.embedding_dedup import link_vectors
 from tallymark.llm.fitting import fold
 from tallymark.llm.mixing import mix
@@ -173,3 +173,20 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Spelling variants among the frequent words of all documents, with planted errors."""
     found = variants(planted_words(table(spark, folder, "documents")))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def byte_tokenizer() -> byte_bpe.ByteBpe:
+    import public_tokenizers
+
+    return byte_bpe.ByteBpe.from_file(tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the bytes that the ids stand for."""
+    bpe = byte_tokenizer()
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, folder, "documents"), bpe), bpe)
+    return coded.select(
+        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

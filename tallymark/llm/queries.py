@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import byte_bpe, language, quality, toxicity
+from tallymark.llm.conversation_trie import branched, trie
 from tallymark.llm.embedding_dedup import link_vectors
 from tallymark.llm.fitting import fold
 from tallymark.llm.mixing import mix
@@ -190,3 +191,10 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, which begin with turns of their group's first one."""
+    turns, conversations = branched(table(spark, folder, "conversations"))
+    return trie(turns, conversations, ["part", "place"])

@@ -258,6 +258,40 @@ def rec_hot_key_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _hot(spark, sf).classified()
 
 
+@register(
+    "rec_hot_key_repeats",
+    """WITH s AS (SELECT l_linestatus AS k, count(*) AS n FROM lineitem GROUP BY 1),
+     t AS (SELECT o_orderstatus AS k, count(*) AS n FROM orders GROUP BY 1)
+SELECT CASE WHEN s.n IS NULL THEN 'missing_in_source' ELSE 'matched' END AS category, CAST(sum(coalesce(s.n, 1) * t.n) AS BIGINT) AS records
+FROM t LEFT JOIN s USING (k) GROUP BY 1""",
+)
+def rec_hot_key_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of equal rows of two hot keys, formed and counted."""
+    source = table(spark, sf, "lineitem").selectExpr("l_linestatus as k", "'x' as v")
+    target = table(spark, sf, "orders").selectExpr("o_orderstatus as k", "'x' as v")
+    result = reconcile(source, target, spec({"name": "v"}, keys=["k"]), skew=Skew("always", share=0.05, min_rows=50))
+    return result.classified().groupBy("category").agg(F.count("*").alias("records"))
+
+
+@register(
+    "rec_hot_wide_tolerance",
+    """WITH s AS (SELECT l_returnflag AS k, l_extendedprice AS v FROM lineitem),
+     t AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'A' WHEN o_orderstatus = 'O' THEN 'N' ELSE 'P' END AS k, o_totalprice AS v FROM orders),
+     p AS (SELECT CAST(count(*) AS BIGINT) AS comparable, CAST(count(*) FILTER (WHERE abs(s.v - t.v) <= 90000 + 1e-9) AS BIGINT) AS matches
+           FROM s JOIN t USING (k))
+SELECT 'v' AS field, matches, comparable - matches AS differences, comparable, matches / comparable AS match_rate, CAST(0 AS BIGINT) AS non_numeric
+FROM p""",
+)
+def rec_hot_wide_tolerance(spark: SparkSession, sf: str) -> DataFrame:
+    """Field statistics of hot keys with a tolerance nearly as wide as the values' spread."""
+    source = table(spark, sf, "lineitem").selectExpr("l_returnflag as k", "l_extendedprice as v")
+    target = table(spark, sf, "orders").selectExpr(
+        "case when o_orderstatus = 'F' then 'A' when o_orderstatus = 'O' then 'N' else 'P' end as k", "o_totalprice as v"
+    )
+    wanted = spec({"name": "v", "tolerance": 90_000}, keys=["k"])
+    return reconcile(source, target, wanted, skew=Skew("always", share=0.05, min_rows=50)).field_stats()
+
+
 @register(
     "rec_hot_keys",
     """SELECT sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS source_rows,

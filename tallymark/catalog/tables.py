@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -354,6 +355,46 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.load(spark, path)
 
 
+@register(
+    "csv_ragged",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS c_name,
+              CASE WHEN c_custkey % 5 = 0 THEN '5" pipe' ELSE c_mktsegment END AS segment,
+              CASE WHEN c_custkey % 7 = 0 AND c_custkey % 3 <> 0 THEN 'more,"and, more"' ELSE '' END AS further
+       FROM customer""",
+)
+def csv_ragged(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows short of a cell, rows with further cells, and quotes within plain cells."""
+    path = scratch_folder(spark) + ".csv"
+    segment = "if(c_custkey % 5 = 0, '5\" pipe', c_mktsegment)"
+    name = ", if(c_custkey % 3 = 0, '', concat(',', c_name))"
+    more = ", if(c_custkey % 7 = 0 and c_custkey % 3 <> 0, ',more,\"and, more\"', '')"
+    lines = table(spark, sf, "customer").selectExpr(f"concat(c_custkey, ',', {segment}{name}{more}) as value")
+
+    def headed(batches):
+        yield pa.record_batch([pa.array(["c_custkey,segment,c_name"])], names=["value"])
+        yield from batches
+
+    lines.mapInArrow(headed, "value string").write.text(path)
+    found = readers.read_text_csv(spark, path, sep=",", extra="further").na.fill("")
+    return found.selectExpr("cast(c_custkey as bigint) as c_custkey", "c_name", "segment", "further")
+
+
+@register(
+    "csv_two_headers",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderpriority END AS o_orderpriority
+       FROM orders""",
+)
+def csv_two_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with other columns in another order are read by name."""
+    path = scratch_folder(spark)
+    orders = table(spark, sf, "orders")
+    sinks.write_enriched(orders.filter("o_orderkey % 2 = 0").selectExpr("string(o_orderkey) as o_orderkey", "o_orderstatus"), f"{path}/a.csv")
+    odd = orders.filter("o_orderkey % 2 <> 0").selectExpr("o_orderpriority", "o_orderstatus", "string(o_orderkey) as o_orderkey")
+    sinks.write_enriched(odd, f"{path}/b.csv")
+    found = readers.read_text_csv(spark, [f"{path}/a.csv", f"{path}/b.csv"], sep=",", headers="by_name")
+    return found.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
 @register("json_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_folder(spark) + ".json"

@@ -5,9 +5,12 @@ statistics need of them follows from counts of equal values:
 
 * pairs, comparable pairs and unreadable numbers from row and null counts;
 * exact matches from an equi-join of value counts;
-* matches within a tolerance from an equi-join on value bins, which only brings
-  together values that are near each other;
-* fully matching pairs from the same join on all fields at once.
+* matches within a tolerance from ranks: both sides' values are sorted together, and the
+  partners of a value are the target rows up to its upper bound less those below its lower
+  one, so the work is linear however wide the tolerance is;
+* fully matching pairs from ranks too, among pairs that agree on the exact fields, where one
+  tolerant field decides; a tolerance as wide as a field's spread decides nothing. Where several
+  do, by a join on value bins, which only brings together values that are near each other.
 
 Equal rows and values are folded map-side before anything is shuffled, so a
 group of copies costs one row per task, and the joins are inner joins, which
@@ -17,11 +20,14 @@ adaptive skew handling can split on both sides.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +94,87 @@ def _near(bin_: Column) -> Column:
     return F.when(bin_.isNull(), F.array(F.lit(None).cast("double"))).otherwise(around)
 
 
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of finite doubles, neighbours one apart; applied to these as doubles' bits, the way back."""
+    bits = x.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def bounds(values: np.ndarray, kind: str, amount: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest number that matches each value, to the last bit, by bisection over the doubles."""
+    finite = np.isfinite(values)
+    own = np.where(finite, values, 0.0)
+
+    def close(place: np.ndarray) -> np.ndarray:
+        t = in_order(place).view(np.float64)
+        with np.errstate(all="ignore"):
+            if kind == "absolute":
+                return (np.abs(own - t) <= amount + C.ABSOLUTE_SLACK) | (own == t)
+            return np.where(own == 0, t == 0, np.abs(own - t) / np.abs(own) <= amount)
+
+    ends = []
+    for limit in (-np.finfo(np.float64).max, np.finfo(np.float64).max):
+        inside, outside = in_order(own), in_order(np.full(len(own), limit))
+        inside = np.where(close(outside), outside, inside)
+        for _ in range(64):
+            middle = (inside >> 1) + (outside >> 1) + (inside & outside & 1)
+            good = close(middle)
+            inside, outside = np.where(good, middle, inside), np.where(good, outside, middle)
+        ends.append(np.where(finite, in_order(inside).view(np.float64), values))  # an infinite number matches itself alone
+    return ends[0], ends[1]
+
+
+def rank_pairs(source: DataFrame, target: DataFrame, keys: Sequence[str], field: Compared) -> DataFrame:
+    """One row: pairs of rows with equal ``keys`` whose values match, counted by ranks.
+
+    Both sides have the keys, ``value`` (a number that is no null) and ``rows``. What a source
+    value's bounds are worth is the target rows before them in one common order; that order is dealt by
+    range over tasks, which count their own part, and a row per task brings the parts together.
+    """
+    kind, amount = field.parsed
+    marked = [c for k in keys for c in (F.col(k), F.col(k).isNull())]  # a hash passes over nulls
+    group = F.xxhash64(*marked).alias("g0"), F.xxhash64(F.lit(1), *marked).alias("g1")  # rows of equal keys, side by side
+    bare = [side.select(*group, "value", "rows") for side in (source, target)]
+
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = bounds(batch.column("value").to_numpy(), kind, amount)
+            rows = batch.column("rows").to_numpy()
+            for at, place, weight in ((low, 0, -rows), (high, 2, rows)):
+                n = len(rows)
+                yield pa.record_batch(
+                    [batch.column("g0"), batch.column("g1"), pa.array(at), pa.array(np.full(n, place, np.int32)),
+                     pa.array(weight), pa.array(np.zeros(n, np.int64))],
+                    names=names,
+                )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = weights = pairs = 0
+        for batch in batches:
+            rows, weight = batch.column("rows").to_numpy(), batch.column("weight").to_numpy()
+            before = np.cumsum(rows)  # within a batch; what is before it counts for all
+            pairs += sum(int(w) * int(n) for w, n in zip(weight[weight != 0], before[weight != 0])) + seen * int(weight.sum())
+            weights += int(weight.sum())
+            seen += int(rows.sum())
+        yield pa.record_batch(
+            [pa.array([TaskContext.get().partitionId()], pa.int64()), *(pa.array([str(x)]) for x in (seen, weights, pairs))],
+            names=["task", "seen", "weights", "pairs"],
+        )
+
+    names = ["g0", "g1", "at", "place", "weight", "rows"]
+    asked = bare[0].mapInArrow(queries, "g0 long, g1 long, at double, place int, weight long, rows long")
+    zero = F.lit(0).cast("long")
+    held = bare[1].select("g0", "g1", F.col("value").alias("at"), F.lit(1).alias("place"), zero.alias("weight"), "rows")
+    ordered = asked.union(held).repartitionByRange("g0", "g1", "at", "place").sortWithinPartitions("g0", "g1", "at", "place")
+    parts = ordered.mapInArrow(count, "task long, seen string, weights string, pairs string")
+    parts = parts.select("task", *(F.col(c).cast("decimal(38,0)").alias(c) for c in ("seen", "weights", "pairs")))
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    carried = F.coalesce(F.sum("seen").over(before), F.lit(0)).cast("decimal(19,0)")
+    return parts.select("pairs", (carried * F.col("weights").cast("decimal(18,0)")).alias("more")).agg(
+        F.coalesce(F.sum(F.col("pairs") + F.col("more")), F.lit(0)).cast("bigint").alias("matches")
+    )
+
+
 def _sum(expression: Column) -> Column:
     return F.coalesce(F.sum(expression), F.lit(0)).cast("bigint")
 
@@ -160,6 +247,9 @@ class HotStatistics:
         ]
         exact = [i for i, f in enumerate(self.fields) if f.parsed is None]
         tolerant = [i for i, f in enumerate(self.fields) if f.parsed is not None]
+        deciding = [i for i in tolerant if i not in self._covering]
+        if len(deciding) <= 1:
+            return self._matched_by_rank(s, t, exact, tolerant, deciding)
         on = [F.col("s.__tag") == F.col("t.__tag")]
         on += [F.col(f"s.value{i}").eqNullSafe(F.col(f"t.value{i}")) for i in exact]
         for i in self._guides():
@@ -174,6 +264,51 @@ class HotStatistics:
             )
         return joined.agg(_sum(F.col("s.rows") * F.col("t.rows")).alias("matched"))
 
+    @cached_property
+    def _covering(self) -> set[int]:
+        """Tolerant fields on which any two numbers match, as the tolerance is as wide as their spread."""
+        tolerant = [i for i, f in enumerate(self.fields) if f.parsed is not None]
+        if len(tolerant) < 2:
+            return set()
+        ends = []
+        for side in ("source", "target"):
+            numbers = [F.col(f"value{i}") for i in tolerant]
+            wanted = [f(c) for c in numbers for f in (F.min, F.max, lambda c: F.min(F.abs(c)))]
+            ends.append(list(self.sides[side].agg(*wanted).first()))  # one row
+        found = set()
+        for k, i in enumerate(tolerant):
+            (s_low, s_high, s_least), (t_low, t_high, _) = (e[3 * k : 3 * k + 3] for e in ends)
+            if s_low is None or t_low is None:
+                continue
+            apart = max(abs(s_high - t_low), abs(t_high - s_low))
+            kind, amount = self.fields[i].parsed
+            allowed = amount if kind == "absolute" else amount * s_least * (1 - 1e-9)
+            if math.isfinite(apart) and (apart <= allowed if kind == "absolute" else s_least > 0 and apart <= allowed):
+                found.add(i)
+        return found
+
+    def _matched_by_rank(
+        self, s: DataFrame, t: DataFrame, exact: Sequence[int], tolerant: Sequence[int], deciding: Sequence[int]
+    ) -> DataFrame:
+        """Pairs of folded rows that agree on tag, exact values and which numbers are missing, and match on one field."""
+        equal = [F.col("__tag"), *[F.col(f"value{i}") for i in exact], *[F.col(f"value{i}").isNull() for i in tolerant]]
+        marks = [c.alias(f"k{i}") for i, c in enumerate(equal)]
+        keys = [f"k{i}" for i in range(len(equal))]
+        value = F.col(f"value{deciding[0]}") if deciding else F.lit(None).cast("double")
+        s, t = [
+            side.select(*marks, value.alias("value"), "rows").groupBy(*keys, "value").agg(F.sum("rows").alias("rows"))
+            for side in (s, t)
+        ]
+        # without a number to compare, agreeing is matching
+        same = reduce(lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
+        bare = [side.filter("value is null") for side in (s, t)]
+        agreed = bare[0].alias("s").join(bare[1].alias("t"), same, "inner").agg(_sum(F.col("s.rows") * F.col("t.rows")).alias("matched"))
+        if not deciding:
+            return agreed
+        parts = [side.filter("value is not null") for side in (s, t)]
+        near = rank_pairs(*parts, keys, self.fields[deciding[0]]).select(F.col("matches").alias("matched"))
+        return agreed.union(near).agg(_sum(F.col("matched")).alias("matched"))
+
     def counts(self) -> DataFrame:
         """One row: pairs matched and different, rows missing on either side."""
         alone_source, alone_target = self.alone
@@ -212,19 +347,9 @@ class HotStatistics:
         return met.groupBy("field").agg(F.sum(F.col("s_rows") * F.col("rows")).alias("matches"))
 
     def _near_matches(self, index: int) -> DataFrame:
-        field = self.fields[index]
         s, t = self._value_counts("source", [index]), self._value_counts("target", [index])
-        on = F.col("s.__tag") == F.col("t.__tag")
-        if field.binnable:
-            sign, bin_ = _bins(field, F.col("value"))
-            s = s.withColumns({"sign": sign, "bin": bin_})
-            t = t.withColumns({"sign": sign, "bin": F.explode(_near(bin_))})
-            on = on & (F.col("s.sign") == F.col("t.sign")) & (F.col("s.bin") == F.col("t.bin"))
-        met = s.alias("s").join(t.alias("t"), on, "inner")
-        met = met.filter(C.tolerant_match(F.col("s.value"), F.col("t.value"), *field.parsed))
-        return met.groupBy(F.col("s.field").alias("field")).agg(
-            F.sum(F.col("s.rows") * F.col("t.rows")).alias("matches")
-        )
+        found = rank_pairs(s, t, ["__tag"], self.fields[index])
+        return found.select(F.lit(index).alias("field"), F.col("matches").cast("bigint").alias("matches"))
 
     def field_counts(self) -> DataFrame:
         """Per field: matches, comparable pairs, and pairs with a value that should be a number and is none."""

@@ -55,6 +55,13 @@ SKETCH_TOP = 2048
 SAMPLED_ROWS = 200
 
 
+# A folded row stands for at most this many equal rows, so a pair of two for at most its square.
+FOLDED_ROWS = 1024
+# A cell gets rows for about this many pairs, but at least this many rows of a side.
+CELL_PAIRS = 25_000_000
+CELL_ROWS = 5000
+
+
 @dataclass(frozen=True)
 class HotKey:
     """A key value (as its tag) and the exact row counts of both sides."""
@@ -184,11 +191,17 @@ def only_hot(side: DataFrame, names: Sequence[str], hot: Sequence[HotKey]) -> Da
 
 
 def _hot_rows(side: DataFrame, names: Sequence[str], table: DataFrame) -> DataFrame:
-    """Rows of hot keys, equal rows folded into one with a count, and their cell hash."""
+    """Rows of hot keys, equal rows folded into rows with a bounded count, and their cell hash.
+
+    The parts of many equal rows have hashes of their own, so their pairs are spread over cells too.
+    """
     tagged = side.withColumn("__tag", key_tag(names))
     every = [_col(c) for c in (*tagged.columns, *table.columns[1:])]
     folded = tagged.join(F.broadcast(table), "__tag").groupBy(*every).agg(F.count(F.lit(1)).alias(WEIGHT))
-    return folded.withColumn("__hash", F.xxhash64(*[_col(c) for c in side.columns]))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"({WEIGHT} - 1) div {FOLDED_ROWS}")))
+    dealt = folded.withColumn("__part", parts)
+    dealt = dealt.withColumn(WEIGHT, F.least(F.lit(FOLDED_ROWS).cast("bigint"), F.col(WEIGHT) - F.col("__part") * FOLDED_ROWS))
+    return dealt.withColumn("__hash", F.xxhash64(*[_col(c) for c in side.columns], "__part")).drop("__part")
 
 
 def _cell(splits: str) -> Column:
@@ -242,9 +255,11 @@ def _grid_join(
     s: DataFrame, t: DataFrame, names: Sequence[str], meeting: Sequence[HotKey], rows_per_cell: int
 ) -> DataFrame:
     """Pairs of the hot keys both sides have: folded rows, met cell by cell, each pair with its weight."""
+    def splits(own: int, other: int) -> int:
+        return max(1, math.ceil(own / min(rows_per_cell, max(CELL_ROWS, CELL_PAIRS // other))))
+
     rows = [
-        (key.tag, *[max(1, math.ceil(n / rows_per_cell)) for n in (key.source_rows, key.target_rows)])
-        for key in meeting
+        (key.tag, splits(key.source_rows, key.target_rows), splits(key.target_rows, key.source_rows)) for key in meeting
     ]
     # one row per hot key, so bounded
     table = s.sparkSession.createDataFrame(rows, "__tag string, __s_splits int, __t_splits int")
@@ -294,11 +309,13 @@ def anti_join(own: DataFrame, other: DataFrame, names: Sequence[str], *, null_ke
 
 
 def unfold(df: DataFrame) -> DataFrame:
-    """One row per counted pair."""
+    """One row per counted pair, in two steps, so that no array is longer than the root of a count."""
     if WEIGHT not in df.columns:
         return df
-    repeated = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(WEIGHT)))
-    return df.withColumn("__copy", repeated).drop("__copy", WEIGHT)
+    runs = F.sequence(F.lit(0).cast("bigint"), F.expr(f"({WEIGHT} - 1) div {FOLDED_ROWS}"))
+    parts = df.withColumn("__run", F.explode(runs))
+    rest = F.least(F.lit(FOLDED_ROWS).cast("bigint"), F.col(WEIGHT) - F.col("__run") * FOLDED_ROWS)
+    return parts.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), rest))).drop("__copy", "__run", WEIGHT)
 
 
 def weighted_count(df: DataFrame, condition: Column | None = None) -> Column:

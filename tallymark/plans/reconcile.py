@@ -625,7 +625,15 @@ class Reconciliation:
         return adjustments(df, steps, [*self.spec.key_names, "category"])
 
     def raw_rows(self, category: str, side: Side) -> tuple[DataFrame, dict[str, str]]:
-        """Rows of a category, and where a side's values before mapping are: field or key to column."""
+        """Rows of a category, and where a side's values before mapping are: field or key to column.
+
+        Rows that one side lacks need no full outer join, unless a post-join step may change them.
+        """
+        other = {MISSING_IN_TARGET: self.target, MISSING_IN_SOURCE: self.source}.get(category)
+        if other and other is not side and not self._stored and not any(f.adjusted_after_join() for f in self.spec.paired_fields):
+            lonely = joins.anti_join(side.prepared, other.prepared, self.spec.key_names, null_keys=self._null_keys)
+            names = [*self.spec.key_names, *[f.name for f in self.spec.paired_fields]]
+            return lonely, {n: n for n in names} | dict(side.raw_columns)
         found = self._audit_columns(side)
         at = {n: n for n in self.spec.key_names}
         at |= {f.name: f"{side.name}_{f.name}" for f in self.spec.paired_fields}

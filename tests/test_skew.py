@@ -1,10 +1,17 @@
 """Hot keys: the special join must give exactly what the plain join gives."""
 
+import random
+
+import numpy as np
 import pytest
 from helpers import frame, spec
+from pyspark.sql import functions as F
 
-from tallymark.operators.joins import find_hot_keys
+from tallymark.functions.compare import ABSOLUTE_SLACK
+from tallymark.operators.hotstats import bounds
+from tallymark.operators.joins import FOLDED_ROWS, WEIGHT, find_hot_keys
 from tallymark.plans.reconcile import Skew, reconcile
+from tallymark.plans.reports import missing_in_source_report, missing_in_target_report
 
 SCHEMA = "k long, j string, a double, b string"
 FIELDS = [{"name": "a", "tolerance": 0.5}, {"name": "b"}]
@@ -132,3 +139,69 @@ def test_counts_without_pairs(spark, kind):
     assert len(split.hot_keys) == 2
     assert split.summary().first() == plain.summary().first()
     assert sorted_rows(split.field_stats()) == sorted_rows(plain.field_stats())
+
+
+@pytest.mark.parametrize("kind, amount", [("absolute", 0.0), ("absolute", 0.01), ("absolute", 3.7), ("percentage", 0.0), ("percentage", 0.01), ("percentage", 0.3), ("percentage", 1.7)])
+def test_bounds_are_exact(kind, amount):
+    chance = np.random.default_rng(5)
+    values = np.concatenate([chance.normal(0, 10.0**p, 40) for p in range(-8, 12)] + [[0.0, 1.0, -1.0, 1e308, -1e308, 5e-324]])
+
+    def close(s, t):
+        if kind == "absolute":
+            return abs(s - t) <= amount + ABSOLUTE_SLACK or s == t
+        return t == 0 if s == 0 else abs(s - t) / abs(s) <= amount
+
+    for s, low, high in zip(values, *bounds(values, kind, amount)):
+        assert close(s, low) and close(s, high)
+        outside = np.nextafter(low, -np.inf), np.nextafter(high, np.inf)
+        assert not any(np.isfinite(t) and close(s, t) for t in outside)
+    assert [x.tolist() for x in bounds(np.array([np.inf, -np.inf]), kind, amount)] == [[np.inf, -np.inf]] * 2
+
+
+@pytest.mark.parametrize("tolerance", [0.01, 2.5, 1000, "1%", "40%", "300%"])
+def test_wide_tolerances_count_alike(spark, tolerance):
+    """Values of all sizes, some missing, some infinite; one field decides, or several do."""
+    chance = random.Random(str(tolerance))
+
+    def side(n):
+        number = lambda: chance.choice((None, 0.0, -0.0, float("inf"), 1.0, -3.5, chance.gauss(0, 30), round(chance.gauss(0, 3), 1)))
+        return frame(spark, "k long, a double, b string, c double", *[
+            (1 if i % 4 else i, number(), chance.choice((None, "x", "y")), chance.choice((None, chance.uniform(1, 2)))) for i in range(n)
+        ])
+
+    source, target = side(160), side(130)
+    for fields in (
+        [{"name": "a", "tolerance": tolerance}, {"name": "b"}],
+        [{"name": "a", "tolerance": tolerance}, {"name": "b"}, {"name": "c", "tolerance": 5}],  # any two values of c match
+        [{"name": "a", "tolerance": tolerance}, {"name": "c", "tolerance": 0.2}],
+        [{"name": "c", "tolerance": "900%"}, {"name": "b"}],
+    ):
+        wanted = spec(*fields, keys=["k"])
+        plain, split = reconcile(source, target, wanted, skew="ignore"), reconcile(source, target, wanted, **HOT)
+        assert split.hot_keys
+        assert split.summary().first() == plain.summary().first()
+        assert sorted_rows(split.field_stats()) == sorted_rows(plain.field_stats())
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    """2,500 x 3,000 equal rows: no folded row stands for more than its share, and all pairs come out."""
+    source = spark.range(2500).selectExpr("1 as k", "'x' as v").union(spark.range(5).selectExpr("id + 5 as k", "'y' as v"))
+    target = spark.range(3000).selectExpr("1 as k", "'x' as v")
+    result = reconcile(source, target, spec({"name": "v"}, keys=["k"]), skew=Skew("always", share=0.1, min_rows=20))
+    folded = result._lean
+    assert folded.agg(F.max(WEIGHT)).first()[0] <= FOLDED_ROWS**2 and folded.filter(f"{WEIGHT} > 1").count() == 9
+    counts = {r["category"]: r["count"] for r in result.classified().groupBy("category").count().collect()}
+    assert counts == {"matched": 2500 * 3000, "missing_in_target": 5}
+
+
+def test_missing_reports_need_no_full_outer_join(pair):
+    wanted = spec(*FIELDS, keys=["k", "j"])
+    for options in ({"skew": "ignore"}, HOT):
+        result = reconcile(*pair, wanted, **options)
+        for report, category in ((missing_in_target_report, "missing_in_target"), (missing_in_source_report, "missing_in_source")):
+            found = report(result)
+            assert "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+            side = category.removeprefix("missing_in_")
+            side = {"target": "source", "source": "target"}[side]
+            expected = result.classified().filter(F.col("category") == category).select("k", "j", f"{side}_a", f"{side}_b")
+            assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)

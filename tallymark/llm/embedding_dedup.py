@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.graph import components
 from tallymark.llm.shared import settle
-from tallymark.llm.vectors import matrix, packed, principal, takes_part, usable
+from tallymark.llm.vectors import matrix, packed, principal, takes_part, unit_rows, usable
 
 #: Leading principal dimensions that order the vectors and bound their boxes.
 DIMENSIONS = 8
@@ -34,11 +34,6 @@ def reach(similarity: float) -> float:
     return float(np.sqrt(max(2 - 2 * similarity, 0.0))) * (1 + 1e-9) + 1e-7
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the squares
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def near(x: str, y: str, dims: int, width: float) -> Column:
     """Whether boxes of two intervals may hold points within the distance."""
     gaps = [
@@ -57,7 +52,7 @@ def blocks_of(nodes: DataFrame, directions: np.ndarray, width: float) -> DataFra
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell = np.floor(unit(matrix(batch.column("vector"))) @ directions / width).astype(np.int32)
+                cell = np.floor(unit_rows(matrix(batch.column("vector"))) @ directions / width).astype(np.int32)
                 yield pa.record_batch(
                     [*(batch.column(c) for c in ("label", "node", "copies", "vector")), *(pa.array(c) for c in cell.T)],
                     names=["label", "node", "copies", "vector", *cells],
@@ -68,7 +63,7 @@ def blocks_of(nodes: DataFrame, directions: np.ndarray, width: float) -> DataFra
 
         def block() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            x = unit(matrix(table.column("vector")))
+            x = unit_rows(matrix(table.column("vector")))
             y = x @ directions
             values = {
                 "label": held[0].column("label").slice(0, 1),

@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.vocab import Places
+from tallymark.llm.resident import Places, release
 
-#: Words kept per Python worker; beyond that the table starts anew, so memory is bounded.
-CACHED_WORDS = 500_000
 #: Characters whose words are looked up together.
-BATCH_CHARACTERS = 4_000_000
+BATCH_CHARACTERS = 1_000_000
 
 
 def fold(id_column: str, folds: int) -> Column:
@@ -43,7 +41,10 @@ def sample_per_label(labelled: DataFrame, label: str, most: int, id_column: str
 
 
 class WordTable:
-    """A row of numbers per distinct word, computed once per worker, and sums of them by text."""
+    """A row of numbers per distinct word, computed once per worker, and sums of them by text.
+
+    Words are kept up to a bound in bytes; then the table starts anew.
+    """
 
     def __init__(self, width: int, rows: Callable[[list[bytes]], np.ndarray]):
         self.width, self.rows = width, rows
@@ -76,9 +77,9 @@ class WordTable:
         return np.concatenate(out)
 
     def _sums(self, texts: list[str | None], once: bool) -> np.ndarray:
-        if len(self.places) > CACHED_WORDS:
+        if self.places.full:
             self.start_anew()
-        # words are bytes between ASCII white space, with A-Z lowered
+        # words are bytes between ASCII white space, lower-cased
         split = [(t or "").lower().encode().split() for t in texts]
         if once:
             split = [set(words) for words in split]
@@ -104,11 +105,14 @@ def trimmed(word: bytes) -> str:
     return text[letters[0] : letters[-1] + 1] if letters else ""
 
 
-def keep_rows(docs: DataFrame, keeps: Callable[[list[str | None]], Sequence[bool]], text: str = "text") -> DataFrame:
-    """The rows whose texts ``keeps`` accepts, with all their columns."""
+def keep_rows(
+    docs: DataFrame, keeps: Callable[[list[str | None]], Sequence[bool]], text: str = "text", start: Callable[[], object] = release
+) -> DataFrame:
+    """The rows whose texts ``keeps`` accepts, with all their columns; ``start`` is called when a task begins."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start()
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(keeps(batch.column(at).to_pylist()), pa.bool_()))

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.fitting import WordTable, keep_rows, sample_per_label, trimmed
+from tallymark.llm.resident import resident
 
 UNKNOWN = "und"
-_TABLES: dict[str, WordTable] = {}
 
 
 def subwords(word: bytes, buckets: int) -> list[int]:
@@ -48,10 +48,7 @@ class LanguageModel:
 
     def table(self) -> WordTable:
         """This worker's table of the words' score sums and numbers of n-grams."""
-        if self.name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[self.name] = WordTable(len(self.languages) + 1, self._rows)
-        return _TABLES[self.name]
+        return resident(("language", self.name), lambda: WordTable(len(self.languages) + 1, self._rows))
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
@@ -89,7 +86,7 @@ class LanguageModel:
 
     def filter(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows whose text's language is accepted, with all their columns."""
-        return keep_rows(docs, lambda texts: self._accepts(self.table().sums(texts)), text)
+        return keep_rows(docs, lambda texts: self._accepts(self.table().sums(texts)), text, start=self.table)
 
     def _accepts(self, sums: np.ndarray) -> np.ndarray:
         _, score = self.choose(sums)
@@ -107,12 +104,12 @@ class LanguageModel:
 
 def train(
     labelled: DataFrame, *, id_column: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 1000,
-    buckets: int = 1 << 13, size: int = 16, epochs: int = 12, rate: float = 0.5, rejected: float = 0.001, reject_cap: float = 0.35, seed: int = 7,
+    buckets: int = 1 << 13, size: int = 16, epochs: int = 12, rate: float = 0.5, rejected: float = 0.001, seed: int = 7,
 ) -> LanguageModel:
     """Learn from at most ``per_language`` documents of each language, whole texts; null labels are left out.
 
     A fifth of them is the calibration fold. ``reject_below`` is the score that the share
-    ``rejected`` of its rightly predicted documents fails to reach, ``reject_cap`` at most. Without labelled texts every text is ``und``.
+    ``rejected`` of its rightly predicted documents fails to reach, and of the whole sample's too. Without labelled texts every text is ``und``.
     """
     known = labelled.select(id_column, F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     known = known.filter("label is not null and text is not null")
@@ -172,13 +169,28 @@ def train(
             bias -= step * chance.sum(0)
             embedding -= step * buckets / 16 * back  # averages make each embedding's share of a gradient small
     model = LanguageModel(languages, embedding @ weight, bias, 1.0, 0.0)
-    calibrate(model, own, times, target, np.flatnonzero(held) if held.any() else learn, rejected, reject_cap)
+    calibrate(model, own, times, target, np.flatnonzero(held) if held.any() else learn, rejected)
+    # a small fold tells little of the lowest scores: no more of the whole sample may be rejected either
+    _, score, right = judged(model, own, times, target, np.arange(len(rows)))
+    model.reject_below = min(model.reject_below, lowest(score[right], rejected))
     return model
 
 
-def calibrate(model: LanguageModel, own, times, target: np.ndarray, some: np.ndarray, rejected: float, cap: float) -> None:
-    """Choose temperature and threshold on the rows of the calibration fold."""
+def judged(model: LanguageModel, own, times, target: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score sums of some rows with their numbers of n-grams, scores, and whether the languages are right."""
     sums = np.array([[*(model.scores[own[r]] * times[r][:, None]).sum(0), times[r].sum()] for r in some])
+    best, score = model.choose(sums)
+    return sums, score, (best == target[some]) & (sums[:, -1] > 0)
+
+
+def lowest(scores: np.ndarray, share: float) -> float:
+    """The score below which at most this share of them lies; 0 if there are none."""
+    return float(np.sort(scores)[int(share * len(scores))]) if len(scores) else 0.0
+
+
+def calibrate(model: LanguageModel, own, times, target: np.ndarray, some: np.ndarray, rejected: float) -> None:
+    """Choose temperature and threshold on the rows of the calibration fold."""
+    sums = judged(model, own, times, target, some)[0]
     logits = sums[:, :-1] / np.maximum(sums[:, -1:], 1) + model.bias
 
     def loss(temperature: float) -> float:
@@ -187,7 +199,5 @@ def calibrate(model: LanguageModel, own, times, target: np.ndarray, some: np.nda
         return float(np.mean(top + np.log(np.exp(z - top[:, None]).sum(1)) - z[np.arange(len(some)), target[some]]))
 
     model.temperature = float(min(np.geomspace(0.1, 10, 61), key=loss))
-    best, score = model.choose(sums)
-    right = np.sort(score[best == target[some]])
-    if len(right):
-        model.reject_below = min(cap, float(right[int(rejected * len(right))]))
+    _, score, right = judged(model, own, times, target, some)
+    model.reject_below = lowest(score[right], rejected)

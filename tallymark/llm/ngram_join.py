@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.graph import components
+from tallymark.llm.resident import release
 from tallymark.llm.shared import settle
 
 WORDS = 5
@@ -61,21 +62,16 @@ def sketch(docs: DataFrame) -> np.ndarray:
     step = (1 << SKETCH_BITS) // SLICES
 
     def slices(counts: np.ndarray, task: int) -> pa.RecordBatch:
-        data = [zlib.compress(counts[i * step : (i + 1) * step].tobytes(), 1) for i in range(SLICES)]
+        data = [zlib.compress(counts[i * step : (i + 1) * step].astype(np.int64).tobytes(), 1) for i in range(SLICES)]
         columns = [pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int64()), pa.array(data, pa.binary())]
         return pa.record_batch(columns, names=["slice", "task", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        release()
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                waiting.append(shingles(text) >> np.uint64(64 - SKETCH_BITS))
-                size += len(waiting[-1])
-                if size > 1 << SKETCH_BITS:
-                    counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
-                    waiting, size = [], 0
-        if size:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, shingles(text) >> np.uint64(64 - SKETCH_BITS), 1)
         if counts.any():
             yield slices(counts, TaskContext.get().partitionId())
 
@@ -146,6 +142,7 @@ def set_rows(bare: DataFrame, levels: np.ndarray) -> DataFrame:
                 yield pa.record_batch(
                     [
                         some.column("doc_id"),
+                        some.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array([parity(s) for s in sets], pa.binary()),
@@ -153,10 +150,11 @@ def set_rows(bare: DataFrame, levels: np.ndarray) -> DataFrame:
                         pa.array([int.from_bytes(g[8:], "little", signed=True) for g in groups], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64))),
                     ],
-                    names=["doc_id", "n", "set_id", "parity", "gid", "check", "prefix"],
+                    names=["doc_id", "text_hash", "n", "set_id", "parity", "gid", "check", "prefix"],
                 )
 
-    return bare.mapInArrow(run, "doc_id long, n long, set_id binary, parity binary, gid long, check long, prefix array<long>")
+    schema = "doc_id long, text_hash long, n long, set_id binary, parity binary, gid long, check long, prefix array<long>"
+    return bare.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 def may_reach(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -219,14 +217,16 @@ def verified(bare: DataFrame, members: DataFrame, pairs: DataFrame, name: str) -
 
 
 def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: its id, n_shingles, and component_id, the smallest id that links reach from it.
+    """Per row: its id, n_shingles, component_id, the smallest id that links reach from it, text_hash and class_id.
 
     Words are what stands between ASCII white space, with A-Z lowered; sets hold distinct runs of
     five words, or all words as one run if fewer. Documents link when their sets' intersection is
     75 % of their union or more. Null and empty texts have no shingles and link with nothing, so
     their component is their own id. Repeated rows are copies. Ids are whole numbers; a null id
-    is never the smallest. Other columns are ignored whatever their names. Empty input gives no
-    rows.
+    is never the smallest. ``text_hash`` is the 64-bit hash of the text, which tells rows of one id
+    apart; ``class_id`` names the component also where ids are null or repeated, and is null for
+    documents without shingles. Other columns are ignored whatever their names. Empty input gives
+    no rows.
     """
     bare = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = settle(set_rows(bare, rarity(sketch(bare))), "ngram-sets")
@@ -287,7 +287,9 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     named = sets.join(final.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(firsts, "root").select("set_id", "component_id")
-    out = rows.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
+    classes = named.join(firsts, "root").select("set_id", "component_id", F.col("root").alias("class_id"))
+    out = rows.select("doc_id", "text_hash", "n", "set_id").join(classes, "set_id", "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return out.select(
+        F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), alone.alias("component_id"), "text_hash", "class_id"
+    )

@@ -11,8 +11,8 @@ often as the counts allow. Nothing is shuffled, and a pool is bounded, so memory
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Generator, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.vocab import encoder
 
-#: Tokens that a task packs together; beyond that it starts a new pool.
-POOL_TOKENS = 16_000_000
+#: Tokens and rows that a task packs together; beyond either it starts a new pool. Empty texts have one token each.
+POOL_TOKENS, POOL_ROWS = 4_000_000, 100_000
+#: Sequences that a partition may number; more are refused.
+PARTITION_SEQUENCES = 1 << 40
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
 
@@ -115,7 +117,7 @@ def pack_pool(ids: list[np.ndarray], capacity: int, slack: int) -> Iterator[tupl
 
 def pack(
     docs: DataFrame, tokenizer: str, *, capacity: int = 4096, slack: int = 64, end_id: int = 2,
-    id_column: str = "doc_id", text: str = "text", pool_tokens: int = POOL_TOKENS,
+    id_column: str = "doc_id", text: str = "text", pool_tokens: int = POOL_TOKENS, pool_rows: int = POOL_ROWS,
 ) -> DataFrame:
     """One row per piece of a document: which ids it holds (little-endian unsigned 32-bit), and where it lies.
 
@@ -124,18 +126,21 @@ def pack(
     cut. Repeated rows are packed as often as they occur, rows with a null id too; other columns
     are ignored whatever their names. Empty input gives no rows. Within a pool documents are
     taken in order of id and content, so a task run again packs alike. ``sequence_id`` is unique
-    but not gapless: the high bits tell the partition. ``padded_to`` is the capacity or, for the
-    last few sequences of a pool, a power of two that is filled exactly.
+    but not gapless: the bits from 40 on tell the partition. ``padded_to`` is the capacity or, for
+    the last few sequences of a pool, a power of two that is filled exactly. A pool is closed at
+    ``pool_tokens`` tokens or ``pool_rows`` rows, so a task holds no more, but for one text.
     """
     bare = docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text).alias("text"))
 
-    def pieces(keys: list, ids: list[np.ndarray], first: int) -> Iterator[pa.RecordBatch]:
+    def pieces(keys: list, ids: list[np.ndarray], first: int) -> Generator[pa.RecordBatch, None, int]:
         order = sorted(range(len(ids)), key=lambda i: (keys[i] is not None, keys[i] or 0, len(ids[i]), zlib.crc32(ids[i])))
         ids = [ids[i] for i in order]
         keys = [keys[i] for i in order]
         found = pack_pool(ids, capacity, slack)
-        while some := [row for row, _ in zip(found, range(5000), strict=False)]:
+        highest = 0
+        while some := list(islice(found, 5000)):
             doc, start, length, sequence, offset, padded = zip(*some, strict=True)
+            highest = max(highest, *sequence, 0)
             yield pa.record_batch(
                 [
                     pa.array([keys[d] for d in doc], pa.int64()),
@@ -149,25 +154,28 @@ def pack(
                 ],
                 names=[id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_to"],
             )
+        return highest + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids
         end = np.array([end_id], "<u4")
-        base = TaskContext.get().partitionId() << 36
+        first = base = TaskContext.get().partitionId() * PARTITION_SEQUENCES
         keys: list = []
         ids: list[np.ndarray] = []
-        held = pool = 0
+        held = 0
         rows = chain.from_iterable(_slices(batch) for batch in batches)
         for batch in rows:
             keys += batch.column(id_column).to_pylist()
             own = [np.concatenate([x, end]).astype("<u4") for x in encode(batch.column("text").to_pylist())]
             ids += own
             held += sum(map(len, own))
-            if held >= pool_tokens:
-                yield from pieces(keys, ids, base + (pool << 28))
-                keys, ids, held, pool = [], [], 0, pool + 1
+            if held >= pool_tokens or len(ids) >= pool_rows:
+                first += yield from pieces(keys, ids, first)
+                keys, ids, held = [], [], 0
+                if first - base >= PARTITION_SEQUENCES:
+                    raise OverflowError("more sequences in a partition than can be numbered")
         if ids:
-            yield from pieces(keys, ids, base + (pool << 28))
+            yield from pieces(keys, ids, first)
 
     return bare.mapInArrow(run, f"{id_column} long, {PIECES}")
 

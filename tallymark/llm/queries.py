@@ -58,7 +58,7 @@ def op1_ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_grouped_prefix_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents by similarity of their 5-word shingles."""
-    return link_components(table(spark, folder, "documents"))
+    return link_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query

@@ -5,11 +5,14 @@ Spark reuses Python workers, so what one stage caches would stay beside what the
 
 from __future__ import annotations
 
+import ctypes
 import threading
 from collections.abc import Callable
 
+import pyarrow as pa
+
 #: Bytes that a cache of words or chunks may take; beyond that it starts anew.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 96 << 20
 #: Bytes that an entry takes beside its key's own: objects, their slots in tables, and a row of numbers.
 ENTRY_BYTES = 160
 
@@ -21,7 +24,7 @@ def resident(key: object, make: Callable[[], object]) -> object:
     """The object under this key in this worker process; objects of other keys are dropped first."""
     with _LOCK:
         if key not in _HELD:
-            _HELD.clear()
+            _drop()
             _HELD[key] = make()
         return _HELD[key]
 
@@ -29,7 +32,17 @@ def resident(key: object, make: Callable[[], object]) -> object:
 def release() -> None:
     """Drop what an earlier stage left in this worker process."""
     with _LOCK:
-        _HELD.clear()
+        _drop()
+
+
+def _drop() -> None:
+    """Drop what is held and give freed memory back to the system; allocators would keep it for this process."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such function with other C libraries
+        pass
 
 
 class Places(dict):

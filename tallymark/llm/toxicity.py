@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.fitting import WordTable, sample_per_label, trimmed
+from tallymark.llm.resident import resident
 from tallymark.llm.shared import settle
 
 BEGINNINGS = (3, 4, 5, 6, 7)
 FEATURE_BITS = 31
-_TABLES: dict[str, WordTable] = {}
 
 
 def word_features(word: bytes) -> set[int]:
@@ -43,16 +43,14 @@ class ToxicityModel:
     features: np.ndarray  # sorted hashes
     weights: np.ndarray
     thresholds: np.ndarray  # ordered; one fewer than grades
+    grades: np.ndarray  # ascending; the grades that were learned from
 
     @property
     def name(self) -> str:
-        return "-".join(f"{zlib.crc32(x.tobytes()):x}" for x in (self.features, self.weights, self.thresholds))
+        return "-".join(f"{zlib.crc32(x.tobytes()):x}" for x in (self.features, self.weights, self.thresholds, self.grades))
 
     def table(self) -> WordTable:
-        if self.name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[self.name] = WordTable(1, self._rows)
-        return _TABLES[self.name]
+        return resident(("toxicity", self.name), lambda: WordTable(1, self._rows))
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
         known = dict(zip(self.features.tolist(), self.weights.tolist(), strict=True))
@@ -65,6 +63,10 @@ class ToxicityModel:
         """The chance of a grade above each threshold."""
         return 1 / (1 + np.exp(-np.clip(sums[:, None] - self.thresholds, -500, 500)))
 
+    def severity(self, above: np.ndarray) -> np.ndarray:
+        """The expected grade: the lowest, and each step to the next by its chance."""
+        return self.grades[0] + above @ np.diff(self.grades)
+
     def grade(self, docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row: its id, severity (the expected grade of the whole text), grade (the median one) and toxic.
 
@@ -78,9 +80,9 @@ class ToxicityModel:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 above = model.above(model.table().sums(batch.column("text").to_pylist(), once=True)[:, 0][: batch.num_rows])
-                grade = (above > 0.5).sum(1)
+                grade = model.grades[(above > 0.5).sum(1)]
                 yield pa.record_batch(
-                    [batch.column(id_column), pa.array(above.sum(1)), pa.array(grade, pa.int32()), pa.array(grade > 0)],
+                    [batch.column(id_column), pa.array(model.severity(above)), pa.array(grade, pa.int32()), pa.array(grade > 0)],
                     names=[id_column, "severity", "grade", "toxic"],
                 )
 
@@ -122,6 +124,8 @@ def train(
 ) -> ToxicityModel:
     """Learn from about ``per_grade`` documents of each grade 0, 1, 2 ..., whole texts; null grades are left out.
 
+    Grades may have gaps: a severity is the expected grade, and a grade is one of those learned from.
+
     Unless documents of grade 0 and above are known, every document gets grade 0.
     """
     known = labels.select(id_column, F.col(label).cast("int").alias("label")).filter("label >= 0")
@@ -129,7 +133,7 @@ def train(
     texts = docs.select(id_column, F.coalesce(text, F.lit("")).alias("text"))
     sample = settle(texts.join(chosen, id_column).select("label", "text"), "toxicity-sample")
     if sample.select(F.col("label") > 0).distinct().count() < 2:  # nothing to tell apart: all documents get grade 0
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]))
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]), np.array([0.0, 1.0]))
     features = np.array(telling(sample, most_features, least_rows), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +150,7 @@ def train(
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["own"], "<u4")] = 1
     weights, thresholds = fit(x, y, len(grades), sparsity, rounds)
-    return ToxicityModel(features, weights, thresholds)
+    return ToxicityModel(features, weights, thresholds, np.array(grades, np.float64))
 
 
 def fit(x: np.ndarray, y: np.ndarray, grades: int, sparsity: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:

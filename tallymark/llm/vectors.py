@@ -47,6 +47,12 @@ def usable(rows: DataFrame, id_column: str, vector: str, *more: str) -> DataFram
     return bare.mapInArrow(run, ", ".join(["id long", "vector binary", *(f"{c} {kinds[c]}" for c in more)]))
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; scaled by their largest component first, so that no square is lost or overflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def principal(vectors: DataFrame, unit: bool) -> tuple[np.ndarray, np.ndarray]:
     """Mean and principal directions, the leading one first, from sums over all vectors.
 
@@ -59,7 +65,7 @@ def principal(vectors: DataFrame, unit: bool) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             x = matrix(batch.column("vector"))
             if len(x):
-                x = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
+                x = unit_rows(x) if unit else x
                 x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:

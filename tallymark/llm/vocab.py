@@ -3,7 +3,7 @@
 Encoding a text as a whole costs most of its time on words met many times before. The
 tokenizers handled here drop white space and never look across it, so the ids of a text are
 those of its space-separated chunks in a row; each distinct chunk goes to the library once per
-cache generation. ``drops_spaces`` checks that property from the tokenizer file; files that do
+cache generation, which is bounded in bytes. ``drops_spaces`` checks that property from the tokenizer file; files that do
 not have it are encoded whole.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import threading
 import unicodedata
 from array import array
 from collections.abc import Sequence
@@ -20,11 +19,7 @@ from itertools import chain
 
 import numpy as np
 
-#: Chunks kept per Python worker; beyond that the cache starts anew, so memory is bounded.
-CACHED_CHUNKS = 1_500_000
-
-_LOADED: dict[str, "Encoder"] = {}
-_LOCK = threading.Lock()
+from tallymark.llm.resident import Places, resident
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -107,8 +102,8 @@ class Encoder:
         parts += [(c,) for c in places.new[len(parts) :]]
         whole = [own[0] for own in parts if len(own) == 1]
         ids: dict[bytes, Sequence[int]] = {}
-        for start in range(0, len(whole), 20_000):
-            some = whole[start : start + 20_000]
+        for start in range(0, len(whole), 2_000):
+            some = whole[start : start + 2_000]
             ids.update(zip(some, self.encode([p.decode() for p in some]), strict=True))
         for own in parts:
             for part in own:
@@ -123,7 +118,7 @@ class Encoder:
 
     def _look_up(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each text's chunks begin, the places of all chunks in a row, and the starts of places."""
-        if len(self.places) > CACHED_CHUNKS:
+        if self.places.full:
             self._start_anew()
         split = [_chunks(t) for t in texts]
         bounds = np.zeros(len(split) + 1, np.int64)
@@ -163,7 +158,7 @@ class Encoder:
         return out
 
 
-def _batches(texts: Sequence[str | None], most: int = 4_000_000):
+def _batches(texts: Sequence[str | None], most: int = 1_000_000):
     """Runs of texts of bounded length together, so that working arrays stay small."""
     some: list[str | None] = []
     size = 0
@@ -180,18 +175,6 @@ def _batches(texts: Sequence[str | None], most: int = 4_000_000):
 _SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~|"
 
 
-class Places(dict):
-    """Numbers chunks in the order in which they are first asked for, and lists the new ones."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, chunk: bytes) -> int:
-        place = self[chunk] = len(self)
-        self.new.append(chunk)
-        return place
-
-
 def _chunks(text: str | None) -> list[bytes]:
     """The chunks of a text, split at ASCII white space only, on which all classes agree.
 
@@ -222,7 +205,4 @@ def _parts(chunk: bytes) -> tuple[bytes, ...]:
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
-    with _LOCK:
-        if path not in _LOADED:
-            _LOADED[path] = Encoder(path)
-        return _LOADED[path]
+    return resident(("encoder", path), lambda: Encoder(path))

@@ -255,3 +255,13 @@ def test_nearest_recall_of_a_coarse_graph(spark):
     x = np.random.default_rng(7).normal(size=(4000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert measured_recall(spark, x, 20, k=2, degree=8, beam=5, most_rounds=0, sample=60) >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e-160, 1e160, 1e200])
+def test_tiny_and_huge_vectors(spark, size):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) * size for v in rng.normal(0, 1, 8)], 1) for i in range(40)]
+    rows += [(100 + i, [v * 3.0 for v in rows[i][1]], 1) for i in range(10)]
+    found = link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.component_id for r in found if r.vec_id >= 100} == {100 + i: i for i in range(10)}
+    assert sum(r.n_links for r in found) == 20

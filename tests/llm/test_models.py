@@ -1,6 +1,9 @@
 """Trained operators: held-out accuracy on the given tables, and defined results for awkward rows."""
 
 import os
+import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -56,7 +59,7 @@ def test_grades_are_ordered(spark):
     weights, thresholds = toxicity.fit(x, y, 4, 1e-4, 800)
     assert (np.diff(thresholds) > 0).all()
     assert (weights[:10] > 0.3).all() and (weights[10:20] < -0.3).all() and np.abs(weights[20:]).max() < 0.3
-    model = toxicity.ToxicityModel(np.arange(30), weights, thresholds)
+    model = toxicity.ToxicityModel(np.arange(30), weights, thresholds, np.arange(4.0))
     severity = model.above(x @ weights).sum(1)
     assert all(severity[y == g].mean() + 0.4 < severity[y == g + 1].mean() for g in range(3))
     assert np.corrcoef(severity, y)[0, 1] > 0.9
@@ -119,8 +122,6 @@ def test_samples_are_bounded(spark):
 
 
 def test_folds_follow_the_checksum_of_the_id(spark):
-    import zlib
-
     rows = spark.range(50).select("id", fold("id", 5).alias("fold")).collect()
     assert all(r.fold == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
 
@@ -128,3 +129,100 @@ def test_folds_follow_the_checksum_of_the_id(spark):
 @pytest.mark.parametrize("word, core", [(b"'word,", "word"), ("«été»".encode(), "été"), (b"12-3", ""), (b"a1b2", "a1b"), (b"", "")])
 def test_words_lose_what_surrounds_their_letters(word, core):
     assert trimmed(word) == core
+
+
+def test_gaps_between_grades(spark):
+    """With grades 0 and 3 alone, what is toxic has severity near 3 and grade 3."""
+    docs = spark.createDataFrame([(i, f"plain words number {i} " + ("awful vile slur" if i % 2 else "kind mild phrase")) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 3 * (i % 2)) for i in range(200)], "doc_id long, grade int")
+    found = toxicity.train(docs, labels).grade(docs).collect()
+    assert {(r.doc_id % 2, r.grade, r.toxic) for r in found} == {(0, 0, False), (1, 3, True)}
+    assert all(r.severity > 2 if r.doc_id % 2 else r.severity < 1 for r in found)
+
+
+def plain_words(text):
+    return [w for w in re.split("[ \t-\r]+", text or "") if w]
+
+
+def core(word):
+    letters = [i for i, c in enumerate(word) if c.isalpha()]
+    return word[letters[0] : letters[-1] + 1] if letters else ""
+
+
+def test_language_scores_equal_plain_loops(spark):
+    docs = documents(spark).select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
+    model = language.train(documents(spark))
+    buckets = len(model.scores)
+
+    def score(text):
+        total, n = np.zeros(len(model.languages)), 0
+        for word in map(core, plain_words((text or "").lower())):
+            if word:
+                word = f"<{word}>"
+                for gram in [word[i : i + k] for k in (2, 3, 4) for i in range(len(word) - k + 1)] + [word]:
+                    total += model.scores[zlib.crc32(gram.encode()) % buckets]
+                    n += 1
+        if not n:
+            return "und", 0.0
+        logits = (total / n + model.bias) / model.temperature
+        chance = np.exp(logits - logits.max())
+        return model.languages[int(chance.argmax())], float(chance.max() / chance.sum())
+
+    expected = sorted(((r.doc_id, *score(r.text)) for r in docs.collect()), key=repr)
+    found = sorted((tuple(r)[:3] for r in model.predict(docs).collect()), key=repr)
+    assert [r[:2] for r in found] == [r[:2] for r in expected]
+    assert np.allclose(sorted(r[2] for r in found), sorted(r[2] for r in expected), atol=1e-4)
+
+
+def test_toxicity_equals_plain_loops(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = queries.table(spark, FOLDER, "documents")
+    model = toxicity.train(docs, queries.table(spark, FOLDER, "labels"), label="toxic")
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    some = queries.table(spark, folder, "documents").select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
+
+    def severity(text):
+        total = 0.0
+        for word in set(plain_words((text or "").lower())):
+            part = core(word).lower()
+            features = {part + "$", *(part[:k] for k in range(3, 8) if k < len(part))} if part else set()
+            total += sum(weight.get(zlib.crc32(f.encode()) % 2**31, 0.0) for f in features)
+        return sum(1 / (1 + np.exp(t - total)) for t in model.thresholds)
+
+    expected = sorted((repr(r.doc_id), severity(r.text)) for r in some.collect())
+    found = sorted((repr(r.doc_id), r.severity) for r in model.grade(some).collect())
+    assert [r[0] for r in found] == [r[0] for r in expected]
+    assert np.allclose([r[1] for r in found], [r[1] for r in expected], atol=1e-4)
+
+
+def test_quality_equals_plain_loops(spark):
+    docs = queries.table(spark, FOLDER, "documents")
+    model = queries.quality_model(docs, queries.labels(spark, FOLDER))
+    some = queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
+
+    def score(text):
+        total = 0.0
+        for i, value in enumerate(quality.describe(text)):
+            x = min(max((value - model.middle[i]) / model.spread[i], -8), 8)
+            total += model.weight[i] * x
+            for j, knots in enumerate(model.knots):
+                total += model.weight[(j + 1) * quality.FEATURES + i] * max(x - knots[i], 0)
+        odds = np.exp(min(max(model.scale * (total - model.threshold), -500), 500)) * model.place / (1 - model.place)
+        return odds / (1 + odds)
+
+    expected = sorted((repr(r.doc_id), score(r.text)) for r in some.collect())
+    found = sorted((repr(r.doc_id), r.score) for r in model.score(some).collect())
+    assert [r[0] for r in found] == [r[0] for r in expected]
+    assert np.allclose([r[1] for r in found], [r[1] for r in expected], atol=1e-9)
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    """The threshold is the calibrated one: clean held-out documents stay, and strings of random letters go."""
+    model = queries.language_model(documents(spark))
+    chance = random.Random(4)
+    noise = [("".join(chance.choice("bcdfghjklmnpqrstvwxz") + (" " if chance.random() < 0.15 else "") for _ in range(400)),) for _ in range(60)]
+    noise = spark.createDataFrame([(i, t) for i, (t,) in enumerate(noise)], "doc_id long, text string")
+    clean = documents(spark).filter(fold("doc_id", 3) == 1).filter("lang is not null")
+    gone = noise.count() - model.filter(noise).count()
+    assert model.filter(clean).count() >= 0.98 * clean.count()
+    assert gone >= 55

@@ -46,7 +46,7 @@ def test_any_text_encodes_like_the_library(texts):
 
 
 def test_cache_starts_anew_when_full(plain, monkeypatch):
-    monkeypatch.setattr("tallymark.llm.vocab.CACHED_CHUNKS", 3)
+    monkeypatch.setattr("tallymark.llm.resident.CACHE_BYTES", 500)
     own = Encoder(PATH)
     for text in ["one two three four five", "six two", "one. two, Three"]:
         assert list(own.ids([text])[0]) == ids_of(plain, text)
@@ -210,3 +210,20 @@ def test_empty_tables(spark):
     assert read_records(index, folder).collect() == []
     assert pack(empty(spark), PATH).collect() == []
     assert count_tokens(empty(spark), PATH, new_path(spark, "t")).collect() == []
+
+
+def test_pools_are_bounded_by_rows_and_numbered_on(spark):
+    """Many pools in one partition: windows of different pools never share a number."""
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    pieces = pack(docs, tokenizer_path(), capacity=16, slack=2, pool_rows=5, pool_tokens=40).collect()
+    taken = {}
+    for p in pieces:
+        taken.setdefault(p.sequence_id, []).append(p)
+    assert len(taken) > 600
+    for own in taken.values():
+        ends = [0]
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == ends[-1]
+            ends.append(p.offset + p.length)
+        assert ends[-1] <= own[0].padded_to <= 16 and len({p.padded_to for p in own}) == 1
+    assert sum(p.length for p in pieces) == sum(i % 7 + 1 for i in range(3000))

@@ -320,6 +320,37 @@ def map_conditional_keyed(spark: SparkSession, sf: str) -> DataFrame:
     return _prepared(spark, sf, "source", status, PRIORITY, columns=["status"])
 
 
+@register(
+    "map_conditional_2000",
+    """SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%-%' AND o_custkey BETWEEN 1 AND 2000
+                  THEN CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey + 100000 END ELSE o_custkey END AS cust
+FROM orders""",
+)
+def map_conditional_2000(spark: SparkSession, sf: str) -> DataFrame:
+    """2,000 entries under a typed condition; a replacement of None clears the value."""
+    entries = {k: None if k % 10 == 0 else k + 100_000 for k in range(1, 2001)}
+    field = {
+        "name": "cust", "source": "o_custkey",
+        "conditional_mapping": {
+            "condition_field": "priority", "condition_type": "contains", "condition_value": "-", "mappings": {"default": entries},
+        },
+    }
+    return _prepared(spark, sf, "source", field, PRIORITY, columns=["cust"])
+
+
+@register(
+    "map_keyed_2000",
+    """SELECT o_orderkey, CASE WHEN o_custkey NOT BETWEEN 1 AND 2000 THEN o_custkey WHEN o_orderpriority = '1-URGENT' THEN o_custkey + 100000
+                  WHEN o_orderpriority = '5-LOW' THEN -o_custkey ELSE o_custkey END AS cust
+FROM orders""",
+)
+def map_keyed_2000(spark: SparkSession, sf: str) -> DataFrame:
+    """2,000 entries for each of two values of the condition field."""
+    mappings = {"1-URGENT": {k: k + 100_000 for k in range(1, 2001)}, "5-LOW": {k: -k for k in range(1, 2001)}, 5: {1: 2}}
+    field = {"name": "cust", "source": "o_custkey", "conditional_mapping": {"condition_field": "priority", "mappings": mappings}}
+    return _prepared(spark, sf, "source", field, PRIORITY, columns=["cust"])
+
+
 @register(
     "map_condition_from_raw",
     """SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_orderstatus = 'O' THEN 'Open' ELSE o_orderstatus END AS status

@@ -84,13 +84,19 @@ def _map_literal(lookup: _Lookup, dtype: T.DataType) -> Column:
     return F.create_map(*pairs)
 
 
+def _replacements(new_values: list[Any], result: T.DataType) -> list[Any]:
+    """New values as a column of the result type holds them."""
+    if isinstance(result, T.StringType):
+        return [None if new is None else str(new) for new in new_values]
+    if isinstance(result, T.DoubleType):
+        return [None if new is None else float(new) for new in new_values]
+    return new_values
+
+
 def _lookup_frame(df: DataFrame, lookup: _Lookup, dtype: T.DataType, names: tuple[str, str]) -> DataFrame:
     schema = T.StructType([T.StructField(names[0], dtype), T.StructField(names[1], lookup.result)])
-    as_text = isinstance(lookup.result, T.StringType)
-    rows = [(old, str(new) if as_text and new is not None else new) for old, new in lookup.entries.items()]
-    if isinstance(lookup.result, T.DoubleType):
-        rows = [(old, None if new is None else float(new)) for old, new in rows]
-    return df.sparkSession.createDataFrame(rows, schema)
+    news = _replacements(list(lookup.entries.values()), lookup.result)
+    return df.sparkSession.createDataFrame(list(zip(lookup.entries, news)), schema)
 
 
 def mapped(col: Column, dtype: T.DataType, mapping: Mapping[Any, Any]) -> tuple[Column, T.DataType] | None:
@@ -135,35 +141,70 @@ def condition_mask(mapping: ConditionalMapping, col: Column, dtype: T.DataType)
     return predicate(col, dtype, kind, mapping.condition_value, numeric_equality=False)
 
 
-def mapped_where(
-    col: Column, dtype: T.DataType, mapping: ConditionalMapping, cond: Column, cond_type: T.DataType
-) -> tuple[Column, T.DataType]:
-    """Conditional mapping as an expression with its type.
-
-    A replacement of None clears the value here, unlike in the plain mapping.
-    """
+def _cases(mapping: ConditionalMapping, dtype: T.DataType, cond: Column, cond_type: T.DataType) -> list[tuple[Any, Column, dict]]:
+    """Cases in order: the condition value they hold for (None with a typed condition), the test, and old to new values."""
     mask = condition_mask(mapping, cond, cond_type)
     if mask is not None:
-        cases = [(mask, mapping.mappings.get("default", {}))]
+        cases = [(None, mask, mapping.mappings.get("default", {}))]
     else:
         cases = [
-            (cond.isNotNull() & (cond == V.literal_like(held, cond_type)), old_to_new)
+            (held, cond.isNotNull() & (cond == V.literal_like(held, cond_type)), old_to_new)
             for key, old_to_new in mapping.mappings.items()
             for held in V.held_as(key, cond_type)
         ]
-    cases = [(test, _restrict(m, dtype).entries) for test, m in cases]
-    cases = [(test, entries) for test, entries in cases if entries]
+    restricted = [(held, test, _restrict(m, dtype).entries) for held, test, m in cases]
+    return [case for case in restricted if case[2]]
+
+
+def mapped_where(
+    col: Column, dtype: T.DataType, mapping: ConditionalMapping, cond: Column, cond_type: T.DataType
+) -> tuple[Column, T.DataType] | None:
+    """Conditional mapping as an expression with its type; None when it is too long to write inline.
+
+    A replacement of None clears the value here, unlike in the plain mapping.
+    """
+    cases = _cases(mapping, dtype, cond, cond_type)
     if not cases:
         return col, dtype
-    result = _result_type(dtype, [new for _, entries in cases for new in entries.values()])
+    if sum(len(entries) for _, _, entries in cases) > INLINE_ENTRIES:
+        return None
+    result = _result_type(dtype, [new for _, _, entries in cases for new in entries.values()])
     replaced = _convert(col, dtype, result)
-    for test, entries in cases:  # a later case wins, as it would when applied in order
+    for _, test, entries in cases:  # a later case wins, as it would when applied in order
         hit = test & col.isNotNull() & col.isin([V.literal_like(old, dtype) for old in entries])
         new = F.try_element_at(_map_literal(_Lookup(entries, result), dtype), col)
         replaced = F.when(hit, new).otherwise(replaced)
     return replaced, result
 
 
+def map_values_where(df: DataFrame, field: str, mapping: ConditionalMapping, condition_field: str) -> DataFrame:
+    """Conditional mapping of any length: the rules as rows, met in one broadcast join.
+
+    A rule has the old value and, in the keyed form, the condition value; of rules that agree in
+    both, the last case's is kept, so a row meets one rule at most.
+    """
+    dtype, cond_type = df.schema[field].dataType, df.schema[condition_field].dataType
+    col, cond = F.col(f"`{field}`"), F.col(f"`{condition_field}`")
+    cases = _cases(mapping, dtype, cond, cond_type)
+    keyed = bool(cases) and cases[0][0] is not None
+    rules = {(held, old): new for held, _, entries in cases for old, new in entries.items()}
+    result = _result_type(dtype, list(rules.values()))
+    held_, old_, new_, hit_ = (f"__{part}_{field}" for part in ("held", "old", "new", "hit"))
+    kinds = [(held_, cond_type), (old_, dtype), (new_, result), (hit_, T.BooleanType())]
+    news = _replacements(list(rules.values()), result)
+    rows = [(held, old, new, True) for (held, old), new in zip(rules, news)]
+    table = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(*k) for k in kinds]))
+    on = col == F.col(f"`{old_}`")
+    if keyed:
+        on = on & (cond == F.col(f"`{held_}`"))
+    joined = df.join(F.broadcast(table), on, "left")  # as large as the spec, not the data
+    hit = F.coalesce(F.col(f"`{hit_}`"), F.lit(False))
+    if not keyed:
+        hit = hit & cases[0][1]
+    value = F.when(hit, F.col(f"`{new_}`")).otherwise(_convert(col, dtype, result))
+    return joined.withColumn(field, value).drop(held_, old_, new_, hit_)
+
+
 def transformed(col: Column, dtype: T.DataType, expression: ValueExpression) -> Column:
     """An expression applied to the values that are present; nulls stay null.
 
@@ -235,7 +276,11 @@ class ColumnUpdates:
             return
         dtypes = self.dtype(name), self.dtype(condition_column)
         cond = self.column(condition_column)  # as it stands now, so an earlier mapping is seen
-        self.set(name, *mapped_where(self.column(name), dtypes[0], mapping, cond, dtypes[1]))
+        inline = mapped_where(self.column(name), dtypes[0], mapping, cond, dtypes[1])
+        if inline is None:
+            self.replace(map_values_where(self.settle(), name, mapping, condition_column))
+        else:
+            self.set(name, *inline)
 
     def transform(self, name: str, expression: ValueExpression) -> None:
         if isinstance(expression, str) and any(updated.lower() in expression.lower() for updated in self._pending):

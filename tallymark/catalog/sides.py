@@ -351,6 +351,13 @@ def map_keyed_2000(spark: SparkSession, sf: str) -> DataFrame:
     return _prepared(spark, sf, "source", field, PRIORITY, columns=["cust"])
 
 
+@register("map_condition_missing", "SELECT o_orderkey, o_orderstatus AS status FROM orders")
+def map_condition_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """A condition field that is nowhere found leaves the values as they are."""
+    field = _conditional("equals", "nowhere", "x", mappings={"O": "Open", "F": None})
+    return _prepared(spark, sf, "source", field, columns=["status"])
+
+
 @register(
     "map_condition_from_raw",
     """SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_orderstatus = 'O' THEN 'Open' ELSE o_orderstatus END AS status

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import time
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +30,9 @@ from tallymark.catalog.base import (
 from tallymark.operators.lookup import aggregate_by, append_aggregate, append_columns, repeated_keys
 from tallymark.operators.mapping import map_values
 from tallymark.operators.quality import check_dataset, clean_names, dataset_check, profile, profile_columns, standardize
-from tallymark.plans.batch import Job, append_summary, reconcile_batch, summarize_values
+from tallymark.plans.batch import Job, append_summary, first_present, reconcile_batch, summarize_values
 from tallymark.plans.reconcile import reconcile
+from tallymark.plans.spec import parse_spec, run_name
 from tallymark.sources import readers, sinks
 
 # -- aggregation -------------------------------------------------------------------
@@ -533,3 +536,96 @@ def batch_attribute(spark: SparkSession, sf: str) -> DataFrame:
 @register("checked_load", "SELECT * FROM supplier")
 def checked_load(spark: SparkSession, sf: str) -> DataFrame:
     return check_dataset(table(spark, sf, "supplier"), "supplier")
+
+
+@register(
+    "batch_selected",
+    f"""WITH cc AS (SELECT CASE WHEN {same_sql('c_mktsegment', 'lower(c_mktsegment)')} THEN 'matched' ELSE 'different' END
+       AS category FROM customer),
+rows AS ({_batch_row('customers', 'SELECT count(*) FROM customer')} FROM cc)
+SELECT *, CASE WHEN matched + different > 0 THEN matched / (matched + different) ELSE 0.0 END AS match_rate,
+       CASE WHEN matched + different > 0 THEN different / (matched + different) ELSE 0.0 END AS difference_rate
+FROM rows""",
+)
+def batch_selected(spark: SparkSession, sf: str) -> DataFrame:
+    """Of several jobs only the named one runs."""
+    customer, customer_target = _customer_job(spark, sf)
+    jobs = [
+        Job("orders", table(spark, sf, "orders"), "orders", orders_spec()),
+        Job("customers", customer, "customers", _CUSTOMER_SPEC),
+    ]
+    targets = {"orders": orders_target(spark, sf), "customers": customer_target}
+    return reconcile_batch(jobs, targets, only=" customers ,").summary()
+
+
+@register(
+    "batch_checks",
+    """SELECT 'fine' AS job, 'done' AS status, (SELECT count(*) FROM customer) AS matched
+       UNION ALL SELECT job, 'failed', NULL FROM (VALUES ('no key'), ('other family'), ('bad tolerance')) AS t (job)""",
+)
+def batch_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A missing key, a key of another family on one side and a tolerance that is none fail their jobs alone."""
+    customer = table(spark, sf, "customer")
+    texts = customer.withColumn("c_custkey", F.concat(F.lit("c"), "c_custkey"))
+    same = {"name": "c_acctbal", "tolerance": "0.5%"}
+    jobs = [
+        Job("fine", customer, "customers", spec(same, keys=["c_custkey"])),
+        Job("no key", customer.drop("c_custkey"), "customers", spec(same, keys=["c_custkey"])),
+        Job("other family", texts, "customers", spec(same, keys=["c_custkey"])),
+        Job("bad tolerance", customer, "customers", spec({"name": "c_acctbal", "tolerance": "half"}, keys=["c_custkey"])),
+    ]
+    result = reconcile_batch(jobs, {"customers": customer})
+    return result.status(spark).select("job", "status").join(result.summary().select("job", "matched"), "job", "left")
+
+
+@register(
+    "batch_enriched_target",
+    """SELECT c_custkey, c_nationkey, n_name AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
+)
+def batch_enriched_target(spark: SparkSession, sf: str) -> DataFrame:
+    """The enriched table is taken where there is one, else the plain one."""
+    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    nation = table(spark, sf, "nation")
+
+    def enriched() -> DataFrame:
+        return append_columns(customer, nation, "c_nationkey=n_nationkey", ["n_name"], ["nation"], unique=True)
+
+    chosen = first_present(lambda: None, enriched, customer)
+    plain = first_present(None, customer)
+    return chosen.join(plain, ["c_custkey", "c_nationkey"])
+
+
+@register("latest_file", "SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey")
+def latest_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the counts written in two runs the newer file is read."""
+    base = scratch_folder(spark)
+    customer = table(spark, sf, "customer")
+    for run, rows in (("one", customer.withColumn("c_nationkey", F.lit(-1))), ("two", customer)):
+        counts = rows.groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+        sinks.write_table(counts.coalesce(1), f"{base}/{run}")
+        time.sleep(1.1)  # file times may be whole seconds
+    return readers.load(spark, readers.latest_file(spark, [f"{base}/one", f"{base}/two"], ["*.parquet", "*.csv"]))
+
+
+@register(
+    "run_stamp",
+    """SELECT c_custkey, c_mktsegment, 'customers_20240203_040506' AS run FROM customer""",
+)
+def run_stamp(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's output goes under the spec's name with the time of the run."""
+    named = parse_spec({**_CUSTOMER_SPEC, "output": {"filename": "customers.xlsx"}})
+    name = run_name(named, datetime.datetime(2024, 2, 3, 4, 5, 6))
+    path = sinks.write_table(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), f"{scratch_folder(spark)}/{name}")
+    return spark.read.parquet(path).withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
+@register(
+    "reports_sink",
+    orders_classified_sql() + " SELECT category AS report, count(*) AS records FROM c GROUP BY category",
+)
+def reports_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """The four row reports as they are read back from their tables."""
+    paths = sinks.write_reports(reconcile(*orders_pair(spark, sf), orders_spec()), scratch_folder(spark))
+    names = ("matched", "different", "missing_in_target", "missing_in_source")
+    parts = [spark.read.parquet(paths[n]).select(F.lit(n).alias("report")) for n in names]
+    return reduce(DataFrame.unionAll, parts).groupBy("report").agg(F.count("*").alias("records"))

@@ -48,8 +48,15 @@ def write_reports(
     return {name: write_table(df, f"{base}/{name}", format=format) for name, df in tables.items()}
 
 
-def write_enriched(df: DataFrame, path: str, *, sep: str = ",", encoding: str = "UTF-8") -> str:
-    """All-text rows as CSV with a header, values as they were read."""
+def write_enriched(df: DataFrame, path: str, *, sep: str = ",", encoding: str = "UTF-8", bom: bool = True) -> str:
+    """All-text rows as CSV with a header, values as they were read.
+
+    Files in UTF-8 begin with a byte order mark, as spreadsheets expect, unless the first
+    column's name has to be quoted; readers pass over it.
+    """
+    first = df.columns[0]
+    if bom and encoding.upper() == "UTF-8" and not any(c in first for c in (sep, '"', "\n", "\r")) and first.strip() == first:
+        df = df.withColumnRenamed(first, "\ufeff" + first)
     text = df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding)
     text.option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
     return path

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.sources.readers import read_csv, read_text_csv, scan_cells, survey_csv
+from tallymark.sources.sinks import write_enriched
 
 
 def write(path, text, mode="w"):
@@ -125,3 +126,17 @@ def test_many_files_of_many_blocks(spark, tmp_path):
         assert rows(found.select("a", "b")) == sorted((str(1000 * i + k), f"x{1000 * i + k}") for i in range(3) for k in range(800))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("first", ["id", 'a "quoted" name', "a, b"])
+@pytest.mark.parametrize("bom", [True, False])
+def test_byte_order_mark(spark, tmp_path, first, bom):
+    df = spark.createDataFrame([("1", "two\nlines"), ("2", "x")], ["id", "text"]).withColumnRenamed("id", first)
+    path = write_enriched(df.coalesce(1), str(tmp_path / "out.csv"), bom=bom)
+    begins = [f.read_bytes()[:3] for f in (tmp_path / "out.csv").glob("part-*")]
+    assert begins and all((b == b"\xef\xbb\xbf") == (bom and first == "id") for b in begins)
+    for multi_line in (None, True):
+        found = read_text_csv(spark, path, sep=",", multi_line=multi_line)
+        assert found.columns == [first, "text"] and rows(found) == [("1", "two\nlines"), ("2", "x")]
+    single = write_enriched(df.filter("text = 'x'"), str(tmp_path / "one.csv"), bom=bom)
+    assert read_text_csv(spark, single, sep=",").columns == [first, "text"]

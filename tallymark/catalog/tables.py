@@ -406,6 +406,29 @@ def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.load(spark, path, lines=True)
 
 
+@register(
+    "json_array",
+    """SELECT c_custkey, c_name || ' {"x"} [' AS name, c_acctbal AS balance FROM customer""",
+)
+def json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays of nested records with braces and quotes in their texts, each read by as many tasks as it is large."""
+    path = scratch_folder(spark) + ".json"
+    records = table(spark, sf, "customer").selectExpr(
+        """to_json(struct(c_custkey, concat(c_name, ' {"x"} [') as name, struct(c_nationkey as key, c_acctbal as balance) as inner)) as value"""
+    )
+
+    def arrays(batches):
+        before = "["
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array([before + record])], names=["value"])
+                before = ","
+        yield pa.record_batch([pa.array([before.replace(",", "") + "]"])], names=["value"])
+
+    records.mapInArrow(arrays, "value string").write.text(path)
+    return readers.load(spark, path).selectExpr("c_custkey", "name", "inner.balance as balance")
+
+
 @register(
     "parquet_load",
     "SELECT event_id, ts, user_id, event_type, value, props FROM events",

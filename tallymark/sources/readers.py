@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions.values import NUMBER_PATTERN
 from tallymark.operators.quality import check_dataset
+from tallymark.sources.arrays import read_json_array
 
 # Delimiters looked for, and texts read as missing.
 DELIMITERS = (",", ";", "\t", "|")
@@ -267,9 +268,17 @@ def unreadable_cells(
     return row.select(F.inline("c"))
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str], *, lines: bool = False) -> DataFrame:
-    """JSON: an array of records, or one record per line, which can be read in parallel."""
-    return spark.read.option("multiLine", not lines).json(path)
+def read_json(
+    spark: SparkSession, path: str | Sequence[str], *, lines: bool = False, schema: str | None = None
+) -> DataFrame:
+    """JSON: an array of records, or one record per line; both are read in parallel.
+
+    Types are inferred over all records unless a ``schema`` in DDL form is given.
+    """
+    if lines:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.json(path)
+    return read_json_array(spark, path, schema)
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

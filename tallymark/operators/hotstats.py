@@ -138,6 +138,8 @@ def rank_pairs(source: DataFrame, target: DataFrame, keys: Sequence[str], field:
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if kind == "percentage":  # an infinite source value is within no share of itself
+                batch = batch.filter(pa.array(np.isfinite(batch.column("value").to_numpy()), pa.bool_()))
             low, high = bounds(batch.column("value").to_numpy(), kind, amount)
             rows = batch.column("rows").to_numpy()
             for at, place, weight in ((low, 0, -rows), (high, 2, rows)):

@@ -6,16 +6,18 @@ each other, and whoever finds a nearer one takes it up. Rounds end when few neig
 A query walks the graph greedily: it visits the neighbours of the best vectors it has seen until
 none of its best is unvisited. The best are then compared exactly, on the original vectors.
 
-No graph finds enough on all data: where lengths differ much, for example, the walk ends among
-short vectors. So recall is measured on a sample of the queries, which are compared with all
-vectors. If it is too low, as it gets with more vectors, the walk is tried with a wider beam, and
-if that finds too little too, all queries are compared with all vectors. Among many near copies 8
-bits do not tell which are nearest; a query whose best are so close that rounding may have hidden a
-better one is compared with all vectors too.
-
-To make inner products comparable, the graph sees vectors with one more component that gives
-all of them the same length; graph and walk use 8-bit copies of the vectors, a sixteenth of the
-doubles, to keep shuffles small. Equal vectors are one node.
+Two graphs are walked as one. The first sees vectors with one more component that gives all of
+them the same length, so that it links vectors that lie near each other. The second links each
+vector to those of the largest plain inner products, which are long ones; without it a walk among
+vectors of differing lengths ends among the short. Where all lengths agree both graphs are the
+same, and one is built. Graph and walk use 8-bit copies of the vectors, a sixteenth of the doubles,
+to keep shuffles small. Equal vectors are one node.
+
+The walk's recall is measured on a sample of the queries, which are also compared with all
+vectors. If it is too low the walk is tried with a wider beam, and if that finds too little too, all
+queries are compared with all vectors. Among many near copies 8 bits do not tell which are nearest;
+a query whose best are so close that rounding may have hidden a better one is compared with all
+vectors too.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ OFFERS = 8
 WIDER = (1, 4)
 #: Standard errors of an 8-bit inner product within which it may stand for a better one.
 ERRORS = 6
-#: Queries that are compared with all vectors in one pass, and vectors they meet at a time.
-GROUP, SLICE = 4096, 512
+#: Most queries and bytes of their vectors that are compared with all vectors in one pass, and vectors they meet at a time.
+GROUP, GROUP_BYTES, SLICE = 4096, 1 << 26, 512
+#: Lengths that differ by less than this share are taken as equal.
+SAME_LENGTH = 1e-6
 
 
 def short(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,12 +255,23 @@ def neighbour_graph(nodes: DataFrame, degree: int, least_change: float, most_rou
         new = F.size(F.array_except("others", "before"))
         change = found.select("node", "others").join(before, "node").agg(F.sum(new), F.sum(F.size("others"))).first()
         graph = found
-        nodes.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this round
         if not change[1] or change[0] <= least_change * change[1]:
             break
     return graph
 
 
+def walked_graph(nodes: DataFrame, degree: int, least_change: float, most_rounds: int) -> DataFrame:
+    """Per node the others a walk goes to: its nearest, and half as many of the largest plain inner products."""
+    near = neighbour_graph(nodes, degree, least_change, most_rounds)
+    shortest, longest = nodes.agg(F.min("length"), F.max("length")).first()
+    if longest is None or shortest >= longest * (1 - SAME_LENGTH):
+        return near
+    plain = neighbour_graph(nodes.withColumn("rest", F.lit(0.0)), -(-degree // 2), least_change, most_rounds)
+    more = plain.select("node", F.col("others").alias("more"))
+    both = F.array_union("others", "more").alias("others")
+    return settle(near.join(more, "node").select("node", both, "code", "scale"), "knn-walked")
+
+
 def walk(queries: DataFrame, graph: DataFrame, beam: int, step: int) -> DataFrame:
     """(query, node, near) of the best nodes seen when each query's best are all visited; queries are nodes themselves."""
     small = graph.select("node", "code", "scale")
@@ -301,7 +316,8 @@ def scan(queries: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """
     spark = nodes.sparkSession
     asked = settle(queries.join(nodes.select(F.col("node").alias("query"), "vector"), "query"), "knn-scanned")
-    groups = -(-asked.count() // GROUP)
+    n, width = asked.agg(F.count("*"), F.max(F.length("vector"))).first()
+    groups = -(-n // max(1, min(GROUP, GROUP_BYTES // (width or 1))))
     number = F.pmod(F.xxhash64("vector"), F.lit(groups))
     order = Window.partitionBy("query").orderBy(F.desc("near"), "node")
     # few parts, so that few lists are merged: a part's list is as long as the result
@@ -369,6 +385,7 @@ def doubtful(seen: DataFrame, scored: DataFrame, nodes: DataFrame, k: int, beam:
         F.count("*").alias("n"), F.min("near").alias("last"), F.max(error).alias("error")
     )
     clear = (F.col("n") >= beam) & (F.col("kth") > F.col("last") + ERRORS * F.col("error"))
+    clear |= F.col("n") >= nodes.count()  # the beam holds all there are
     return lasts.join(kth, "query", "left").filter(~F.coalesce(clear, F.lit(False))).select("query")
 
 
@@ -396,11 +413,11 @@ def nearest(
     and rows with a null id, take no part. A repeated id counts once per distinct vector. Other
     columns are ignored whatever their names. Empty input, or no query, gives no rows.
 
-    ``sample`` distinct query vectors, those with the smallest hashes, are compared with all
-    vectors. The others get what the walk finds with the first beam of those in ``WIDER`` whose
-    recall on the sample, less two standard errors, is at least ``recall``; if none is, and where 8 bits leave a query's best in doubt, they
-    are compared with all vectors too, which takes time by the number of these queries times the
-    number of vectors.
+    Every query gets what the walk finds, with the first beam of those in ``WIDER`` whose recall,
+    less two standard errors, is at least ``recall``. It is measured on ``sample`` distinct query
+    vectors, those with the smallest hashes, which are compared with all vectors for that. If no beam
+    finds enough, and where 8 bits leave a query's best in doubt, queries are compared with all vectors
+    instead, which takes time by the number of these queries times the number of vectors.
     """
     nodes, members = nodes_of(rows, id_column, vector, k + 1)
     ids = settle(
@@ -413,23 +430,24 @@ def nearest(
     tested = settle(hashed.orderBy("hash", "query").limit(sample).select("query"), "knn-tested")
     wanted = 2 * k + 1
     truth = settle(compared_exactly(scan(tested, nodes, wanted), nodes), "knn-truth")
-    scored = truth
-    rest = settle(asked.join(tested, "query", "left_anti"), "knn-untested")
+    untested = settle(asked.join(tested, "query", "left_anti"), "knn-untested")
+    graph = walked_graph(nodes, degree, least_change, most_rounds)
+
+    def walked(some: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+        """What a walk with a beam of ``width`` finds, compared exactly, and the queries that it leaves in doubt."""
+        seen = walk(some, graph, width, step)
+        scored = settle(compared_exactly(seen, nodes), "knn-scored")
+        doubts = settle(doubtful(seen, scored, nodes, k, width), "knn-doubtful")
+        return scored.join(doubts, "query", "left_anti"), doubts
+
+    scored, rest = truth.limit(0), asked
+    for width in (max(beam, wanted) * wider for wider in WIDER):
+        found, doubts = walked(tested, width)
+        if least_recall(found, truth, k) >= recall:
+            others, more = walked(untested, width)
+            scored, rest = found.union(others), doubts.union(more)
+            break
     if not rest.isEmpty():
-        graph = neighbour_graph(nodes, degree, least_change, most_rounds)
-
-        def walked(some: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-            """What a walk with a beam of ``width`` finds, compared exactly, and the queries that it leaves in doubt."""
-            seen = walk(some, graph, width, step)
-            scored = settle(compared_exactly(seen, nodes), "knn-scored")
-            doubts = settle(doubtful(seen, scored, nodes, k, width), "knn-doubtful")
-            return scored.join(doubts, "query", "left_anti"), doubts
-
-        for width in (max(beam, wanted) * wider for wider in WIDER):
-            if least_recall(walked(tested, width)[0], truth, k) >= recall:
-                found, rest = walked(rest, width)
-                scored = scored.union(found)
-                break
         scored = scored.union(compared_exactly(scan(rest, nodes, wanted), nodes))
     found = scored.join(members, "node").join(ids, "query").filter("id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

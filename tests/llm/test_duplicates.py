@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from fixtures import DOCUMENTS, WORDS, awkward, clashing, empty, prose, rows_of
 
-from tallymark.llm import queries
+from tallymark.llm import neighbours, queries
 from tallymark.llm.embedding_dedup import link_vectors, span
 from tallymark.llm.graph import components
 from tallymark.llm.neighbours import nearest
@@ -233,12 +233,16 @@ def measured_recall(spark, x, every: int, until: int | None = None, k: int = 20,
     return hits / (k * len(own))
 
 
-def test_nearest_recall_of_differing_lengths(spark):
-    """The long vectors hold the largest inner products, and the walk does not get to them."""
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_the_walk_alone_finds_the_nearest(spark, monkeypatch, spread):
+    """Only the sample and the queries in doubt meet all vectors, whatever the vectors' lengths; the result is the walk's."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(6000, 64))
-    x *= np.exp(rng.normal(0, 0.5, (6000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
-    assert measured_recall(spark, x, 10, sample=100) >= 0.9
+    x = rng.normal(size=(10_000, 64))
+    x *= np.exp(rng.normal(0, spread, (10_000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    scanned, whole = [], neighbours.scan
+    monkeypatch.setattr(neighbours, "scan", lambda some, *rest: (scanned.append(some.count()), whole(some, *rest))[1])
+    assert measured_recall(spark, x, 50, sample=60) >= 0.95
+    assert scanned[0] == 60 and sum(scanned[1:]) <= 10, scanned
 
 
 def test_nearest_recall_of_near_copies(spark):

@@ -618,6 +618,54 @@ def batch_enriched_target(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.join(plain, ["c_custkey", "c_nationkey"])
 
 
+_SHARED_JOBS = {
+    # source condition, target condition
+    "everyone": ("true", "true"),
+    "rich": ("c_acctbal > 5000", "c_acctbal > 5000"),
+    "builders": ("true", "c_mktsegment = 'BUILDING'"),
+}
+
+
+def _shared_job_sql(job: str) -> str:
+    source, target = _SHARED_JOBS[job]
+    return f"""SELECT '{job}' AS job, s.c_custkey AS s_key, t.c_custkey AS t_key,
+        {same_sql('s.c_acctbal', 't.c_acctbal')} AND {same_sql('s.c_mktsegment', 't.c_mktsegment')} AS same
+        FROM (SELECT * FROM customer WHERE {source}) s
+        FULL JOIN (SELECT * FROM moved WHERE {target}) t ON s.c_custkey = t.c_custkey"""
+
+
+@register(
+    "batch_shared_target",
+    f"""WITH moved AS (
+    SELECT CASE WHEN c_custkey % 10 = 0 THEN -c_custkey - 1 ELSE c_custkey END AS c_custkey, c_mktsegment,
+           CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer),
+joined AS ({' UNION ALL '.join(_shared_job_sql(j) for j in _SHARED_JOBS)})
+SELECT job, count(s_key) AS total_source, count(t_key) AS total_target,
+       count(*) FILTER (WHERE s_key IS NOT NULL AND t_key IS NOT NULL AND same) AS matched,
+       count(*) FILTER (WHERE s_key IS NOT NULL AND t_key IS NOT NULL AND NOT same) AS different,
+       count(*) FILTER (WHERE t_key IS NULL) AS missing_in_target,
+       count(*) FILTER (WHERE s_key IS NULL) AS missing_in_source
+FROM joined GROUP BY job""",
+)
+def batch_shared_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Three jobs with filters of their own on one target, which is scanned once."""
+    customer = table(spark, sf, "customer")
+    moved = customer.selectExpr(
+        "case when c_custkey % 10 = 0 then -c_custkey - 1 else c_custkey end as c_custkey", "c_mktsegment",
+        "case when c_custkey % 7 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal", "c_name",
+    )
+    rich = [{"field": "c_acctbal", "condition": "greater_than", "value": 5000}]
+    builders = [{"field": "c_mktsegment", "condition": "equals", "value": "BUILDING"}]
+    fields = [{"name": "c_acctbal"}, {"name": "c_mktsegment"}]
+    jobs = [
+        Job("everyone", customer, "moved", spec(*fields, keys=["c_custkey"])),
+        Job("rich", customer, "moved", spec(*fields, keys=["c_custkey"], source=rich, target=rich)),
+        Job("builders", customer, "moved", spec(*fields, keys=["c_custkey"], target=builders)),
+    ]
+    found = reconcile_batch(jobs, {"moved": moved}, shared_folder=scratch_folder(spark)).summary()
+    return found.drop("match_rate", "difference_rate")
+
+
 @register("latest_file", "SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey")
 def latest_file(spark: SparkSession, sf: str) -> DataFrame:
     """Of the counts written in two runs the newer file is read."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -11,10 +12,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.operators.filters import filter_mask
 from tallymark.operators.lookup import aggregate_by, append_columns
 from tallymark.operators.quality import clean_names
 from tallymark.plans.reconcile import Reconciliation, reconcile
-from tallymark.plans.spec import Spec
+from tallymark.plans.spec import TARGET, Spec, parse_spec
 
 log = logging.getLogger(__name__)
 
@@ -87,6 +89,53 @@ def _open(source: TableSource) -> DataFrame | None:
     return source() if callable(source) else source
 
 
+def _columns_read(spec: Spec, columns: Sequence[str]) -> list[str]:
+    """The target columns a job may read; all of them if a calculation sees the whole row."""
+    calculated = [e.calculation(TARGET) for e in (*spec.keys, *spec.fields)]
+    if any(c is not None for c in calculated):
+        return list(columns)
+    named = {f.field for f in spec.filters.get(TARGET, ())}
+    for key in spec.keys:
+        named |= {key.target, *key.target_alternatives}
+    for entry in spec.fields:
+        named |= {entry.name, entry.target}
+        if entry.conditional_mapping is not None:
+            named.add(entry.conditional_mapping.condition_field)
+    folded = {n.strip().lower() for n in named}
+    return [c for c in columns if c.strip().lower() in folded]
+
+
+def share_target(target: DataFrame, specs: Mapping[str, Mapping[str, Any] | Spec], path: str) -> dict[str, DataFrame]:
+    """Scan a target once for several jobs; per job the rows that meet its filters.
+
+    Each row is tagged with the jobs whose target filters it meets and written to ``path``, a folder
+    all executors share, in one folder per set of jobs; rows and columns that no job reads are left out. A job
+    reads the folders of the sets it is in, so disjoint filters write and read every row once. The
+    columns keep their order. Jobs whose filters cannot be built on this target are left out of the result.
+    """
+    df = target.toDF(*[c.strip() for c in target.columns])
+    parsed, masks = {}, {}
+    for name, spec in specs.items():
+        try:
+            parsed[name] = parse_spec(spec)
+            masks[name] = F.coalesce(filter_mask(df, parsed[name].filters.get(TARGET, ())), F.lit(False))
+            df.select(masks[name])
+        except Exception as error:  # the job itself will fail with it
+            log.warning("job %s does not share its target: %s", name, error)
+            masks.pop(name, None)
+    if not masks:
+        return {}
+    wanted = {c for name in masks for c in _columns_read(parsed[name], df.columns)}
+    kept = [F.col(f"`{c}`") for c in df.columns if c in wanted]
+    met = [F.when(mask, F.lit(str(i))) for i, mask in enumerate(masks.values())]
+    # "j" keeps the tag text when partition values are read back
+    tagged = df.select(*kept, F.concat(F.lit("j_"), F.array_join(F.array(*met), "_")).alias("__jobs"))
+    tagged.filter(F.col("__jobs") != "j_").write.mode("overwrite").partitionBy("__jobs").parquet(path)
+    stored = df.sparkSession.read.schema(tagged.schema).parquet(path)
+    tags = F.split("__jobs", "_")
+    return {name: stored.filter(F.array_contains(tags, str(i))).select(*kept) for i, name in enumerate(masks)}
+
+
 def reconcile_batch(
     jobs: Sequence[Job],
     targets: Mapping[str, DataFrame],
@@ -94,27 +143,41 @@ def reconcile_batch(
     only: str | Sequence[str] | None = None,
     stop_on_error: bool = False,
     write: Callable[[str, Reconciliation], Any] | None = None,
+    shared_folder: str | None = None,
 ) -> BatchResult:
     """Run the jobs in order.
 
     A job without a spec is an error before anything runs; one without a source
     is skipped; one that fails is recorded and the batch goes on unless told to
     stop. ``write`` is called per job and runs its actions, so failures at run
-    time belong to the job too. Shared targets are read by each job with its own
-    filters pushed down, which beats holding a large table in memory.
+    time belong to the job too. With ``shared_folder``, a folder all executors
+    share, a target of several jobs is scanned once, when the first of them is
+    due (see ``share_target``); without, each job reads it with its own filters
+    pushed down. Results are the same.
     """
     chosen = select_jobs(jobs, only)
     unspecified = [j.name for j in chosen if j.spec is None]
     if unspecified:
         raise ValueError(f"jobs without a spec: {unspecified}")
     batch = BatchResult()
+    shared: dict[str, dict[str, DataFrame]] = {}
+
+    def target_of(job: Job) -> DataFrame:
+        together = {j.name: j.spec for j in chosen if j.target == job.target}
+        if shared_folder is None or len(together) < 2:
+            return targets[job.target]
+        if job.target not in shared:
+            path = f"{shared_folder.rstrip('/')}/target-{uuid.uuid4().hex}"
+            shared[job.target] = share_target(targets[job.target], together, path)
+        return shared[job.target].get(job.name, targets[job.target])
+
     for job in chosen:
         try:
             source = _open(job.source)
             if source is None:
                 batch.outcomes.append((job.name, SKIPPED, "missing source"))
                 continue
-            result = reconcile(source, targets[job.target], job.spec, **job.options)
+            result = reconcile(source, target_of(job), job.spec, **job.options)
             if write is not None:
                 write(job.name, result)
             else:

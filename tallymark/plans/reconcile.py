@@ -21,6 +21,7 @@ from tallymark.functions import compare as C
 from tallymark.functions import values as V
 from tallymark.operators import joins
 from tallymark.operators.filters import apply_filters
+from tallymark.operators.folding import estimated_bytes
 from tallymark.operators.hotstats import Compared, HotStatistics
 from tallymark.operators.keys import (
     calculate_keys,
@@ -50,11 +51,6 @@ SKEW_CHECK_BYTES = 1 << 20
 WIDE_FIELDS = 150
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 @dataclass(frozen=True)
 class Skew:
     """When to look for hot keys, what counts as one, and how many of its rows a task may get."""
@@ -242,7 +238,7 @@ class Reconciliation:
             found.setdefault(column, f"__{side.name}{column if column.startswith('__') else '__final_' + column}")
         return found
 
-    def _joined(self, raw: bool) -> DataFrame:
+    def _joined(self, raw: bool, folded: bool = False) -> DataFrame:
         sides = self._side_columns(self.spec.paired_fields, raw)
         return joins.outer_join(
             *sides,
@@ -250,6 +246,7 @@ class Reconciliation:
             null_keys=self._null_keys,
             hot=self.hot_keys,
             rows_per_cell=self._skew.rows_per_cell,
+            folded=folded,
         )
 
     def _compared(self, joined: DataFrame) -> tuple[DataFrame, list[Adjustment]]:
@@ -291,6 +288,13 @@ class Reconciliation:
             return self._stored[0]
         return self._compared(self._joined(raw=False))[0]
 
+    @cached_property
+    def _weighed(self) -> DataFrame:
+        """Compared rows to count, all pairs of equal rows of hot keys as one."""
+        if self._stored:
+            return self._stored[0]
+        return self._compared(self._joined(raw=False, folded=True))[0]
+
     @cached_property
     def _full(self) -> tuple[DataFrame, list[Adjustment]]:
         df, steps = self._folded
@@ -316,7 +320,7 @@ class Reconciliation:
         the hot pairs have to be formed, folded as they are in the join.
         """
         if self._stored or not self.hot_keys or any(f.adjusted_after_join() for f in self.spec.paired_fields):
-            return self._lean, None
+            return self._weighed, None
         names, fields = self.spec.key_names, self.spec.compared_fields
         s, t = joins.align_key_types(*self._side_columns(fields), names)
         cold = [joins.without_hot(side, names, self.hot_keys) for side in (s, t)]
@@ -347,11 +351,18 @@ class Reconciliation:
         columns = [F.col(f"`{c}`") for c in (*self.spec.key_names, *pairs)]
         return joins.unfold(self._lean).select(*columns, "merge_indicator")
 
-    def classified(self) -> DataFrame:
-        """Every joined row once, with its category and the fields it broke on."""
+    def classified(self, folded: bool = False) -> DataFrame:
+        """Every joined row once, with its category and the fields it broke on.
+
+        With ``folded`` the pairs of equal rows of a hot key are one row, and ``records`` says how many there are.
+        """
         pairs = [f"{side}_{f.name}" for f in self.spec.paired_fields for side in (SOURCE, TARGET)]
         columns = [F.col(f"`{c}`") for c in (*self.spec.key_names, *pairs)]
-        return joins.unfold(self._lean).select(*columns, "category", self._broken_fields().alias("diff_fields"))
+        columns += [F.col("category"), self._broken_fields().alias("diff_fields")]
+        if not folded:
+            return joins.unfold(self._lean).select(*columns)
+        weight = F.col(joins.WEIGHT) if joins.WEIGHT in self._weighed.columns else F.lit(1).cast("bigint")
+        return self._weighed.select(*columns, weight.alias("records"))
 
     def records(self, category: str) -> DataFrame:
         if category not in CATEGORIES:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import values as V
+from tallymark.operators.folding import count_equal, plain, rows_to_deal, tasks_for
 from tallymark.plans.spec import Key, frame_expression
 
 log = logging.getLogger(__name__)
@@ -62,5 +63,5 @@ def check_key_families(source: DataFrame, target: DataFrame, names: Sequence[str
 
 
 def duplicate_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Keys held by more than one row, with their row counts (counted map-side first)."""
-    return df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count(F.lit(1)).alias("row_count")).filter("row_count > 1")
+    """Keys held by more than one row, with their row counts (counted before they are shuffled)."""
+    return count_equal(df.select(*[F.col(f"`{n}`") for n in names]), rows_to_deal(df), "row_count").filter("row_count > 1")

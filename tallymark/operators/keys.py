@@ -32,6 +32,7 @@ def expand_alternative_keys(df: DataFrame, keys: Sequence[Key], *, drop_null_alt
     each other. Rows without an alternative value become null-key rows unless
     dropped. Each key reads the table twice, whatever the number of alternatives.
     """
+    total = 0
     for key in keys:
         present = [a for a in key.target_alternatives if a in df.columns]
         for missing in set(key.target_alternatives) - set(present):
@@ -39,14 +40,29 @@ def expand_alternative_keys(df: DataFrame, keys: Sequence[Key], *, drop_null_alt
         if not present:
             continue
         primary = key.target
-        taken = df.select(F.col(f"`{primary}`").alias("__taken")).filter("__taken is not null").distinct()
+        total = total or rows_to_deal(df)
+        taken = count_equal(df.select(F.col(f"`{primary}`").alias("__taken")).filter("__taken is not null"), total)
+        taken = taken.select("__taken")
         values = [F.struct(F.col(f"`{c}`").alias("value"), F.lit(c == primary).alias("own")) for c in (primary, *present)]
         # one pass: each row with its own and its alternative values, then one anti join for the latter
         rows = df.withColumn("__key", F.explode(F.array(*values)))
         if drop_null_alternatives:
             rows = rows.filter("__key.own or __key.value is not null")
+        total *= len(values)
+        tasks, kind = tasks_for(total), rows.schema["__key"].dataType["value"].dataType
         clash = (F.col("__key.value") == F.col("__taken")) & ~F.col("__key.own")
-        df = rows.join(taken, clash, "left_anti").withColumn(primary, F.col("__key.value")).drop("__key")
+        if tasks > 1 and plain(kind) and taken.schema["__taken"].dataType == kind:
+            # values that are not asked for are no key of the join, and are dealt by where they come from
+            asked = F.when(~F.col("__key.own"), F.col("__key.value"))
+            anywhere = F.xxhash64(F.spark_partition_id(), F.col(f"`{primary}`"))
+            rows = rows.withColumn("__asked", asked).withColumn(
+                "__place", F.when(F.col("__asked").isNotNull(), F.xxhash64("__asked")).otherwise(anywhere)
+            )
+            rows = rows.repartition(tasks, "__asked", "__place")
+            taken = taken.withColumn("__taken_place", F.xxhash64("__taken")).repartition(tasks, "__taken", "__taken_place")
+            clash = (F.col("__asked") == F.col("__taken")) & (F.col("__place") == F.col("__taken_place"))
+        free = rows.join(taken, clash, "left_anti")
+        df = free.withColumn(primary, F.col("__key.value")).drop("__key", "__asked", "__place")
     return df
 
 

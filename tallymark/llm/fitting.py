@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, and sums over the words of whole texts."""
+"""Bounded samples of labelled rows, sums and quantiles over all rows, and sums over the words of whole texts."""
 
 from __future__ import annotations
 
@@ -40,6 +40,56 @@ def sample_per_label(labelled: DataFrame, label: str, most: int, id_column: str
     return found.drop("__label", "__end")
 
 
+def add_up(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all rows of arrays of one shape that ``part`` makes of batches; the driver sees eight."""
+
+    def merged(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for some in arrays:
+            total += some
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merged(part(batch) for batch in batches if batch.num_rows)
+
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merged(np.frombuffer(one).reshape(shape) for batch in batches for one in batch.column("total").to_pylist())
+
+    found = rows.mapInArrow(sums, "total binary").repartition(8).mapInArrow(more, "total binary").collect()
+    return sum((np.frombuffer(r["total"]).reshape(shape) for r in found), np.zeros(shape))
+
+
+def weighted_quantile(rows: DataFrame, value: str, weight: Column, share: float) -> float:
+    """The smallest value up to which rows have that share of all weight, exactly; of no more than all, the largest.
+
+    Values, doubles, are numbered in their order; 16 bits of the number are found at a time, by
+    the weight of the rows that have them. Weights are positive and few, so equal ones are counted.
+    """
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = (batch.column("value").to_numpy() + 0.0).view(np.int64)
+            place = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+            yield pa.record_batch([pa.array(place), batch.column("weight")], names=["place", "weight"])
+
+    bare = rows.select(F.col(value).alias("value"), weight.cast("double").alias("weight"))
+    placed = bare.mapInArrow(numbers, "place long, weight double")
+    below, wanted, prefix = 0.0, None, None
+    for shift in (48, 32, 16, 0):
+        some = placed if prefix is None else placed.filter(F.shiftright("place", shift + 16) == prefix)
+        found: dict[int, float] = {}
+        counted = some.groupBy(F.shiftright("place", shift).alias("digit"), "weight").count()
+        for r in sorted(counted.collect()):
+            found[r["digit"]] = found.get(r["digit"], 0.0) + r["weight"] * r["count"]
+        digits = sorted(found)
+        upto = below + np.cumsum([found[d] for d in digits])
+        wanted = share * upto[-1] if wanted is None else wanted
+        at = min(int(np.searchsorted(upto, wanted * (1 - 1e-12))), len(digits) - 1)
+        below, prefix = (float(upto[at - 1]) if at else below), digits[at]
+    bits = np.array([prefix], np.int64)
+    return float(np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits).view(np.float64)[0])
+
+
 class WordTable:
     """A row of numbers per distinct word, computed once per worker, and sums of them by text.
 

@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pytest
 from fixtures import awkward, clashing, empty, rows_of
+from pyspark.sql import functions as F
 
 from tallymark.llm import language, quality, queries, toxicity
-from tallymark.llm.fitting import fold, sample_per_label, trimmed
+from tallymark.llm.fitting import fold, sample_per_label, trimmed, weighted_quantile
 
 FOLDER = os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.01")
 
@@ -195,6 +196,48 @@ def test_toxicity_equals_plain_loops(spark):
     assert np.allclose([r[1] for r in found], [r[1] for r in expected], atol=1e-4)
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    """More documents of a label than a sample of 6,000 would hold: centre, spread and threshold are those of all."""
+    chance = random.Random(6)
+    rows = [(i, " ".join(["word", "Other,", "x1"][chance.randrange(1 + i % 3)] for _ in range(chance.randrange(1, 12)))) for i in range(15_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(chance.random() < 0.3 + 0.2 * (i % 3))) for i, _ in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x = np.array([quality.describe(t) for _, t in rows])
+    assert np.allclose(model.middle, x.mean(0), atol=1e-9) and np.allclose(model.spread[x.std(0) > 0], x.std(0)[x.std(0) > 0])
+    raw = np.sort(model.bent(x) @ model.weight)
+    bad = labels.filter("quality = 0").count()
+    assert np.isclose(model.threshold, raw[bad - 1], atol=1e-9)
+
+
+def test_quality_weights_have_least_loss_over_all_pairs(spark):
+    chance = random.Random(3)
+    rows = [(i, " ".join(["word", "Other,", "x1", "!"][chance.randrange(2 + i % 3)] for _ in range(chance.randrange(1, 9)))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    y = np.array([int(chance.random() < 0.2 + 0.3 * (i % 3)) for i, _ in rows])
+    model = quality.train(docs, spark.createDataFrame(list(enumerate(y.tolist())), "doc_id long, quality int"))
+    x = model.bent(np.array([quality.describe(t) for _, t in rows]))
+    pairs = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, x.shape[1])
+    loss = lambda w: np.logaddexp(0, -pairs @ w).mean() + 0.0005 * w @ w
+    weight = np.zeros(x.shape[1])
+    for _ in range(30):
+        missed = 1 / (1 + np.exp(pairs @ weight))
+        slope = pairs.T @ missed / len(pairs) - 0.001 * weight
+        weight += np.linalg.solve((pairs * (missed * (1 - missed))[:, None]).T @ pairs / len(pairs) + 0.001 * np.eye(len(weight)), slope)
+    assert loss(weight) <= loss(model.weight) <= loss(weight) + 1e-4
+
+
+def test_weighted_quantiles_are_exact(spark):
+    chance = random.Random(4)
+    rows = [(chance.choice([-1e300, -2.5, -0.0, 0.0, 1e-310, 3.0, chance.gauss(0, 1)]), chance.choice([1.0, 2.5])) for _ in range(400)]
+    table = spark.createDataFrame(rows, "value double, weight double")
+    rows.sort()
+    upto = np.cumsum([w for _, w in rows])
+    for share in (0.0, 0.1, 0.33, 0.5, 0.9, 1.0):
+        wanted = rows[min(int(np.searchsorted(upto, share * upto[-1] * (1 - 1e-12))), 399)][0]
+        assert weighted_quantile(table, "value", F.col("weight"), share) == wanted
+
+
 def test_quality_equals_plain_loops(spark):
     docs = queries.table(spark, FOLDER, "documents")
     model = queries.quality_model(docs, queries.labels(spark, FOLDER))

@@ -11,6 +11,7 @@ often as the counts allow. Nothing is shuffled, and a pool is bounded, so memory
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Generator, Iterator
 from itertools import chain, islice
 
@@ -30,16 +31,17 @@ PARTITION_SEQUENCES = 1 << 40
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to long"
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
+def fill(counts: dict[int, int], room: int, fitting: list[int] | None = None) -> dict[int, int]:
     """How many items of each length sum up to the most that fits into ``room``.
 
+    ``fitting`` are the lengths of at most ``room``, ascending, if they are known already.
     Bit s of ``reach`` tells whether some items sum up to s. Counts go in as powers of two, so
     each length takes a logarithmic number of steps, and the program ends once ``room`` itself
     is reached.
     """
     mask = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for length in sorted((n for n in counts if n <= room), reverse=True):
+    for length in reversed(sorted(n for n in counts if n <= room) if fitting is None else fitting):
         left, times = min(counts[length], room // length), 1
         while left and not reach >> room & 1:
             times = min(times, left)
@@ -62,24 +64,28 @@ def windows(lengths: list[int], capacity: int, slack: int) -> tuple[list[list[in
     for item in range(len(lengths) - 1, -1, -1):
         items.setdefault(lengths[item], []).append(item)
     order = sorted(items)
+    counts = {n: len(own) for n, own in items.items()}
     filled: list[list[int]] = []
     rest: list[int] = []
     while order:
         longest = order[-1]
-        counts = {n: len(own) for n, own in items.items()}
+        room = capacity - longest
         counts[longest] -= 1
-        taken = fill(counts, capacity - longest)
+        taken = fill(counts, room, order[: bisect_right(order, room)])
+        counts[longest] += 1
         taken[longest] = taken.get(longest, 0) + 1
         if capacity - sum(n * k for n, k in taken.items()) > slack:
             # later items are fewer, so no item of this length can do better
             rest += reversed(items.pop(longest))
+            del counts[longest]
             order.pop()
             continue
         for _ in range(min(len(items[n]) // k for n, k in taken.items())):
             filled.append([items[n].pop() for n, k in sorted(taken.items(), reverse=True) for _ in range(k)])
         for n in taken:
+            counts[n] = len(items[n])
             if not items[n]:
-                del items[n]
+                del items[n], counts[n]
                 order.remove(n)
     return filled, rest
 

@@ -15,7 +15,7 @@ from tallymark.llm.packing import fill, pack, pack_pool, windows
 from tallymark.llm.record_files import POLYNOMIAL, crc32c, frame, read_records, unframe, write_records
 from tallymark.llm.shared import new_path
 from tallymark.llm.token_counts import count_tokens, read_cache
-from tallymark.llm.vocab import Encoder, drops_spaces, encoder, file_digest, tokenizer_path
+from tallymark.llm.vocab import Encoder, drops_spaces, encoder, file_digest, plain_letters, tokenizer_path
 
 PATH = tokenizer_path()
 
@@ -52,6 +52,35 @@ def test_cache_starts_anew_when_full(plain, monkeypatch):
         assert list(own.ids([text])[0]) == ids_of(plain, text)
 
 
+def test_plain_words_go_straight_to_the_model(plain):
+    own, seen = Encoder(PATH), []
+    whole = own.encode
+    own.encode = lambda texts: seen.extend(texts) or whole(texts)
+    for text in ["The naïve Straße, word's end! (odd) x1", "word, naïve. end, ωmega"]:
+        assert list(own.ids([text])[0]) == ids_of(plain, text)
+    assert sorted(seen) == sorted(["word's", "(odd", ")", "x1", "ωmega", ",", "!", "."])
+
+
+def test_words_go_straight_only_where_the_file_allows_it(tmp_path):
+    assert plain_letters(PATH) >= set("azßé") and not plain_letters(PATH) & set("A1÷'ā")
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+
+    def changed(change):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(other))
+        return plain_letters(str(path))
+
+    assert changed(lambda s: None)
+    assert not changed(lambda s: s["normalizer"]["normalizers"].append({"type": "NFD"}))
+    assert not changed(lambda s: s["model"].update(dropout=0.1))
+    assert not changed(lambda s: s["added_tokens"][0].update(content="abc"))
+    assert not changed(lambda s: s["pre_tokenizer"]["pretokenizers"][1].update(use_regex=True))
+    assert not changed(lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="[\\p{N}]"))
+
+
 def test_only_tokenizers_that_drop_spaces_are_chunked():
     assert drops_spaces(PATH)
     assert not drops_spaces(tokenizer_path("byte_bpe_50k.json"))
@@ -102,6 +131,13 @@ def test_fill_is_the_best_subset(lengths, room):
     assert all(k <= counts[n] for n, k in taken.items())
 
 
+def test_fill_takes_the_same_from_known_lengths():
+    chance = random.Random(2)
+    for _ in range(50):
+        counts = {chance.randrange(1, 60): chance.randrange(4) for _ in range(12)}
+        assert fill(counts, 50, sorted(n for n in counts if n <= 50)) == fill(counts, 50)
+
+
 def test_windows_take_each_item_once():
     chance = random.Random(5)
     lengths = [chance.randrange(1, 100) for _ in range(500)] + [60] * 300

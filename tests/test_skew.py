@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.compare import ABSOLUTE_SLACK
 from tallymark.operators.hotstats import bounds
-from tallymark.operators.joins import FOLDED_ROWS, WEIGHT, find_hot_keys
+from tallymark.operators.joins import FOLDED_ROWS, WEIGHT, find_hot_keys, unfold
 from tallymark.plans.reconcile import Skew, reconcile
 from tallymark.plans.reports import missing_in_source_report, missing_in_target_report
 
@@ -205,3 +205,24 @@ def test_missing_reports_need_no_full_outer_join(pair):
             side = {"target": "source", "source": "target"}[side]
             expected = result.classified().filter(F.col("category") == category).select("k", "j", f"{side}_a", f"{side}_b")
             assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+
+
+def test_unfolded_rows(spark):
+    """Each row as often as it counts, whatever its count is to a run."""
+    weights = [1, 2, FOLDED_ROWS - 1, FOLDED_ROWS, FOLDED_ROWS + 1, 3 * FOLDED_ROWS, 5 * FOLDED_ROWS + 7, FOLDED_ROWS**2]
+    df = frame(spark, f"id long, {WEIGHT} long", *enumerate(weights), *enumerate(weights[:3]))
+    found = {r["id"]: r["count"] for r in unfold(df).groupBy("id").count().collect()}
+    assert found == {i: w * (2 if i < 3 else 1) for i, w in enumerate(weights)}
+    assert unfold(df).columns == ["id"]
+
+
+def test_copies_of_a_pair_come_a_run_at_a_time(spark):
+    """Runs and copies are not exploded in one loop, and nothing is computed anew for each copy."""
+    source = spark.range(2500).selectExpr("1 as k", "'x' as v").union(spark.range(5).selectExpr("id + 5 as k", "'y' as v"))
+    target = spark.range(3000).selectExpr("1 as k", "if(id < 2000, 'x', 'z') as v")
+    result = reconcile(source, target, spec({"name": "v"}, keys=["k"]), skew=Skew("always", share=0.1, min_rows=20))
+    for df in (result.classified(), result.merged(), result.breaks()):
+        copying, _, counted = df._jdf.queryExecution().optimizedPlan().toString().partition("Union")
+        assert counted and copying.count("Generate explode") == 1
+        assert not any(work in copying for work in ("CASE WHEN", "array_join", "inline"))
+    assert result.breaks().groupBy("target_value").count().collect() == [("z", 2500 * 1000)]
